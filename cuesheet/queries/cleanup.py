@@ -10,21 +10,12 @@ from cuesheet.operators import segments as sg
 from cuesheet.ordering import POS
 from cuesheet.plans import derived
 from cuesheet.queries import sql
+from cuesheet.queries.registry import Registry
 from cuesheet.queries.sql import NORMAL, PREP, SEG, SPLIT, MERGED, ascii_gap, ass_time, pad, seconds_text, srt_time, strip, sweep
 from cuesheet.sinks import subtitles as sb
 
 OUT = ["media_id", "idx", "id", "start_ms", "end_ms", "speaker", "text"]
-QUERIES, ORACLES = {}, {}
-
-
-def query(name: str, oracle: str | None = None):
-    def add(fn):
-        QUERIES[name] = fn
-        if oracle:
-            ORACLES[name] = oracle
-        return fn
-
-    return add
+query = Registry()
 
 
 def placed(o):

@@ -1,0 +1,3 @@
+from cuesheet.queries.registry import Registry
+
+query = Registry()

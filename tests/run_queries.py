@@ -12,7 +12,7 @@ def main() -> None:
     sf, names = sys.argv[1], sys.argv[2:]
     spark = build_session(master="local[8]", partitions=8)
     spark.sparkContext.setLogLevel("ERROR")
-    queries, oracles = gather("QUERIES"), gather("ORACLES")
+    queries, oracles = gather("queries"), gather("oracles")
     sf_dir = f"/root/testdata/{sf}"
     bad = 0
     for name in names or queries:
