@@ -34,7 +34,7 @@ def _pieces(text: Column) -> Column:
             kind.alias("kind"),
             F.length(p).alias("n"),
             F.when(kind == _TIME, F.regexp_extract(p, _STAMP, 1).try_cast("double")).alias("sec"),
-            F.when(kind == _SPEAKER, F.substring(p, 2, 15)).alias("tag"),
+            F.when(kind == _SPEAKER, F.substring(p, F.lit(2), F.length(p) - 2)).alias("tag"),
             p.rlike(r"^[0-9.]+\z").alias("digits"),
         )
 
