@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cuesheet.functions import text as tx
 from cuesheet.functions import times as tm
@@ -190,7 +191,9 @@ def drop_overlapping(cands: DataFrame, *, max_ms: int = MAX_MS, hot: bool = Fals
     if hot:
         return _drop_in_rounds(cands, max_ms)
     ordered = cands.repartition("media_id", "block").sortWithinPartitions("media_id", "block", F.desc("score"), "i", "j")
-    flagged = ordered.mapInArrow(_greedy(max_ms), cands.schema.add("kept", "boolean"))
+    flagged = ordered.mapInArrow(
+        _greedy(max_ms), T.StructType([*cands.schema.fields, T.StructField("kept", T.BooleanType())])
+    )
     return flagged.filter("kept").drop("kept")
 
 

@@ -1,3 +1,219 @@
+"""Queries over speaker labelling."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cuesheet.functions import times as tm
+from cuesheet.operators import audio, speakers as sp
+from cuesheet.ordering import POS, arrange
+from cuesheet.plans import derived
 from cuesheet.queries.registry import Registry
+from cuesheet.queries.sql import SEG
 
 query = Registry()
+DIMS = 64
+
+# Turns: every odd segment, shifted; long stretches stay without a turn.
+_TURNS = """,
+ turns AS (SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY idx) AS turn_no, start_ms + 250 AS ts, end_ms + 250 AS te, 'spk_' || (idx * 7 % 5) AS source
+           FROM seg WHERE idx % 2 = 1 AND idx % 10 < 7 AND end_ms > start_ms)"""
+
+
+def _turns(spark, o):
+    df = o.df.filter("idx % 2 = 1 and idx % 10 < 7 and end_ms > start_ms")
+    t = arrange(df, ("media_id",), ("idx",), like=o)
+    return t.df.select(
+        "media_id", (F.col(POS) + 1).alias("turn_no"), (F.col("start_ms") + 250).alias("turn_start_ms"), (F.col("end_ms") + 250).alias("turn_end_ms"),
+        F.expr("concat('spk_', idx * 7 % 5)").alias("source"),
+    )
+
+
+_SOURCE = _TURNS + """,
+ dist AS (SELECT s.media_id, s.idx, t.source, t.turn_no, greatest(0, least(s.end_ms, t.te) - greatest(s.start_ms, t.ts)) AS ov,
+                 CASE WHEN 2 * t.ts <= s.start_ms + s.end_ms AND s.start_ms + s.end_ms <= 2 * t.te THEN 0 ELSE least(abs(s.start_ms + s.end_ms - 2 * t.ts), abs(s.start_ms + s.end_ms - 2 * t.te)) END AS d
+          FROM seg s JOIN turns t USING (media_id) WHERE s.end_ms > s.start_ms),
+ per AS (SELECT media_id, idx, source, sum(ov) AS ov, min(turn_no) FILTER (ov > 0) AS f FROM dist GROUP BY ALL),
+ byo AS (SELECT media_id, idx, arg_max(source, (ov, -f)) AS source FROM per WHERE ov > 0 GROUP BY ALL),
+ byd AS (SELECT media_id, idx, arg_min(source, (d, turn_no)) AS source FROM dist GROUP BY ALL),
+ src AS (SELECT s.media_id, s.idx, s.start_ms, coalesce(byo.source, byd.source, 'SPEAKER_00') AS source FROM seg s LEFT JOIN byo USING (media_id, idx) LEFT JOIN byd USING (media_id, idx) WHERE s.end_ms > s.start_ms),
+ nm AS (SELECT media_id, source, 'S' || lpad((row_number() OVER (PARTITION BY media_id ORDER BY min(idx)))::VARCHAR, 2, '0') AS speaker FROM src GROUP BY media_id, source)"""
+
+
+@query("assign_turns", SEG + _SOURCE + "SELECT media_id, idx, source AS source_speaker FROM src")
+def assign_turns(spark, sf_dir):
+    o = _live(derived.conversation_segments(spark, sf_dir))
+    return sp.assign_turns(o, _turns(spark, o)).df.select("media_id", "idx", "source_speaker")
+
+
+def _live(o):
+    return arrange(o.df.filter("end_ms > start_ms"), ("media_id",), ("idx",), like=o)
+
+
+@query("label_from_turns", SEG + _SOURCE + "SELECT media_id, idx, start_ms, speaker FROM src JOIN nm USING (media_id, source)")
+def label_from_turns(spark, sf_dir):
+    o = _live(derived.conversation_segments(spark, sf_dir))
+    return sp.label_from_turns(o, _turns(spark, o)).df.select("media_id", "idx", "start_ms", "speaker")
+
+
+_LAB = """, lab AS (SELECT *, CASE WHEN idx % 4 <> 1 AND media_id % 9 <> 0 THEN CAST((idx * 7 + media_id) % 3 AS INTEGER) END AS label FROM seg)"""
+
+
+def _labelled(spark, sf_dir):
+    o = derived.conversation_segments(spark, sf_dir)
+    return o.with_columns({"label": F.expr("if(idx % 4 <> 1 and media_id % 9 <> 0, int((idx * 7 + media_id) % 3), null)")})
+
+
+_FILLED = _LAB + """,
+ fl AS (SELECT media_id, idx, start_ms, end_ms, CASE WHEN label IS NOT NULL THEN label ELSE coalesce((SELECT arg_min(b.label, b.idx) FROM lab b WHERE b.media_id = lab.media_id AND b.label IS NOT NULL), 0) END AS label FROM lab WHERE idx = 1
+        UNION ALL SELECT l.media_id, l.idx, l.start_ms, l.end_ms, coalesce(l.label, f.label) FROM fl f JOIN lab l ON l.media_id = f.media_id AND l.idx = f.idx + 1)"""
+# Left to right, in place: the previous label is the already smoothed one.
+_SMOOTH = _FILLED + """,
+ nx AS (SELECT *, lead(label) OVER (PARTITION BY media_id ORDER BY idx) AS nxt FROM fl),
+ sm AS (SELECT media_id, idx, start_ms, label FROM nx WHERE idx = 1
+        UNION ALL SELECT n.media_id, n.idx, n.start_ms, CASE WHEN s.label = n.nxt AND s.label <> n.label AND n.end_ms - n.start_ms < 1300 THEN s.label ELSE n.label END
+        FROM sm s JOIN nx n ON n.media_id = s.media_id AND n.idx = s.idx + 1)"""
+
+
+@query("fill_labels", SEG + _FILLED + "SELECT media_id, idx, label FROM fl")
+def fill_labels(spark, sf_dir):
+    return sp.fill_labels(_labelled(spark, sf_dir)).df.select("media_id", "idx", "label")
+
+
+@query("smooth_islands", SEG + _SMOOTH + "SELECT media_id, idx, label FROM sm")
+def smooth_islands(spark, sf_dir):
+    return sp.smooth_islands(sp.fill_labels(_labelled(spark, sf_dir))).df.select("media_id", "idx", "label")
+
+
+@query("name_by_appearance", SEG + _SMOOTH + """
+SELECT media_id, idx, start_ms, 'S' || lpad(r::VARCHAR, 2, '0') AS speaker FROM sm JOIN (SELECT media_id, label, row_number() OVER (PARTITION BY media_id ORDER BY min(idx)) AS r FROM sm GROUP BY media_id, label) USING (media_id, label)""")
+def name_by_appearance(spark, sf_dir):
+    o = derived.conversation_segments(spark, sf_dir)
+    labels = _labelled(spark, sf_dir).df.filter("label is not null").select("media_id", "idx", "label")
+    return sp.apply_labels(o, labels).df.select("media_id", "idx", "start_ms", "speaker")
+
+
+@query("label_status", SEG + """
+SELECT media_id, true AS enabled, CASE WHEN n < 4 OR s <= 1 THEN 1 ELSE s END AS speakers, n AS segments, CASE WHEN n < 4 THEN 'too few segments' WHEN s > 1 THEN 'speaker labels already exist' END AS reason
+FROM (SELECT media_id, count(*) FILTER (text <> '' AND end_ms > start_ms) AS n, count(DISTINCT speaker) FILTER (text <> '' AND end_ms > start_ms) AS s FROM seg WHERE media_id % 3 <> 0 OR speaker = 'S01' GROUP BY media_id)""")
+def label_status(spark, sf_dir):
+    o = derived.conversation_segments(spark, sf_dir)
+    return sp.label_status(o.of(o.df.filter("media_id % 3 <> 0 or speaker = 'S01'")))
+
+
+@query("choose_backend", SEG + """
+SELECT media_id, idx, CASE WHEN media_id % 3 <> 0 THEN 'P' || idx % 2 WHEN media_id % 2 = 0 THEN 'C1' ELSE speaker END AS speaker,
+       CASE WHEN media_id % 3 <> 0 THEN 'preferred' WHEN media_id % 2 = 0 THEN 'fallback' ELSE 'none' END AS method, CASE WHEN media_id % 3 = 0 THEN 'preferred failed: no token' END AS note FROM seg""")
+def choose_backend(spark, sf_dir):
+    o = derived.conversation_segments(spark, sf_dir)
+    p = o.df.selectExpr("media_id", "idx", "concat('P', idx % 2) speaker", "if(media_id % 3 = 0, 'no token', null) error")
+    f = o.df.filter("media_id % 2 = 0").selectExpr("media_id", "idx", "'C1' speaker", "cast(null as string) error")
+    return sp.choose_backend(o, p, f).df.select("media_id", "idx", "speaker", "method", "note")
+
+
+@query("speaker_counts", SEG + "SELECT media_id, count(DISTINCT speaker) AS speakers, count(*) AS segments, max(end_ms) AS duration_ms FROM seg GROUP BY media_id")
+def speaker_counts(spark, sf_dir):
+    return sp.distinct_speakers(derived.conversation_segments(spark, sf_dir))
+
+
+def _features(spark, sf_dir):
+    e = derived.table(spark, sf_dir, "embeddings")
+    return e.select((F.col("label") % 5).cast("bigint").alias("media_id"), F.col("vec_id").alias("idx"), F.col("embedding").cast("array<double>").alias("vec"))
+
+
+_FEAT = """WITH RECURSIVE f AS (SELECT CAST(label % 5 AS BIGINT) AS media_id, vec_id AS idx, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings),
+ z AS (SELECT media_id, idx, dim, (x - avg(x) OVER w) / CASE WHEN stddev_pop(x) OVER w < 1e-6 THEN 1.0 ELSE stddev_pop(x) OVER w END AS x FROM f WINDOW w AS (PARTITION BY media_id, dim)),
+ v AS (SELECT media_id, idx, list(x ORDER BY dim) AS vec FROM z GROUP BY media_id, idx)"""
+
+
+@query("standardise_features", _FEAT + "SELECT media_id, idx, CAST(dim AS BIGINT) AS dim, floor(x * 1000000 + 0.5) / 1000000.0 AS x FROM z")
+def standardise_features(spark, sf_dir):
+    rows = sp.standardise(_features(spark, sf_dir), DIMS)
+    rows = rows.select("media_id", "idx", F.posexplode("vec").alias("d", "x"))
+    return rows.select("media_id", "idx", (F.col("d") + 1).cast("bigint").alias("dim"), tm.round_to(F.col("x"), 6).alias("x"))
+
+
+@query("farthest_first", _FEAT + """,
+ c AS (SELECT media_id, CAST(1 AS BIGINT) AS n, [arg_min(idx, idx)] AS ids, [arg_min(vec, idx)] AS cs FROM v GROUP BY media_id
+       UNION ALL
+       SELECT c.media_id, c.n + 1, c.ids || [z.b.idx], c.cs || [z.b.vec] FROM c,
+         LATERAL (SELECT arg_max({'idx': v.idx, 'vec': v.vec}, (list_min([list_distance(v.vec, k) FOR k IN c.cs]), -v.idx)) AS b FROM v WHERE v.media_id = c.media_id) z WHERE c.n < 4)
+SELECT media_id, CAST(unnest([1, 2, 3, 4]) AS BIGINT) AS place, unnest(ids) AS idx FROM c WHERE n = 4""")
+def farthest_first(spark, sf_dir):
+    rows = sp.standardise(_features(spark, sf_dir), DIMS)
+    centres = sp.initial_centres(rows, 4, DIMS).select("media_id", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("place"), "c")
+    centres = centres.withColumn("vec", F.slice("c", (F.col("place") - 1) * DIMS + 1, DIMS))
+    hit = rows.join(centres, ["media_id", "vec"])
+    return hit.select("media_id", F.col("place").cast("bigint").alias("place"), "idx")
+
+
+@query("cluster_two_speakers")
+def cluster_two_speakers(spark, sf_dir):
+    return sp.cluster_labels(_features(spark, sf_dir), DIMS, target_speakers=2)
+
+
+@query("cluster_speakers")
+def cluster_speakers(spark, sf_dir):
+    return sp.cluster_labels(_features(spark, sf_dir), DIMS, max_speakers=4)
+
+
+@query("silhouette", _FEAT + """,
+ e AS (SELECT vec_id AS idx, CAST(label // 5 AS INTEGER) AS label FROM embeddings),
+ d AS (SELECT a.media_id, a.idx, ea.label AS own, eb.label AS other, avg(list_distance(a.vec, b.vec)) AS m FROM v a JOIN v b ON b.media_id = a.media_id AND b.idx <> a.idx
+       JOIN e ea ON ea.idx = a.idx JOIN e eb ON eb.idx = b.idx GROUP BY ALL),
+ s AS (SELECT media_id, idx, coalesce(max(m) FILTER (own = other), 0) AS a, min(m) FILTER (own <> other) AS b FROM d GROUP BY media_id, idx)
+SELECT media_id, 2 AS k, floor(avg((b - a) / greatest(a, b, 1e-6)) * 1000000 + 0.5) / 1000000.0 AS silhouette FROM s WHERE b IS NOT NULL GROUP BY media_id""")
+def silhouette(spark, sf_dir):
+    """Silhouette of the given labels: two per media."""
+    rows = sp.standardise(_features(spark, sf_dir), DIMS)
+    e = derived.table(spark, sf_dir, "embeddings")
+    labels = e.selectExpr("cast(label % 5 as bigint) media_id", "2 k", "vec_id idx", "int(label div 5) label")
+    out = sp.silhouettes(rows, labels, DIMS)
+    return out.select("media_id", "k", tm.round_to(F.col("silhouette"), 6).alias("silhouette"))
+
+
+RATE = 2000
+
+
+def _pcm(o):
+    """Tones laid on the timeline of the segments, one pitch per speaker."""
+    rows = o.df.filter("end_ms - start_ms >= 100").selectExpr(
+        "media_id", f"start_ms * {RATE} div 1000 first_sample", f"(end_ms - start_ms) * {RATE} div 1000 n", "90 + 60 * int(right(speaker, 1)) hz"
+    )
+    return rows.mapInArrow(_tones, "media_id bigint, first_sample bigint, samples array<float>")
+
+
+def _tones(batches):
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        waves = []
+        for n, hz in zip(batch.column("n").to_pylist(), batch.column("hz").to_pylist()):
+            i = np.arange(n)
+            waves.append((0.3 * np.sin(2 * np.pi * hz * i / RATE) + 0.05 * np.sin(0.37 * i)).astype(np.float32))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("media_id"), batch.column("first_sample"), pa.array(waves, pa.list_(pa.float32()))], names=["media_id", "first_sample", "samples"]
+        )
+
+
+@query("audio_features")
+def audio_features(spark, sf_dir):
+    """Slices of derived tones -> features per segment.  Overlapping tones: the later piece is cut away."""
+    o = derived.conversation_segments(spark, sf_dir)
+    o = o.local({"_next": lambda w: F.lead("start_ms").over(w)}, after=1)
+    o = o.with_columns({"end_ms": F.least("end_ms", F.coalesce("_next", "end_ms"))})
+    slices = audio.slice_segments(o.df.select("media_id", "idx", "start_ms", "end_ms"), _pcm(o), RATE)
+    return audio.audio_features(slices, RATE)
+
+
+@query("slice_audio", SEG + f"""
+SELECT media_id, idx, CAST(hi - lo AS BIGINT) AS samples FROM (
+ SELECT media_id, idx, greatest(0, (start_ms + 40) * {RATE} // 1000) AS lo, least(max(start_ms * {RATE} // 1000 + (e - start_ms) * {RATE} // 1000) FILTER (e - start_ms >= 100) OVER (PARTITION BY media_id), (e - 40) * {RATE} // 1000) AS hi
+ FROM (SELECT media_id, idx, start_ms, least(end_ms, coalesce(lead(start_ms) OVER (PARTITION BY media_id ORDER BY idx), end_ms)) AS e FROM seg)) WHERE hi - lo >= {280 * RATE // 1000}""")
+def slice_audio(spark, sf_dir):
+    o = derived.conversation_segments(spark, sf_dir)
+    o = o.local({"_next": lambda w: F.lead("start_ms").over(w)}, after=1)
+    o = o.with_columns({"end_ms": F.least("end_ms", F.coalesce("_next", "end_ms"))})
+    slices = audio.slice_segments(o.df.select("media_id", "idx", "start_ms", "end_ms"), _pcm(o), RATE)
+    return slices.select("media_id", "idx", F.size("samples").cast("bigint").alias("samples"))
