@@ -99,7 +99,7 @@ def _segment_json(spark, sf_dir):
 
 _JOB_SQL = """
  j AS (SELECT event_id, user_id, ['queued','transcribing','done','waiting_review','']
-         [CAST(event_id % 5 + 1 AS INTEGER)] AS st, value, epoch_ms(ts) / 1000.0::DOUBLE AS at0 FROM events WHERE event_id % 11 <> 0)"""
+         [CAST(event_id % 5 + 1 AS INTEGER)] AS st, value, (epoch_us(ts) // 1000) / 1000.0::DOUBLE AS at0 FROM events WHERE event_id % 11 <> 0)"""
 
 
 def _job_texts(spark, sf_dir):
