@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,17 +11,28 @@ from pyspark.sql import functions as F
 WS = (
     r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 )
+# The same characters as a list; trimming with it stays clear of regular expressions.
+WS_CHARS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 # Fixed value: characters after which a long text may be cut.
 CUT_AFTER = "。！？!?；;，,、 "
 DEFAULT_SPEAKER = "S00"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` mentions it.
+
+    Spark shares repeated expressions only where every row needs them, not inside CASE
+    branches; binding the value to a lambda variable shares it there too.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{WS}+|(?<!{WS}){WS}+\z", "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?<!{WS}){WS}+\z|^{WS}+\z", "")
+    return F.rtrim(c, F.lit(WS_CHARS))
 
 
 def squeeze(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cuesheet.functions.text import WS, squeeze, strip
+from cuesheet.functions.text import WS, let, squeeze, strip
 
 # Texts known to be transcription noise.
 NOISE = ["i'm honey", "im honey"]
@@ -46,21 +46,26 @@ def is_filler(t: Column) -> Column:
     return F.size(t).between(1, 12) & F.forall(t, lambda w: F.array_contains(words, w))
 
 
+def _by_words(t: Column) -> Column:
+    return F.when(is_chant(t), "repeated_chant").when(is_filler(t), "filler_noise")
+
+
 def skip_reason(text: Column) -> Column:
     """Why a text is not worth translating; null when it is.  The first rule wins."""
-    s = strip(_short(text))
     marks = r"[.!?。！？]+"
-    normal = squeeze(F.regexp_replace(F.lower(s), rf"^{marks}|{marks}\z", ""))
-    t = tokens(s)
-    return (
-        F.when(F.length(s) == 0, "empty")
-        .when(normal.isin(NOISE), "known_transcript_noise")
-        .when(s.rlike(f"(?iu){BRACKETED}"), "bracketed_effect")
-        .when(F.length(s) <= 2, "too_short")
-        .when(s.rlike(SHORT_CODE) & ~s.rlike("(?i)[aeiou]{2,}"), "short_code_or_noise")
-        .when(is_chant(t), "repeated_chant")
-        .when(is_filler(t), "filler_noise")
-    )
+
+    def judge(s: Column) -> Column:
+        normal = squeeze(F.regexp_replace(F.lower(s), rf"^{marks}|{marks}\z", ""))
+        return (
+            F.when(F.length(s) == 0, "empty")
+            .when(normal.isin(NOISE), "known_transcript_noise")
+            .when(s.rlike(f"(?iu){BRACKETED}"), "bracketed_effect")
+            .when(F.length(s) <= 2, "too_short")
+            .when(s.rlike(SHORT_CODE) & ~s.rlike("(?i)[aeiou]{2,}"), "short_code_or_noise")
+            .otherwise(let(tokens(s), _by_words))
+        )
+
+    return let(strip(_short(text)), judge)
 
 
 def has_artifact(c: Column) -> Column:

@@ -54,13 +54,49 @@ def clip_reason(hooks: Column, endings: Column, questions: Column, duration_ms:
     )
 
 
+def _pattern_table(patterns: list[str]) -> Column:
+    """The patterns as an array of structs, to be walked by one lambda instead of one column each."""
+    rows = [
+        F.struct(F.lit(p).alias("p"), F.lit(p[::-1]).alias("rev"), F.lit(len(p)).alias("n"), F.lit(1 << HOOKS.index(p)).cast("bigint").alias("bit"))
+        for p in patterns
+    ]
+    return F.array(*rows)
+
+
+def _own_hooks(low: Column) -> Column:
+    """Bit set of the hooks inside one segment."""
+    return F.aggregate(
+        _pattern_table(HOOKS), F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseOR(F.when(F.contains(low, x["p"]), x["bit"]).otherwise(F.lit(0).cast("bigint")))
+    )
+
+
+def _crossing_hooks(before: Column, sep: Column, low: Column, offset: Column) -> Column:
+    """Hooks that begin in earlier segments and end in this one: array of (bit, offset of the start).
+
+    A pattern of n characters crosses when it occurs in the n-1 characters on either side
+    of the seam.  Touching ASCII characters get a blank, so only patterns with a blank or
+    a non-ASCII character can cross.
+    """
+    able = [p for p in HOOKS if " " in p or not p.isascii()]
+
+    def look(x: Column) -> Column:
+        left, right = F.right(before, x["n"] - 1), F.left(low, x["n"] - 1)
+        seam = F.concat(left, sep, right)
+        back = F.instr(F.reverse(seam), x["rev"])
+        start = offset + F.length(right) - (back + x["n"] - 1) + 1
+        return F.struct(F.when(back > 0, x["bit"]).alias("bit"), start.cast("bigint").alias("at"))
+
+    # Few seams hold a pattern at all; one regular expression over 25 characters finds them.
+    seam = F.concat(F.right(before, F.lit(_REACH)), sep, F.left(low, F.lit(_REACH)))
+    found = F.filter(F.transform(_pattern_table(able), look), lambda h: h["bit"].isNotNull())
+    return F.when(seam.rlike("|".join(able)), found).otherwise(F.array().cast("array<struct<bit:bigint,at:bigint>>"))
+
+
 def _features(df: DataFrame | Ordered, gap_ms: int) -> Ordered:
     """Per segment the running figures from which any window is scored by subtraction.
 
     Separators depend only on the touching characters, so the joined text of a media has
-    fixed offsets.  ``hooks`` holds, per pattern, the offset of its latest occurrence that
-    ends by this segment; a window contains the pattern when that offset is not before the
-    window.  Occurrences may span segments, hence the look-back.
+    fixed offsets.  Written once: both sides of the pairing and the descriptions read it.
     """
     o = prepare_for_clips(df)
     lag = lambda c: lambda w: F.lag(c).over(w)
@@ -72,42 +108,36 @@ def _features(df: DataFrame | Ordered, gap_ms: int) -> Ordered:
             "sep": F.coalesce(tx.separator(F.col("_pt"), F.col("text")), F.lit("")),
             "_opens": F.coalesce((gap > gap_ms).cast("bigint"), F.lit(1).cast("bigint")),
             "_pause": F.coalesce(gap.between(450, 4000).cast("bigint"), F.lit(0).cast("bigint")),
-            "_q": F.regexp_count("text", F.lit("[?？]")).cast("bigint"),
-            "_p": F.regexp_count("text", F.lit("[!！?？。]")).cast("bigint"),
+            "own_q": F.regexp_count("text", F.lit("[?？]")).cast("bigint"),
+            "own_p": F.regexp_count("text", F.lit("[!！?？。]")).cast("bigint"),
         }
     )
-    near = F.struct("sep", F.substring("_low", -_REACH, _REACH).alias("t"))
+    near = F.struct("sep", F.right("_low", F.lit(_REACH)).alias("t"))
     o = o.local({"_near": lambda w: F.collect_list(near).over(w.rowsBetween(-_REACH, -1))}, before=_REACH)
-    before = F.array_join(F.transform("_near", lambda x: F.concat(x["sep"], x["t"])), "")
-    o = o.with_columns({"_full": F.concat(F.substring(before, -_REACH, _REACH), "sep", "_low")})
     o = o.running(
         {
             "chars": ("sum", (F.length("sep") + F.length("text")).cast("bigint")),
             "low_chars": ("sum", (F.length("sep") + F.length("_low")).cast("bigint")),
             "island": ("sum", F.col("_opens")),
             "pauses": ("sum", F.col("_pause")),
-            "questions": ("sum", F.col("_q")),
-            "puncts": ("sum", F.col("_p")),
+            "questions": ("sum", F.col("own_q")),
+            "puncts": ("sum", F.col("own_p")),
             "_reach": ("max", F.col("end_ms")),
         }
     )
-    turned = F.reverse("_full")
-    latest = {}
-    for n, p in enumerate(HOOKS):
-        back = F.instr(turned, p[::-1])
-        latest[f"_h{n}"] = ("max", F.when(back > 0, F.col("low_chars") - back - (len(p) - 1) + 1))
-    o = o.with_columns({"_turned": turned}).running(latest)
     o = o.local({"_over": lag("_reach")}, before=1)
     # Windows of different blocks never share time: no candidate can conflict across blocks.
     apart = F.coalesce((F.col("_opens") == 1) & (F.col("start_ms") >= F.col("_over")), F.lit(True))
     o = o.with_columns({"_apart": apart.cast("bigint")}).running({"block": ("sum", F.col("_apart"))})
-    hooks = F.array_compact(F.array(*[F.col(c) for c in latest]))
-    return o.select(
-        "id", "start_ms", "end_ms", "text", "sep", "island", "block",
-        "chars", "low_chars", "pauses", "questions", "puncts", hooks.alias("hooks"),
-        F.length("text").alias("n_text"), F.length("_low").alias("n_low"), F.col("_q").alias("own_q"), F.col("_p").alias("own_p"),
-        pattern_hits(F.col("text"), ENDINGS).alias("endings"), tx.looks_complete(F.col("text")).alias("complete"),
+    before = F.array_join(F.transform("_near", lambda x: F.concat(x["sep"], x["t"])), "")
+    offset = F.col("low_chars") - F.length("_low")
+    crossing = tx.let(before, lambda b: _crossing_hooks(b, F.col("sep"), F.col("_low"), offset))
+    o = o.select(
+        "id", "start_ms", "end_ms", "text", "sep", "island", "block", "chars", "low_chars", "pauses", "questions", "puncts", "own_q", "own_p",
+        _own_hooks(F.col("_low")).alias("hook_bits"), crossing.alias("crossing"), F.length("text").alias("n_text"), F.length("_low").alias("n_low"),
+        pattern_hits(F.col("_low"), ENDINGS).alias("endings"), tx.looks_complete(F.col("text")).alias("complete"),
     )
+    return o.of(materialise(o.df))
 
 
 def candidate_windows(
@@ -129,7 +159,7 @@ def candidate_windows(
     right = s.select(
         F.col("media_id").alias("_m"), F.col("island").alias("_i"), F.explode(F.array(b, b - 1)).alias("_b"), F.col(POS).alias("j"),
         F.col("start_ms").alias("sj"), F.col("end_ms").alias("e"), F.col("chars").alias("c1"), F.col("pauses").alias("p1"),
-        F.col("questions").alias("q1"), F.col("puncts").alias("u1"), "hooks", "endings", "complete",
+        F.col("questions").alias("q1"), F.col("puncts").alias("u1"), "hook_bits", "crossing", "endings", "complete",
     )
     pairs = left.join(
         right,
@@ -138,14 +168,16 @@ def candidate_windows(
     )
     # The walk stops at the first row that ends too late, so every row up to j must end in time.
     upto = Window.partitionBy("media_id", "island", "b", "i").orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
-    pairs = pairs.withColumn("_latest", F.max("e").over(upto)).filter(
-        (F.col("_latest") <= F.col("s") + max_ms) & (F.col("e") - F.col("s") >= min_ms)
+    crossed = F.aggregate(
+        F.filter("crossing", lambda h: h["at"] >= F.col("l0")), F.lit(0).cast("bigint"), lambda acc, h: acc.bitwiseOR(h["bit"])
     )
-    hooks = F.size(F.filter("hooks", lambda x: x >= F.col("l0")))
+    bits = F.col("hook_bits").bitwiseOR(F.when(F.size("crossing") > 0, crossed).otherwise(F.lit(0).cast("bigint")))
+    pairs = pairs.withColumn("_latest", F.max("e").over(upto)).withColumn("_bits", F.bit_or(bits).over(upto))
+    pairs = pairs.filter((F.col("_latest") <= F.col("s") + max_ms) & (F.col("e") - F.col("s") >= min_ms))
     pairs = pairs.select(
         "media_id", "block", "i", "j", F.col("s").alias("from_ms"), F.col("e").alias("to_ms"),
         (F.col("c1") - F.col("c0")).alias("chars"), (F.col("q1") - F.col("q0")).alias("questions"), (F.col("u1") - F.col("u0")).alias("puncts"),
-        (F.col("p1") - F.col("p0")).alias("pauses"), hooks.alias("hooks"), "endings", "complete",
+        (F.col("p1") - F.col("p0")).alias("pauses"), F.bit_count("_bits").alias("hooks"), "endings", "complete",
     )
     return pairs.withColumn("score", window_score(target_ms)).withColumn("start_ms", tm.centiseconds(F.col("from_ms")) * 10).withColumn(
         "end_ms", tm.centiseconds(F.col("to_ms")) * 10

@@ -162,34 +162,38 @@ def standardise(features: DataFrame, dims: int) -> DataFrame:
     return features.join(stats, "media_id").select("media_id", "idx", scaled.alias("vec"))
 
 
-def _distances(name: str, dims: int, pick):
-    """mapInArrow body: ``pick`` reduces the (rows x centres) distances of each row."""
+def _distances(columns: dict[str, str], dims: int, pick):
+    """mapInArrow body: for each centres column, ``pick`` reduces the (rows x centres) distances to a new column."""
 
-    def run(batches):
+    def reduce(vec, flat):
         import numpy as np
+
+        sizes = np.diff(flat.offsets.to_numpy()) // dims
+        centres = flat.flatten().to_numpy(zero_copy_only=False)
+        starts = (np.cumsum(sizes) - sizes) * dims
+        out = np.zeros(len(vec))
+        for k in np.unique(sizes):
+            rows = np.flatnonzero(sizes == k)
+            cs = centres[starts[rows][:, None] + np.arange(k * dims)[None, :]].reshape(len(rows), k, dims)
+            out[rows] = pick(np.sqrt(((vec[rows][:, None, :] - cs) ** 2).sum(axis=2)))
+        return out
+
+    def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            n = batch.num_rows
-            vec = batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(n, dims)
-            flat = batch.column(name)
-            sizes = np.diff(flat.offsets.to_numpy()) // dims
-            centres = flat.flatten().to_numpy(zero_copy_only=False)
-            starts = np.concatenate([[0], np.cumsum(sizes * dims)[:-1]]).astype(int) if n else np.array([], int)
-            out = np.zeros(n)
-            for k in np.unique(sizes):
-                rows = np.flatnonzero(sizes == k)
-                cs = centres[(starts[rows][:, None] + np.arange(k * dims)[None, :])].reshape(len(rows), k, dims)
-                out[rows] = pick(np.sqrt(((vec[rows][:, None, :] - cs) ** 2).sum(axis=2)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, "out"])
+            vec = batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, dims)
+            new = [pa.array(reduce(vec, batch.column(c)), pa.float64()) for c in columns]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *columns.values()])
 
     return run
 
 
-def _measure(df: DataFrame, name: str, out: str, dims: int, how: str) -> DataFrame:
+def _measure(df: DataFrame, columns: dict[str, str], dims: int, how: str) -> DataFrame:
+    """Add per centres column the least distance (``min``) or the nearest centre, first on ties (``argmin``)."""
     pick = (lambda d: d.min(axis=1)) if how == "min" else (lambda d: d.argmin(axis=1))
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
-    return df.mapInArrow(_distances(name, dims, pick), schema)
+    schema = T.StructType([*df.schema.fields, *(T.StructField(n, T.DoubleType()) for n in columns.values())])
+    return df.mapInArrow(_distances(columns, dims, pick), schema)
 
 
 def initial_centres(rows: DataFrame, k: int, dims: int) -> DataFrame:
@@ -201,7 +205,7 @@ def initial_centres(rows: DataFrame, k: int, dims: int) -> DataFrame:
     first = rows.groupBy("media_id").agg(F.min_by("vec", "idx").alias("c"), F.count(F.lit(1)).alias("n"))
     centres = materialise(first)
     for _ in range(k - 1):
-        far = _measure(rows.join(centres.select("media_id", "c"), "media_id"), "c", "d", dims, "min")
+        far = _measure(rows.join(centres.select("media_id", "c"), "media_id"), {"c": "d"}, dims, "min")
         new = far.groupBy("media_id").agg(F.max_by("vec", F.struct("d", -F.col("idx"))).alias("v"))
         centres = materialise(centres.join(new, "media_id").select("media_id", F.concat("c", "v").alias("c"), "n"))
     return centres
@@ -219,11 +223,9 @@ def kmeans(rows: DataFrame, starts: DataFrame, dims: int, rounds: int = MAX_ROUN
     for _ in range(rounds):
         joined = rows.join(active, "media_id")
         joined = joined.withColumn("before", F.coalesce("before", F.slice("c", 1, dims)))  # the first labels are all 0
-        seen = _measure(_measure(joined, "c", "label", dims, "argmin"), "before", "old", dims, "argmin")
-        stats = materialise(
-            seen.groupBy("media_id", "k", "label").agg(
-                F.array(*[F.avg(F.col("vec")[i]) for i in range(dims)]).alias("mean"), F.count_if(F.col("label") != F.col("old")).alias("moved")
-            )
+        seen = _measure(joined, {"c": "label", "before": "old"}, dims, "argmin")
+        stats = seen.groupBy("media_id", "k", "label").agg(
+            F.array(*[F.avg(F.col("vec")[i]) for i in range(dims)]).alias("mean"), F.count_if(F.col("label") != F.col("old")).alias("moved")
         )
         means = F.map_from_entries(F.collect_list(F.struct(F.col("label").cast("int"), "mean")))  # at most k entries
         moved = stats.groupBy("media_id", "k").agg(F.sum("moved").alias("moved"), means.alias("means"))
@@ -239,7 +241,7 @@ def kmeans(rows: DataFrame, starts: DataFrame, dims: int, rounds: int = MAX_ROUN
 
 
 def label_rows(rows: DataFrame, centres: DataFrame, dims: int) -> DataFrame:
-    out = _measure(rows.join(centres, "media_id"), "c", "label", dims, "argmin")
+    out = _measure(rows.join(centres, "media_id"), {"c": "label"}, dims, "argmin")
     return out.select("media_id", "k", "idx", F.col("label").cast("int").alias("label"))
 
 
