@@ -162,33 +162,69 @@ def standardise(features: DataFrame, dims: int) -> DataFrame:
     return features.join(stats, "media_id").select("media_id", "idx", scaled.alias("vec"))
 
 
-def _distances(columns: dict[str, str], dims: int, pick):
-    """mapInArrow body: for each centres column, ``pick`` reduces the (rows x centres) distances to a new column."""
+def _to_centres(vec, flat, dims: int, pick):
+    """``pick`` of each row's distances to its own list of centres (rows with equally many go together)."""
+    import numpy as np
+
+    sizes = np.diff(flat.offsets.to_numpy()) // dims
+    centres = flat.flatten().to_numpy(zero_copy_only=False)
+    starts = (np.cumsum(sizes) - sizes) * dims
+    out = np.zeros(len(vec))
+    for k in np.unique(sizes):
+        rows = np.flatnonzero(sizes == k)
+        cs = centres[starts[rows][:, None] + np.arange(k * dims)[None, :]].reshape(len(rows), k, dims)
+        out[rows] = pick(np.sqrt(((vec[rows][:, None, :] - cs) ** 2).sum(axis=2)))
+    return out
 
-    def reduce(vec, flat):
-        import numpy as np
 
-        sizes = np.diff(flat.offsets.to_numpy()) // dims
-        centres = flat.flatten().to_numpy(zero_copy_only=False)
-        starts = (np.cumsum(sizes) - sizes) * dims
-        out = np.zeros(len(vec))
-        for k in np.unique(sizes):
-            rows = np.flatnonzero(sizes == k)
-            cs = centres[starts[rows][:, None] + np.arange(k * dims)[None, :]].reshape(len(rows), k, dims)
-            out[rows] = pick(np.sqrt(((vec[rows][:, None, :] - cs) ** 2).sum(axis=2)))
-        return out
+def _vectors(batch, dims: int):
+    return batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, dims)
+
+
+def _distances(columns: dict[str, str], dims: int, pick):
+    """mapInArrow body: for each centres column a new column with ``pick`` of the distances."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            vec = batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, dims)
-            new = [pa.array(reduce(vec, batch.column(c)), pa.float64()) for c in columns]
+            vec = _vectors(batch, dims)
+            new = [pa.array(_to_centres(vec, batch.column(c), dims, pick), pa.float64()) for c in columns]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *columns.values()])
 
     return run
 
 
+def _round_sums(dims: int):
+    """mapInArrow body of one Lloyd round: per batch only sums per (media, k, label) leave the task."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        nearest = lambda d: d.argmin(axis=1)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            vec = _vectors(batch, dims)
+            label = _to_centres(vec, batch.column("c"), dims, nearest).astype(np.int32)
+            old = _to_centres(vec, batch.column("before"), dims, nearest).astype(np.int32)
+            runs = pa.table({"m": batch.column("media_id"), "k": batch.column("k"), "l": pa.array(label)})
+            keys = runs.append_column("i", pa.array(np.arange(len(label)))).group_by(["m", "k", "l"]).aggregate([("i", "list")])
+            groups = [np.asarray(g) for g in keys.column("i_list").to_pylist()]
+            sums = [vec[g].sum(axis=0) for g in groups]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    keys.column("m").combine_chunks(), keys.column("k").combine_chunks(), keys.column("l").combine_chunks(),
+                    pa.array([len(g) for g in groups], pa.int64()), pa.array([int((label[g] != old[g]).sum()) for g in groups], pa.int64()),
+                    pa.array(sums, pa.list_(pa.float64())),
+                ],
+                names=["media_id", "k", "label", "n", "moved", "s"],
+            )
+
+    return run
+
+
 def _measure(df: DataFrame, columns: dict[str, str], dims: int, how: str) -> DataFrame:
     """Add per centres column the least distance (``min``) or the nearest centre, first on ties (``argmin``)."""
     pick = (lambda d: d.min(axis=1)) if how == "min" else (lambda d: d.argmin(axis=1))
@@ -218,16 +254,18 @@ def kmeans(rows: DataFrame, starts: DataFrame, dims: int, rounds: int = MAX_ROUN
     previous and the current centres are both derived there, so only centres are kept.  A
     (media, k) whose labels did not change leaves the loop; an empty cluster keeps its centre.
     """
+    key = rows.schema["media_id"].dataType.simpleString()
+    mean = F.expr("array(" + ", ".join(f"sum(s[{i}]) / sum(n)" for i in range(dims)) + ")")
     active = materialise(starts.select("media_id", "k", "c", F.lit(None).cast("array<double>").alias("before")))
     done = None
     for _ in range(rounds):
         joined = rows.join(active, "media_id")
         joined = joined.withColumn("before", F.coalesce("before", F.slice("c", 1, dims)))  # the first labels are all 0
-        seen = _measure(joined, {"c": "label", "before": "old"}, dims, "argmin")
-        stats = seen.groupBy("media_id", "k", "label").agg(
-            F.array(*[F.avg(F.col("vec")[i]) for i in range(dims)]).alias("mean"), F.count_if(F.col("label") != F.col("old")).alias("moved")
+        sums = joined.select("media_id", "k", "vec", "c", "before").mapInArrow(
+            _round_sums(dims), f"media_id {key}, k int, label int, n bigint, moved bigint, s array<double>"
         )
-        means = F.map_from_entries(F.collect_list(F.struct(F.col("label").cast("int"), "mean")))  # at most k entries
+        stats = sums.groupBy("media_id", "k", "label").agg(mean.alias("mean"), F.sum("moved").alias("moved"))
+        means = F.map_from_entries(F.collect_list(F.struct("label", "mean")))  # at most k entries
         moved = stats.groupBy("media_id", "k").agg(F.sum("moved").alias("moved"), means.alias("means"))
         keep = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.coalesce(F.try_element_at("means", i), F.slice("c", i * dims + 1, dims)))
         step = materialise(active.drop("before").join(moved, ["media_id", "k"]).select("media_id", "k", "moved", F.col("c").alias("before"), F.flatten(keep).alias("c")))
@@ -242,7 +280,7 @@ def kmeans(rows: DataFrame, starts: DataFrame, dims: int, rounds: int = MAX_ROUN
 
 def label_rows(rows: DataFrame, centres: DataFrame, dims: int) -> DataFrame:
     out = _measure(rows.join(centres, "media_id"), {"c": "label"}, dims, "argmin")
-    return out.select("media_id", "k", "idx", F.col("label").cast("int").alias("label"))
+    return out.select("media_id", F.col("k").cast("int").alias("k"), "idx", F.col("label").cast("int").alias("label"))
 
 
 def silhouettes(rows: DataFrame, labels: DataFrame, dims: int, max_k: int = MAX_K) -> DataFrame:
