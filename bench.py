@@ -26,6 +26,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = sys.argv[1:] or HEADLINE
+    os.environ.setdefault("PYSPARK_SUBMIT_ARGS", "--driver-memory 16g pyspark-shell")  # local mode: one JVM does it all
     spark = build_session("cuesheet-bench", master=f"local[{cpus}]", partitions=int(cpus))
     spark.sparkContext.setLogLevel("ERROR")
     queries = gather("queries")
