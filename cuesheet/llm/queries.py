@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesheet.llm import bpe, chat, lines, pieces
+from cuesheet.llm import bpe, chat, lines, minhash, pieces, quality
 from cuesheet.queries.registry import Registry
 
 query = Registry()
@@ -87,3 +87,15 @@ def line_dedup(spark, sf_dir):
 @query("op8_pieces")
 def piece_encoding(spark, sf_dir):
     return pieces.piece_digests(documents(spark, sf_dir), tokenizer_file(PIECE_FILE))
+
+
+@query("op9_quality_rules")
+def quality_rules(spark, sf_dir):
+    out = quality.repetition_rules(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.drop("text").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op10_near_dedup")
+def near_dedup(spark, sf_dir):
+    out = minhash.near_duplicates(documents(spark, sf_dir), k=4)
+    return out.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
