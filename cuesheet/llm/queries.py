@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesheet.llm import bpe, chat, lines, minhash, pieces, quality
+from cuesheet.llm import bpe, chat, lines, minhash, pieces, quality, tokenstore
+from cuesheet.llm.scratch import Scratch
 from cuesheet.queries.registry import Registry
 
 query = Registry()
@@ -99,3 +100,10 @@ def quality_rules(spark, sf_dir):
 def near_dedup(spark, sf_dir):
     out = minhash.near_duplicates(documents(spark, sf_dir), k=4)
     return out.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
+
+
+@query("op3_token_store")
+def token_store(spark, sf_dir):
+    store = Scratch(spark, "tokens").path("store")
+    tokenstore.write_store(documents(spark, sf_dir), store, tokenizer_file(BPE_FILE))
+    return tokenstore.read_store(spark, store, with_ids=False)
