@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesheet.llm import bpe, chat, lines, minhash, pieces, quality, tokenstore
+from cuesheet.llm import bpe, chat, language, lines, minhash, pieces, quality, tokenstore
 from cuesheet.llm.scratch import Scratch
 from cuesheet.queries.registry import Registry
 
@@ -107,3 +107,20 @@ def token_store(spark, sf_dir):
     store = Scratch(spark, "tokens").path("store")
     tokenstore.write_store(documents(spark, sf_dir), store, tokenizer_file(BPE_FILE))
     return tokenstore.read_store(spark, store, with_ids=False)
+
+
+@query("op7_language_id")
+def language_id(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    model = language.fit(docs)
+    out = language.identify(docs.select("doc_id", "text", "lang", "source"), model, F.col("text"), F.col("lang"), F.col("source"))
+    return out.select("doc_id", "language", "language_p", F.col("language_known").alias("kept"))
+
+
+@query("language_of_pages")
+def language_of_pages(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    model = language.fit(documents(spark, sf_dir))
+    body = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), r"<[^>]*>", " ")
+    out = language.identify(pages, model, body, language.declared_in(F.col("html")), F.col("url"))
+    return out.select("page_id", "language", "language_p", F.col("language_known").alias("kept"))
