@@ -1,0 +1,326 @@
+"""Benchmark passages in documents: latent semantic retrieval, then longest common subsequences and answers.
+
+Documents become passages of 64 words every 32 words.  TF-IDF rows of all passages over the benchmark's terms
+go through a distributed randomised SVD; passages near a benchmark passage in the latent space are candidates,
+and a candidate counts if enough of the benchmark passage is a common subsequence of the words around it.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from cuesheet.llm.scratch import Scratch
+from cuesheet.llm.words import split, texts
+
+STRIDE = 32  # words between passages; a passage has two strides
+ITEM_WORDS, ITEM_STRIDE = 64, 48  # longer benchmark items are cut
+BLOCK = 240  # benchmark passages searched in one latent space
+RANK, OVERSAMPLE = 272, 16
+COMMON = 0.01  # share of passages above which a term tells too little for the search
+THIN = 6  # terms a benchmark passage needs for the search; if it has fewer, its common terms count too
+NEAR = 0.35  # cosine of a candidate
+SURE, LIKELY = 0.8, 0.5  # share of common words: enough by itself, or with the answer
+ANSWER_WORDS = 5
+SHORT_ITEM = 8  # benchmark passages under so many words must be there as they are
+CHUNKS, SALTS = 64, 64
+
+
+class Block:
+    """Some benchmark passages and the terms in them."""
+
+    def __init__(self, items: list[tuple]):
+        self.ids, self.sequences, self.answers = [], [], []
+        hashes = []
+        for item_id, text, answer in items:
+            data, bounds = texts(pa.array([text or ""]))
+            word = split(data, bounds, bare=True)[2]
+            if not len(word):
+                continue
+            data, bounds = texts(pa.array([answer or ""]))
+            own = split(data, bounds, bare=True)[2] if answer else word[-ANSWER_WORDS:]
+            starts = [0] if len(word) <= ITEM_WORDS else [*range(0, len(word) - ITEM_WORDS, ITEM_STRIDE), len(word) - ITEM_WORDS]
+            for a in starts:
+                part = word[a : a + ITEM_WORDS]
+                self.ids.append(item_id)
+                hashes.append((part, own if answer or a + ITEM_WORDS >= len(word) else part[-ANSWER_WORDS:]))
+        self.terms = np.unique(np.concatenate([np.concatenate(h) for h in hashes])) if hashes else np.zeros(0, np.uint64)
+        for part, own in hashes:
+            self.sequences.append(np.searchsorted(self.terms, part))
+            self.answers.append(np.searchsorted(self.terms, own))
+
+    def find(self, word: np.ndarray) -> np.ndarray:
+        """The number of each word among the terms, or -1."""
+        seen = np.zeros(1 << 20, bool)
+        seen[self.terms >> np.uint64(44)] = True
+        out = np.full(len(word), -1, np.int32)
+        maybe = np.flatnonzero(seen[word >> np.uint64(44)])
+        at = np.minimum(np.searchsorted(self.terms, word[maybe]), len(self.terms) - 1)
+        hit = self.terms[at] == word[maybe]
+        out[maybe[hit]] = at[hit]
+        return out
+
+    def masks(self) -> np.ndarray:
+        """For each benchmark passage and term, the places of the term as bits."""
+        out = np.zeros((len(self.ids), len(self.terms)), np.uint64)
+        for i, s in enumerate(self.sequences):
+            np.bitwise_or.at(out[i], s, np.uint64(1) << np.arange(len(s), dtype=np.uint64))
+        return out
+
+
+def _blocks(benchmark: DataFrame):
+    """The benchmark in blocks of about ``BLOCK`` passages, so that the latent space has room for each."""
+    part, size = [], 0
+    for r in benchmark.toLocalIterator():
+        part.append((r["item"], r["text"], r["answer"]))
+        size += 1 + len((r["text"] or "").split()) // ITEM_STRIDE
+        if size >= BLOCK:
+            yield Block(part)
+            part, size = [], 0
+    if part:
+        yield Block(part)
+
+
+def _binary(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum(counts))) * values.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(values.tobytes())]).cast(pa.binary())
+
+
+def _found(docs: DataFrame, block: Block) -> DataFrame:
+    """Per document the benchmark terms in it and their places (binaries of 32-bit integers)."""
+    schema = T.StructType([*docs.drop("text").schema.fields, *(T.StructField(n, t) for n, t in (("n_words", T.LongType()), ("terms", T.BinaryType()), ("places", T.BinaryType())))])
+
+    def run(batches):
+        for batch in batches:
+            data, bounds = texts(batch.column("text"))
+            _, _, word, first = split(data, bounds, bare=True)
+            term = block.find(word)
+            hit = np.flatnonzero(term >= 0)
+            doc = np.searchsorted(first, hit, "right") - 1
+            counts = np.bincount(doc, minlength=len(batch))
+            others = [batch.column(c) for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*others, pa.array(np.diff(first)), _binary(term[hit], counts), _binary((hit - first[doc]).astype(np.int32), counts)], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+class Passages:
+    """The passages of a batch as a sparse matrix: sorted entries (row, term, count)."""
+
+    def __init__(self, batch: pa.RecordBatch, n_terms: int, use: np.ndarray | None = None):
+        words = batch.column("n_words").to_numpy()
+        self.sizes = np.maximum(1, -(-words // STRIDE) - 1)
+        self.base = np.concatenate(([0], np.cumsum(self.sizes)))
+        self.term = np.frombuffer(b"".join(batch.column("terms").to_pylist()), np.int32)
+        self.place = np.frombuffer(b"".join(batch.column("places").to_pylist()), np.int32)
+        counts = np.array([len(x) // 4 for x in batch.column("terms").to_pylist()], np.int64)
+        self.first = np.concatenate(([0], np.cumsum(counts)))
+        doc = np.repeat(np.arange(len(words)), counts)
+        keep = slice(None) if use is None else use[self.term]
+        doc, term, block = doc[keep], self.term[keep].astype(np.int64), self.place[keep] // STRIDE
+        here, before = block < self.sizes[doc], block > 0
+        key = np.concatenate(((self.base[doc] + block)[here] * n_terms + term[here], (self.base[doc] + block - 1)[before] * n_terms + term[before]))
+        key, self.count = np.unique(key, return_counts=True)
+        self.row, self.col = key // n_terms, key % n_terms
+        self.starts = np.flatnonzero(np.diff(self.row, prepend=-1))
+        self.rows = self.row[self.starts]
+
+    def weigh(self, idf: np.ndarray) -> np.ndarray:
+        """TF-IDF entries, each row of length one."""
+        value = self.count * idf[self.col]
+        if not len(value):
+            return value
+        norm = np.sqrt(np.add.reduceat(value * value, self.starts))
+        return value / np.repeat(norm, np.diff(self.starts, append=len(value)))
+
+    def times(self, value: np.ndarray, dense: np.ndarray) -> np.ndarray:
+        """The rows that have entries, times a dense matrix, a piece of rows at a time."""
+        out = np.zeros((len(self.rows), dense.shape[1]))
+        bounds = np.append(self.starts, len(value))
+        for a in range(0, len(self.rows), 512):
+            b = min(a + 512, len(self.rows))
+            lo, hi = bounds[a], bounds[b]
+            out[a:b] = np.add.reduceat(value[lo:hi, None] * dense[self.col[lo:hi]], bounds[a:b] - lo)
+        return out
+
+    def turned(self, value: np.ndarray, dense: np.ndarray, n_terms: int) -> np.ndarray:
+        """The transpose times a dense matrix with the rows of ``rows``."""
+        out = np.zeros((n_terms, dense.shape[1]))
+        order = np.argsort(self.col, kind="stable")
+        col, val, src = self.col[order], value[order], np.searchsorted(self.rows, self.row[order])
+        for a in range(0, len(col), 8192):
+            c = col[a : a + 8192]
+            starts = np.flatnonzero(np.diff(c, prepend=-1))
+            out[c[starts]] += np.add.reduceat(val[a : a + 8192, None] * dense[src[a : a + 8192]], starts)
+        return out
+
+
+def _add_up(found: DataFrame, n_terms: int, use: np.ndarray, shape: tuple[int, int], part) -> np.ndarray:
+    """The sum over all batches of ``part(Passages)``, a matrix of a size that the benchmark block bounds.
+
+    Tasks send their sums in chunks of rows; these are added per chunk and salt, then per chunk.
+    """
+    height = -(-shape[0] // CHUNKS)
+
+    def sums(batches):
+        total, salt = np.zeros(shape), 0
+        for batch in batches:
+            total += part(Passages(batch, n_terms, use))
+        from pyspark import TaskContext
+
+        salt = TaskContext.get().partitionId() % SALTS
+        chunks = [c for c in range(CHUNKS) if c * height < shape[0]]
+        yield pa.RecordBatch.from_arrays([pa.array(chunks), pa.array([salt] * len(chunks)), pa.array([total[c * height : (c + 1) * height].tobytes() for c in chunks])], names=["chunk", "salt", "data"])
+
+    def merge(batches):
+        held: dict = {}
+        for batch in batches:
+            for c, d in zip(batch.column("chunk").to_pylist(), batch.column("data").to_pylist()):
+                held[c] = held.get(c, 0) + np.frombuffer(d)
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([0] * len(held), pa.int64()), pa.array([v.tobytes() for v in held.values()], pa.binary())], names=["chunk", "salt", "data"])
+
+    fields = "chunk bigint, salt bigint, data binary"
+    rows = found.mapInArrow(sums, fields).repartition("chunk", "salt").mapInArrow(merge, fields).repartition("chunk").mapInArrow(merge, fields)
+    out = np.zeros(shape)
+    for r in rows.collect():
+        out[r["chunk"] * height : (r["chunk"] + 1) * height] = np.frombuffer(r["data"]).reshape(-1, shape[1])
+    return out
+
+
+def _search(found: DataFrame, block: Block) -> DataFrame:
+    """The matches of one block of the benchmark; see ``benchmark_matches``."""
+    n = len(block.terms)
+
+    def frequencies(batches):
+        df, rows = np.zeros(n, np.int64), 0
+        for batch in batches:
+            p = Passages(batch, n)
+            df += np.bincount(p.col, minlength=n)
+            rows += int(p.base[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, n)), pa.array(np.concatenate(([rows], df)))], names=["term", "n"])
+
+    counted = found.mapInArrow(frequencies, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(n + 1, np.int64)
+    df[counted["term"].to_numpy() + 1] = counted["n"].to_numpy()
+    total, df = df[0], df[1:]
+    idf = np.log((total + len(block.ids) + 1) / (df + 1.0)) + 1e-9
+    use = df <= COMMON * total
+    for s in block.sequences:
+        if use[np.unique(s)].sum() < min(THIN, len(np.unique(s))):
+            use = use.copy()
+            use[s] = True
+    queries = np.zeros((len(block.ids), n))
+    for i, s in enumerate(block.sequences):
+        np.add.at(queries[i], s, 1.0)
+    queries *= idf * use
+    queries /= np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-12)
+    # Benchmark passages are rows as well, heavy enough that the latent space holds their own directions.
+    weight = float(max(1, total))
+    width = min(RANK + OVERSAMPLE, n)
+    test = np.random.default_rng(11).standard_normal((n, width))
+    sketch = _add_up(found, n, use, (n, width), lambda p: p.turned(v := p.weigh(idf), p.times(v, test), n))
+    sketch += weight * queries.T @ (queries @ test)
+    basis, _ = np.linalg.qr(sketch)
+
+    def gram(p: Passages) -> np.ndarray:
+        y = p.times(p.weigh(idf), basis)
+        return y.T @ y
+
+    small = _add_up(found, n, use, (width, width), gram) + weight * (q := queries @ basis).T @ q
+    _, vectors = np.linalg.eigh(small)
+    latent = basis @ vectors[:, ::-1][:, :RANK]  # right singular vectors of the passages, largest first
+    aims = (queries @ latent).T
+    masks, sequences, answers, ids = block.masks(), block.sequences, block.answers, block.ids
+    lengths = np.array([len(s) for s in sequences])
+    key_fields = [f for f in found.schema.fields if f.name not in ("n_words", "terms", "places")]
+    added = [("item", T.LongType()), ("place", T.LongType()), ("cosine", T.DoubleType()), ("common", T.LongType()), ("item_words", T.LongType()), ("answered", T.BooleanType())]
+    schema = T.StructType([*key_fields, *(T.StructField(a, t) for a, t in added)])
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, len(whole), 512):
+                batch = whole.slice(at, 512)
+                p = Passages(batch, n, use)
+                cosine = p.times(p.weigh(idf), latent) @ aims
+                r, item = np.nonzero(cosine >= NEAR)
+                cosine = cosine[r, item]
+                passage = p.rows[r]
+                doc = np.searchsorted(p.base, passage, "right") - 1
+                start = (passage - p.base[doc]) * STRIDE
+                common, answered = _verify(p, doc, start, item, masks, answers)
+                share = common / lengths[item]
+                sure = np.where(lengths[item] < SHORT_ITEM, answered & (share == 1), (share >= SURE) | ((share >= LIKELY) & answered))
+                k = np.flatnonzero(sure)
+                keys = [batch.column(f.name).take(pa.array(doc[k])) for f in key_fields]
+                out = [pa.array([ids[i] for i in item[k]], pa.int64()), pa.array(start[k], pa.int64()), pa.array(cosine[k]), pa.array(common[k], pa.int64()), pa.array(lengths[item[k]], pa.int64()), pa.array(answered[k], pa.bool_())]
+                yield pa.RecordBatch.from_arrays([*keys, *out], names=schema.names)
+
+    return found.mapInArrow(run, schema)
+
+
+def _verify(p: Passages, doc, start, item, masks, answers) -> tuple[np.ndarray, np.ndarray]:
+    """For each candidate the length of the longest common subsequence of the benchmark passage and the
+    words from one stride before the passage to one after it, and whether the answer is there word by word."""
+    common, answered = np.zeros(len(doc), np.int64), np.zeros(len(doc), bool)
+    lo, hi = np.zeros(len(doc), np.int64), np.zeros(len(doc), np.int64)
+    for k, (d, s) in enumerate(zip(doc, start)):
+        a, b = p.first[d], p.first[d + 1]
+        lo[k], hi[k] = a + np.searchsorted(p.place[a:b], (s - STRIDE, s + 3 * STRIDE))
+    full = np.uint64(2**64 - 1)
+    for at in range(0, len(doc), 4096):
+        a, b, i = lo[at : at + 4096], hi[at : at + 4096], item[at : at + 4096]
+        state = np.full(len(a), full)
+        for step in range(int((b - a).max(initial=0))):
+            live = np.flatnonzero(a + step < b)
+            held = state[live]
+            hit = held & masks[i[live], p.term[a[live] + step]]
+            state[live] = (held + hit) | (held & ~hit)
+        common[at : at + 4096] = np.bitwise_count(~state)
+    for k, (a, b, i) in enumerate(zip(lo, hi, item)):
+        own = answers[i]
+        if common[k] >= len(own) and b - a >= len(own):
+            term, place = p.term[a:b], p.place[a:b]
+            for s in np.flatnonzero(term[: len(term) - len(own) + 1] == own[0]):
+                if place[s + len(own) - 1] - place[s] == len(own) - 1 and (term[s : s + len(own)] == own).all():
+                    answered[k] = True
+                    break
+    return common, answered
+
+
+def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None) -> DataFrame:
+    """(doc, version, item, place, cosine, common, item_words, answered): benchmark items found in documents.
+
+    Words are runs of bytes between blanks and ASCII punctuation, A-Z in lower case.  All documents give the document
+    frequencies, the sketch of the SVD and its inner products; every passage is scored against every benchmark
+    passage of a block.  A passage counts if ``SURE`` of the benchmark passage's words are common with the 128
+    words around it, in order, or ``LIKELY`` and the answer (``answer_col``, or the last ``ANSWER_WORDS`` words)
+    stands there word by word.  Benchmark passages under ``SHORT_ITEM`` words must be there in one piece.  ``place``
+    is the first word of the best passage; ``version`` the xxhash64 of the text.  One row per document text and item.
+
+    The benchmark goes through the driver a block of items at a time.  Null texts and texts without words, on either
+    side, match nothing.  Null ids are kept as null, apart by ``version``; rows with the same id and text are one.
+    Empty tables give no rows.
+    """
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "latent")
+    rows = docs.select(docs[id_col].alias("doc"), F.xxhash64(docs[text_col]).alias("version"), docs[text_col].alias("text"))
+    answer = benchmark[answer_col] if answer_col else F.lit(None).cast("string")
+    items = benchmark.select(benchmark[item_col].cast("bigint").alias("item"), benchmark[item_text_col].alias("text"), answer.alias("answer"))
+    parts = []
+    for block in _blocks(items):
+        if not block.ids:
+            continue
+        found = scratch.keep(_found(rows, block), "found")
+        parts.append(scratch.keep(_search(found, block), "matches"))
+        scratch.drop(found)
+    if not parts:
+        schema = T.StructType([*rows.drop("text").schema.fields, *T.StructType.fromDDL("item bigint, place bigint, cosine double, common bigint, item_words bigint, answered boolean").fields])
+        return spark.createDataFrame([], schema)
+    every = parts[0]
+    for more in parts[1:]:
+        every = every.union(more)
+    best = F.max_by(F.struct("place", "cosine", "common", "item_words", "answered"), F.struct("common", "cosine", -F.col("place")))
+    return every.groupBy("doc", "version", "item").agg(best.alias("m")).select("doc", "version", "item", "m.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesheet.llm import bpe, chat, language, lines, minhash, pieces, quality, tokenstore
+from cuesheet.llm import bpe, chat, language, latent, lines, minhash, pieces, quality, tokenstore
 from cuesheet.llm.scratch import Scratch
 from cuesheet.queries.registry import Registry
 
@@ -124,3 +124,11 @@ def language_of_pages(spark, sf_dir):
     body = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), r"<[^>]*>", " ")
     out = language.identify(pages, model, body, language.declared_in(F.col("html")), F.col("url"))
     return out.select("page_id", "language", "language_p", F.col("language_known").alias("kept"))
+
+
+@query("op5_decontamination")
+def decontamination(spark, sf_dir):
+    found = latent.benchmark_matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select(
+        F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), F.round("cosine", 3).alias("cosine"), F.col("common").alias("lcs_words"), "item_words", "answered"
+    )

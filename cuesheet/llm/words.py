@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+MARKS = SPACE.copy()  # blanks and ASCII punctuation
+MARKS[[*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
 _PIECE = 1 << 20
 _LOW = 12  # bits of a position answered by the first table of powers
 
@@ -21,6 +23,8 @@ _BYTE = _draw.integers(0, 2**64, 256, dtype=np.uint64)
 _BYTE[SPACE] = 0
 _FOLDED = _BYTE.copy()
 _FOLDED[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
+_BARE = _FOLDED.copy()
+_BARE[MARKS] = 0
 _BASE = int(_draw.integers(0, 2**62, dtype=np.uint64)) * 8 + 3
 WORD_BASE = int(_draw.integers(0, 2**62, dtype=np.uint64)) * 8 + 5
 
@@ -69,17 +73,18 @@ def _cuts(data: np.ndarray, bounds: np.ndarray) -> list[int]:
     return cuts + [n] if n > cuts[-1] else cuts
 
 
-def split(data: np.ndarray, bounds: np.ndarray, fold: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def split(data: np.ndarray, bounds: np.ndarray, fold: bool = False, bare: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, hash) of every word, and the number of words before each text.
 
-    ``fold`` lower-cases A-Z in the hashes.  Equal words have equal hashes.
+    ``fold`` lower-cases A-Z in the hashes; ``bare`` does so and parts words at ASCII punctuation too.  Equal
+    words have equal hashes.
     """
-    table = _FOLDED if fold else _BYTE
+    table, gap = (_BARE, MARKS) if bare else (_FOLDED if fold else _BYTE, SPACE)
     starts, ends, hashes = [], [], []
     cuts = _cuts(data, bounds)
     for lo, hi in zip(cuts, cuts[1:]):
         part = data[lo:hi]
-        solid = ~SPACE[part]
+        solid = ~gap[part]
         begins = solid.copy()
         begins[1:] &= ~solid[:-1]
         stops = solid.copy()
