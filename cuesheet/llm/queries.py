@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesheet.llm import bpe, chat, language, latent, lines, minhash, pieces, quality, tokenstore
+from cuesheet.llm import bpe, chat, language, latent, lines, minhash, pieces, quality, substrings, tokenstore
 from cuesheet.llm.scratch import Scratch
 from cuesheet.queries.registry import Registry
 
@@ -132,3 +132,19 @@ def decontamination(spark, sf_dir):
     return found.select(
         F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), F.round("cosine", 3).alias("cosine"), F.col("common").alias("lcs_words"), "item_words", "answered"
     )
+
+
+@query("op1_substring_dedup", """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS a FROM documents),
+win AS (SELECT doc_id, unnest(range(1, len(a) - 48)) AS k, a FROM w WHERE len(a) >= 50),
+keyed AS (SELECT doc_id, k, md5(array_to_string(a[k:k + 49], ' ')) AS h FROM win),
+owned AS (SELECT doc_id, k, min(doc_id) OVER (PARTITION BY h) AS owner FROM keyed),
+gone AS (SELECT DISTINCT doc_id, k + d AS pos FROM (SELECT doc_id, k, unnest(range(0, 50)) AS d FROM owned WHERE owner < doc_id)),
+words AS (SELECT doc_id, unnest(range(1, len(a) + 1)) AS pos, unnest(a) AS word FROM w)
+SELECT w.doc_id, CAST(len(w.a) AS BIGINT) AS n_words, coalesce(g.n, 0) AS n_removed, sha256(coalesce(t.kept, '')) AS kept_sha256
+FROM w LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g ON g.doc_id = w.doc_id
+LEFT JOIN (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.pos) AS kept FROM words x
+           LEFT JOIN gone y ON y.doc_id = x.doc_id AND y.pos = x.pos WHERE y.doc_id IS NULL GROUP BY x.doc_id) t ON t.doc_id = w.doc_id""")
+def substring_dedup(spark, sf_dir):
+    out = substrings.repeated_windows(documents(spark, sf_dir))
+    return out.select(F.col("doc").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
