@@ -146,7 +146,7 @@ def identify(docs: DataFrame, model: dict, text: Column, declared: Column | None
     docs = docs.select(*[docs[c] for c in docs.columns if c not in ("language", "language_p", "language_known")])
     own = docs.columns
     address = F.lit(None).cast("string") if address is None else address
-    held = docs.select(*own, text.alias("_t"), F.lower(F.lit(None).cast("string") if declared is None else declared).alias("_d"), host_of(address).alias("_h"), suffix_of(address).alias("_s"))
+    held = docs.select(F.struct(*own).alias("row"), text.alias("_t"), F.lower(F.lit(None).cast("string") if declared is None else declared).alias("_d"), host_of(address).alias("_h"), suffix_of(address).alias("_s"))
     seen = _with_text(held.select("_t", "_d", "_h", "_s"), model, "_t").filter("_ll IS NOT NULL").select("_d", "_h", "_s", _normal(F.col("_ll")).alias("p"))
     k = range(len(names))
     sums = [F.sum(F.col("p")[i]).alias(f"p{i}") for i in k]
@@ -187,9 +187,9 @@ def identify(docs: DataFrame, model: dict, text: Column, declared: Column | None
         lambda z: z["t"] + z["d"] + z["s"] + z["h"],
     )
     if not names:
-        return rows.select(*own, F.lit(UNKNOWN).alias("language"), F.lit(0.0).alias("language_p"), F.lit(False).alias("language_known"))
+        return rows.select("row.*", F.lit(UNKNOWN).alias("language"), F.lit(0.0).alias("language_p"), F.lit(False).alias("language_known"))
     rows = rows.withColumn("_p", F.when(F.col("_ll").isNotNull(), _normal(fused)))
     best = F.array_max("_p")
     label = F.get(F.array(*[F.lit(n) for n in names]), (F.array_position("_p", best) - 1).cast("int"))
     known = F.col("_p").isNotNull()
-    return rows.select(*own, F.when(known, label).otherwise(UNKNOWN).alias("language"), F.round(F.coalesce(best, F.lit(0.0)), 6).alias("language_p"), known.alias("language_known"))
+    return rows.select("row.*", F.when(known, label).otherwise(UNKNOWN).alias("language"), F.round(F.coalesce(best, F.lit(0.0)), 6).alias("language_p"), known.alias("language_known"))

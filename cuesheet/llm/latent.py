@@ -20,12 +20,12 @@ STRIDE = 32  # words between passages; a passage has two strides
 ITEM_WORDS, ITEM_STRIDE = 64, 48  # longer benchmark items are cut
 BLOCK = 240  # benchmark passages searched in one latent space
 RANK, OVERSAMPLE = 272, 16
-COMMON = 0.01  # share of passages above which a term tells too little for the search
+COMMON, COMMON_ROWS = 0.01, 50  # a term in more passages than both this share and number tells too little for the search
 THIN = 6  # terms a benchmark passage needs for the search; if it has fewer, its common terms count too
 NEAR = 0.35  # cosine of a candidate
 SURE, LIKELY = 0.8, 0.5  # share of common words: enough by itself, or with the answer
 ANSWER_WORDS = 5
-SHORT_ITEM = 8  # benchmark passages under so many words must be there as they are
+SHORT_ITEM, LEAST_ITEM = 8, 4  # benchmark passages under 8 words must be there as they are; under 4, they match nothing
 CHUNKS, SALTS = 64, 64
 
 
@@ -38,7 +38,7 @@ class Block:
         for item_id, text, answer in items:
             data, bounds = texts(pa.array([text or ""]))
             word = split(data, bounds, bare=True)[2]
-            if not len(word):
+            if len(word) < LEAST_ITEM:
                 continue
             data, bounds = texts(pa.array([answer or ""]))
             own = split(data, bounds, bare=True)[2] if answer else word[-ANSWER_WORDS:]
@@ -46,7 +46,7 @@ class Block:
             for a in starts:
                 part = word[a : a + ITEM_WORDS]
                 self.ids.append(item_id)
-                hashes.append((part, own if answer or a + ITEM_WORDS >= len(word) else part[-ANSWER_WORDS:]))
+                hashes.append((part, own if len(own) and answer or a + ITEM_WORDS >= len(word) else part[-ANSWER_WORDS:]))
         self.terms = np.unique(np.concatenate([np.concatenate(h) for h in hashes])) if hashes else np.zeros(0, np.uint64)
         for part, own in hashes:
             self.sequences.append(np.searchsorted(self.terms, part))
@@ -207,7 +207,7 @@ def _search(found: DataFrame, block: Block) -> DataFrame:
     df[counted["term"].to_numpy() + 1] = counted["n"].to_numpy()
     total, df = df[0], df[1:]
     idf = np.log((total + len(block.ids) + 1) / (df + 1.0)) + 1e-9
-    use = df <= COMMON * total
+    use = df <= max(COMMON * total, COMMON_ROWS)
     for s in block.sequences:
         if use[np.unique(s)].sum() < min(THIN, len(np.unique(s))):
             use = use.copy()
@@ -297,7 +297,8 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     frequencies, the sketch of the SVD and its inner products; every passage is scored against every benchmark
     passage of a block.  A passage counts if ``SURE`` of the benchmark passage's words are common with the 128
     words around it, in order, or ``LIKELY`` and the answer (``answer_col``, or the last ``ANSWER_WORDS`` words)
-    stands there word by word.  Benchmark passages under ``SHORT_ITEM`` words must be there in one piece.  ``place``
+    stands there word by word.  Items under ``SHORT_ITEM`` words must be there
+    in one piece; under ``LEAST_ITEM`` words they match nothing.  ``place``
     is the first word of the best passage; ``version`` the xxhash64 of the text.  One row per document text and item.
 
     The benchmark goes through the driver a block of items at a time.  Null texts and texts without words, on either
