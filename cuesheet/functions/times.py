@@ -25,6 +25,9 @@ def centiseconds(ms: Column) -> Column:
     return whole + F.when(up, F.lit(1)).otherwise(F.lit(0))
 
 
+GREATEST_SECONDS = 9.0e12  # in milliseconds still a whole double
+
+
 def ass_time(ms: Column) -> Column:
     cs = centiseconds(ms)
     return F.format_string(
@@ -43,17 +46,18 @@ def seconds(ms: Column) -> Column:
 
 
 def millis(sec: Column) -> Column:
-    """Seconds to milliseconds, rounded once on ingest."""
-    return F.floor(F.least(sec.cast("double"), F.lit(9.0e12)) * 1000.0 + 0.5).cast("bigint")
+    """Seconds to milliseconds, rounded once on ingest; null beyond what a double holds exactly."""
+    whole = sec.cast("double")
+    return F.when(F.abs(whole) <= GREATEST_SECONDS, F.floor(whole * 1000.0 + 0.5).cast("bigint"))
 
 
 def _clock(c: Column, mark: str, unit: int) -> Column:
     """``h:m:s<mark>fraction``; the fraction is a whole number of 1/unit seconds.  Bad text -> null."""
-    number = r"\s*([+-]?\d{1,9})\s*"
+    number = r"\s*([+-]?\d+)\s*"
     pattern = f"^{number}:{number}:{number}{mark}{number}$"
-    part = [F.regexp_extract(c, pattern, i).try_cast("bigint") for i in range(1, 5)]
+    part = [F.regexp_extract(c, pattern, i).try_cast("decimal(24,0)") for i in range(1, 5)]
     ms = part[0] * 3_600_000 + part[1] * 60_000 + part[2] * 1000 + part[3] * (1000 // unit)
-    return F.when(c.rlike(pattern), ms)
+    return F.when(c.rlike(pattern), ms.try_cast("bigint"))
 
 
 def parse_srt_time(c: Column) -> Column:

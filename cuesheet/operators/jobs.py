@@ -47,7 +47,7 @@ def possibly_truncated(generated: Column, max_new: Column) -> Column:
 
 
 def audio_token_plan(
-    samples: Column, *, chunk: int = 480_000, hop: int = 160, merge: int = 4, per_second: float = 12.5, every: int = 2, digits: int = 7
+    samples: Column, *, chunk: int = 480_000, hop: int = 160, merge: int = 4, per_second: float = 12.5, every: int = 2
 ) -> tuple[Column, Column]:
     """(audio tokens, time-marker digits) of a recording.
 
@@ -59,14 +59,24 @@ def audio_token_plan(
     whole, rest = F.floor(samples / chunk).cast("bigint"), samples % chunk
     tokens = whole * ((chunk - 1) // stride + 1) + F.when(rest > 0, F.floor((rest - 1) / stride).cast("bigint") + 1).otherwise(0)
     last = F.floor(tokens / per_second).cast("bigint")
-    marks = F.lit(0).cast("bigint")
-    for d in range(1, digits + 1):
-        upto = F.floor(F.least(last, F.lit(10**d - 1)) / every)
-        below = (10 ** (d - 1) - 1) // every
-        marks = marks + F.greatest(F.lit(0), upto - below).cast("bigint") * d
+    lengths = F.sequence(F.lit(1), F.length(last.cast("string")))
+
+    def with_digits(d: Column) -> Column:
+        """Digits of all markers whose second has ``d`` digits; powers of ten up to 10**18 are exact doubles."""
+        top = F.least(last, F.pow(F.lit(10.0), d).cast("bigint") - 1)
+        below = F.pow(F.lit(10.0), d - 1).cast("bigint") - 1
+        return (F.floor(top / every) - F.floor(below / every)).cast("bigint") * d
+
+    marks = F.aggregate(lengths, F.lit(0).cast("bigint"), lambda sum_, d: sum_ + with_digits(d))
     return tokens, marks
 
 
+def prompt_fits(tokens: Column, marks: Column, before: Column, after: Column, placeholders: Column, max_length: Column) -> Column:
+    """Null if a prompt of ``before`` and ``after`` tokens around the audio can be built, else what is wrong."""
+    count = F.concat(F.lit("expected one audio placeholder, got "), placeholders.cast("string"))
+    return F.when(placeholders != 1, count).when(before + tokens + marks + after > max_length, "prompt and audio exceed the greatest length")
+
+
 def is_running(status: Column) -> Column:
     return status.isin(*RUNNING)
 
@@ -265,7 +275,7 @@ def insert_at(o: Ordered, inserts: DataFrame, media: DataFrame | None = None) ->
     at = _cs(F.greatest(F.lit(0), F.col("at_ms")))
     # Same-time starts do not count as next, so probes sort after them.
     probes = inserts.select("media_id", at.alias("at"), F.lit(2).alias("w"), F.col("insert_no").alias("n"), F.lit(None).cast("bigint").alias("mark"))
-    line = arrange(marks.unionByName(probes), ("media_id",), ("at", "w", "n"), like=o)
+    line = arrange(marks.unionByName(probes), ("media_id",), ("at", "w", "n"), limit=o.limit)
     line = line.running({"next": ("min", F.col("mark"))}, reverse=True)
     df = line.df.filter("w = 2")
     if media is not None:

@@ -49,7 +49,7 @@ def nearest_turn(segs: DataFrame, turns: DataFrame, like: Ordered) -> DataFrame:
                              best.alias("mark"), F.lit(None).cast("bigint").alias("p"), F.lit(None).cast("bigint").alias("mid2"))
         probes = segs.select("media_id", F.col(seg_at).alias("at"), F.lit(1 if not reverse else 0).alias("what"), F.col("p").alias("n"),
                              F.lit(None).cast(marks.schema["mark"].dataType).alias("mark"), "p", (F.col("start_ms") + F.col("end_ms")).alias("mid2"))
-        line = arrange(marks.unionByName(probes), ("media_id",), ("at", "what", "n"), like=like)
+        line = arrange(marks.unionByName(probes), ("media_id",), ("at", "what", "n"), limit=like.limit)
         line = line.running({"seen": (kind, F.col("mark"))}, reverse=reverse)
         return line.df.filter(F.col("p").isNotNull()).select("media_id", "p", "mid2", F.col("seen").alias(name))
 
@@ -125,7 +125,7 @@ def label_status(o: Ordered, *, enabled: bool = True) -> DataFrame:
 
 
 def choose_backend(o: Ordered, preferred: DataFrame, fallback: DataFrame, backend: str = "auto") -> Ordered:
-    """Labels of the preferred backend, else of the fallback, with the reason.
+    """Per media the labels of the preferred backend, else of the fallback, with the reason.
 
     ``preferred`` / ``fallback``: media_id, idx, speaker, error (a failed media has rows
     with ``error`` set).  With an explicit backend a failure leaves rows as they are.
@@ -133,8 +133,12 @@ def choose_backend(o: Ordered, preferred: DataFrame, fallback: DataFrame, backen
     p = preferred.select("media_id", "idx", F.col("speaker").alias("_ps"), F.col("error").alias("_pe"))
     f = fallback.select("media_id", "idx", F.col("speaker").alias("_fs"), F.col("error").alias("_fe"))
     df = o.df.join(p, ["media_id", "idx"], "left").join(f, ["media_id", "idx"], "left")
-    first = F.when(F.col("_pe").isNull(), F.col("_ps"))
-    second = F.when(F.col("_fe").isNull(), F.col("_fs"))
+    # One backend names all speakers of a media: the preferred one if it gave labels there and no error.
+    media = lambda t, s, e: t.groupBy("media_id").agg(F.max(e).alias(f"{e}_media"), F.max(s).alias(f"{s}_media"))
+    df = df.join(media(p, "_ps", "_pe"), "media_id", "left").join(media(f, "_fs", "_fe"), "media_id", "left")
+    p_fine, f_fine = F.col("_pe_media").isNull() & F.col("_ps_media").isNotNull(), F.col("_fe_media").isNull() & F.col("_fs_media").isNotNull()
+    df = df.withColumns({"_pok": p_fine, "_fok": f_fine, "_pe": F.col("_pe_media"), "_fe": F.col("_fe_media")})
+    first, second = F.when(F.col("_pok"), F.coalesce("_ps", "speaker")), F.when(F.col("_fok"), F.coalesce("_fs", "speaker"))
     if backend == "auto":
         method = F.when(first.isNotNull(), "preferred").when(second.isNotNull(), "fallback").otherwise("none")
         note = F.when(first.isNull(), F.concat(F.lit("preferred failed: "), F.coalesce("_pe", F.lit("no result"))))
@@ -145,7 +149,7 @@ def choose_backend(o: Ordered, preferred: DataFrame, fallback: DataFrame, backen
         method = F.when(own.isNotNull(), backend).otherwise("none")
         note = F.when(own.isNull(), F.coalesce(error, F.lit("no result")))
         speaker = F.coalesce(own, F.col("speaker"))
-    return o.of(df.withColumn("method", method).withColumn("note", note).withColumn("speaker", speaker).drop("_ps", "_pe", "_fs", "_fe"))
+    return o.of(df.withColumn("method", method).withColumn("note", note).withColumn("speaker", speaker).drop("_ps", "_pe", "_fs", "_fe", "_pe_media", "_ps_media", "_fe_media", "_fs_media", "_pok", "_fok"))
 
 
 # ---- clustering: every media and every k in the same passes -------------------

@@ -12,10 +12,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _timeline(rows: DataFrame, base: DataFrame) -> Ordered:
-    """Lay sentences on a millisecond timeline; ``base`` is the narrow frame to measure group sizes on."""
-    probe = arrange(base, ("media_id",), ("turn",))
-    o = arrange(rows, ("media_id",), ("turn", "pos"), like=probe)
+def _timeline(rows: DataFrame) -> Ordered:
+    """Lay sentences on a millisecond timeline."""
+    o = arrange(rows, ("media_id",), ("turn", "pos"))
     idx = F.col(POS) + 1
     long_gap = F.when(idx % 41 == 0, 15_000).when(idx % 17 == 0, 2_000).otherwise(0)
     gap = ((F.col("media_id") * 7 + idx * 13) % 11) * 150 - 300 + long_gap
@@ -41,7 +40,7 @@ def conversation_segments(spark: SparkSession, sf_dir: str) -> Ordered:
         turns.select(F.col("conv_id").alias("media_id"), "turn", speaker.alias("speaker"), F.posexplode(_sentences("text")).alias("pos", "text"))
         .filter(F.col("text") != "")
     )
-    return _timeline(rows, turns.select(F.col("conv_id").alias("media_id"), "turn"))
+    return _timeline(rows)
 
 
 def document_segments(spark: SparkSession, sf_dir: str) -> Ordered:
@@ -55,4 +54,4 @@ def document_segments(spark: SparkSession, sf_dir: str) -> Ordered:
         )
         .filter(F.col("text") != "")
     )
-    return _timeline(rows, docs.select(F.col("doc_id").alias("media_id"), F.lit(0).alias("turn")))
+    return _timeline(rows)

@@ -2,30 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuesheet.functions import times as tm
 from cuesheet.ordering import Ordered, as_ordered
+from cuesheet.session import materialise
 from cuesheet.sinks.ass import export_ass
 from cuesheet.sinks.subtitles import export_json, export_srt, segment_struct
 
 BOM = "﻿"
 
 
-def write_texts(df: DataFrame, path: str, column: str = "text", *, bom: bool = False) -> None:
-    """One folder per media under ``path``, optionally with a byte-order mark in front."""
+def write_texts(df: DataFrame, path: str, column: str = "text", *, bom: bool = False, version: int | None = None) -> None:
+    """Append one version of the texts of some media to the table at ``path``: media_id, version, text.
+
+    Media of earlier calls stay as they are; ``read_texts`` gives the newest version of each.  ``version`` is
+    the time in microseconds unless given.  ``bom`` puts a byte-order mark in front.
+    """
+    text = F.concat(F.lit(BOM), F.col(column)) if bom else F.col(column)
+    version = time.time_ns() // 1000 if version is None else version
+    df.select("media_id", F.lit(version).cast("bigint").alias("version"), text.alias("text")).write.mode("append").parquet(path)
+
+
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(media_id, version, text): the newest version of each media in a table of texts."""
+    newest = F.max_by("text", "version").alias("text")
+    return spark.read.parquet(path).groupBy("media_id").agg(F.max("version").alias("version"), newest).select("media_id", "version", "text")
+
+
+def export_files(df: DataFrame, path: str, column: str = "text", *, bom: bool = False) -> None:
+    """Plain text files, one folder per media, for players: folders of other media stay.  Not for millions of media."""
     body = F.regexp_replace(column, r"\n\z", "")  # the writer ends each row with one newline itself
     text = F.concat(F.lit(BOM), body) if bom else body
-    df.select("media_id", text.alias("value")).write.mode("overwrite").partitionBy("media_id").text(path)
+    df.select("media_id", text.alias("value")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("media_id").text(path)
 
 
-def write_media_set(rows: DataFrame | Ordered, path: str, style: dict | None = None, *, show_speaker: bool = False) -> None:
-    """segments (JSON), srt and ass datasets under ``path``, and the first version of the segments kept once."""
+def write_media_set(rows: DataFrame | Ordered, path: str, style: dict | None = None, *, show_speaker: bool = False, version: int | None = None) -> None:
+    """Tables of texts under ``path``: segments (JSON), srt and ass, and the first segments of each media under source.
+
+    The rows are computed once.  A media that has a source already keeps it.
+    """
     o = as_ordered(rows)
-    write_texts(export_json(o).withColumnRenamed("json", "text"), f"{path}/segments")
-    write_texts(export_srt(o, show_speaker=show_speaker).withColumnRenamed("srt", "text"), f"{path}/srt", bom=True)
-    write_texts(export_ass(o, style).withColumnRenamed("ass", "text"), f"{path}/ass", bom=True)
+    o = o.of(materialise(o.df))
+    spark = o.df.sparkSession
+    version = time.time_ns() // 1000 if version is None else version
+    json = export_json(o).withColumnRenamed("json", "text")
+    try:
+        had = spark.read.parquet(f"{path}/source").select("media_id")
+    except AnalysisException:  # no source was written so far
+        had = None
+    write_texts(json if had is None else keep_source_once(had, json), f"{path}/source", version=version)
+    write_texts(json, f"{path}/segments", version=version)
+    write_texts(export_srt(o, show_speaker=show_speaker).withColumnRenamed("srt", "text"), f"{path}/srt", bom=True, version=version)
+    write_texts(export_ass(o, style).withColumnRenamed("ass", "text"), f"{path}/ass", bom=True, version=version)
 
 
 def keep_source_once(snapshots: DataFrame, current: DataFrame) -> DataFrame:

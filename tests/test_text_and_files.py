@@ -8,10 +8,12 @@ from cuesheet.functions import text as tx
 from cuesheet.functions import times as tm
 from cuesheet.functions import translation as tl
 from cuesheet.operators import jobs as jb
+from cuesheet.operators import speakers as sp
 from cuesheet.operators import translate as tn
 from cuesheet.ordering import arrange
 from cuesheet.sinks import files as fl
 from cuesheet.sinks import subtitles as sb
+from cuesheet.sources import records as rec
 from cuesheet.sources import subtitle_files as sf
 from cuesheet.sources import transcripts as tr
 
@@ -115,19 +117,71 @@ def test_repair_rounds_reach_single_units(spark):
     assert sorted((r.lo, r.hi, r.context_lo, r.context_hi) for r in halves.collect()) == [(0, 3, 0, 5), (3, 7, 1, 7)]
 
 
+def _media_rows(spark, rows):
+    return arrange(spark.createDataFrame(rows, SCHEMA).withColumn("id", F.format_string("seg_%04d", "idx")))
+
+
 def test_files_round_trip(spark, tmp_path):
-    rows = [(1, 1, 0, 900, "S01", "one"), (1, 2, 1000, 1900, "S02", "two"), (2, 1, 0, 500, "S01", "three")]
-    o = arrange(spark.createDataFrame(rows, SCHEMA).withColumn("id", F.format_string("seg_%04d", "idx")))
-    fl.write_media_set(o, str(tmp_path), show_speaker=True)
-    srt = next((tmp_path / "srt" / "media_id=1").glob("*.txt")).read_text(encoding="utf-8")
-    assert srt.startswith("﻿1\n00:00:00,000 --> 00:00:00,900\nS01: one\n\n2\n") and srt.endswith("S02: two\n")
-    back = sf.parse_srt(sf.read_subtitle_texts(spark, str(tmp_path / "srt")).filter("kind = 'txt'"))
-    assert sorted((r.start_ms, r.speaker, r.text) for r in back.collect()) == [(0, "S01", "one"), (0, "S01", "three"), (1000, "S02", "two")]
+    """Two media written by two calls are both there; a rewritten media has its newest text and its first source."""
+    first = [(1, 1, 0, 900, "S01", "north"), (1, 2, 1000, 1900, "S02", "south")]
+    where = f"file://{tmp_path}/set"
+    fl.write_media_set(_media_rows(spark, first), where, show_speaker=True, version=1)
+    fl.write_media_set(_media_rows(spark, [(2, 1, 0, 500, "S01", "east")]), where, show_speaker=True, version=2)
+    fl.write_media_set(_media_rows(spark, [(1, 1, 0, 900, "S01", "west")]), where, show_speaker=True, version=3)
+    srt = {r.media_id: r.text for r in fl.read_texts(spark, f"{where}/srt").collect()}
+    assert srt == {1: "\ufeff1\n00:00:00,000 --> 00:00:00,900\nS01: west\n", 2: "\ufeff1\n00:00:00,000 --> 00:00:00,500\nS01: east\n"}
+    source = {r.media_id: (r.version, "north" in r.text) for r in fl.read_texts(spark, f"{where}/source").collect()}
+    assert source == {1: (1, True), 2: (2, False)}
+    good, bad = rec.parse_segment_json(fl.read_texts(spark, f"{where}/segments"))
+    assert sorted((r.media_id, r.text) for r in good.collect()) == [(1, "west"), (2, "east")] and bad.count() == 0
+
+
+def test_plain_files_of_other_media_stay(spark, tmp_path):
+    where = f"file://{tmp_path}/plain"
+    for rows in ([(1, 1, 0, 900, "S01", "north"), (1, 2, 1000, 1900, "S02", "south")], [(2, 1, 0, 500, "S01", "east")]):
+        fl.export_files(sb.export_srt(_media_rows(spark, rows), show_speaker=True), where, "srt", bom=True)
+    back = sf.parse_srt(sf.read_subtitle_texts(spark, where).filter("kind = 'txt'"))
+    assert sorted((r.media_id, r.start_ms, r.speaker, r.text) for r in back.collect()) == [("media_id=1", 0, "S01", "north"), ("media_id=1", 1000, "S02", "south"), ("media_id=2", 0, "S01", "east")]
     (tmp_path / "t").mkdir()
-    (tmp_path / "t" / "m.txt").write_text(sb.render_transcript(o).filter("media_id = 1").first().text)
+    (tmp_path / "t" / "m.txt").write_text(sb.render_transcript(_media_rows(spark, [(1, 1, 0, 900, "S01", "up"), (1, 2, 1000, 1900, "S02", "down")])).first().text)
     assert tr.parse_transcripts(tr.read_transcripts(spark, str(tmp_path / "t"))).count() == 2
 
 
+def test_long_stamps_and_late_times(spark):
+    df = spark.createDataFrame([("0:00:01,0000000005", "123456789012:00:00.10", 1e13, 12.0004)], "a string, b string, s double, t double")
+    r = df.select(tm.parse_srt_time(F.col("a")), tm.parse_ass_time(F.col("b")), tm.millis(F.col("s")), tm.millis(F.col("t"))).first()
+    assert tuple(r) == (1005, 123456789012 * 3_600_000 + 100, None, 12000)
+
+
+def test_every_segment_text_has_an_outcome(spark):
+    texts = [(1, '[{"start":0'), (2, '{"a":1}'), (3, '[{"id":"x","start":0,"end":1,"speaker":"S01","text":"t"}]'), (4, None), (5, '[{"start":1e13,"end":2e13}]'), (6, "[]")]
+    good, bad = rec.parse_segment_json(spark.createDataFrame(texts, "media_id bigint, text string"))
+    assert [r.media_id for r in good.collect()] == [3]
+    assert sorted((r.media_id, r.reason) for r in bad.collect()) == [(1, "unreadable text"), (2, "missing start or end"), (4, "unreadable text"), (5, "time out of range")]
+
+
+def test_marks_beyond_ten_million_seconds(spark):
+    df = spark.createDataFrame([(s * 16000,) for s in (10, 10_000_100, 10_000_000_000)], "n bigint")
+    got = [r.m for r in df.select(jb.audio_token_plan(F.col("n"))[1].alias("m")).collect()]
+    digits = lambda last: sum(d * (min(last, 10**d - 1) // 2 - (10 ** (d - 1) - 1) // 2) for d in range(1, len(str(last)) + 1))
+    assert got == [digits(10), digits(10_000_100), digits(10_000_000_000)]
+
+
+def test_prompts_that_do_not_fit(spark):
+    df = spark.createDataFrame([(1, 100), (2, 100), (1, 10)], "p int, most int")
+    got = [r[0] for r in df.select(jb.prompt_fits(F.lit(12), F.lit(3), F.lit(4), F.lit(5), F.col("p"), F.col("most"))).collect()]
+    assert got == [None, "expected one audio placeholder, got 2", "prompt and audio exceed the greatest length"]
+
+
+def test_one_backend_names_a_media(spark):
+    o = _media_rows(spark, [(1, 1, 0, 9, "S00", "a"), (1, 2, 10, 19, "S00", "b"), (2, 1, 0, 9, "S00", "c")])
+    kind = "media_id bigint, idx bigint, speaker string, error string"
+    p = spark.createDataFrame([(1, 1, "P1", None), (2, 1, None, "not enough voiced audio")], kind)
+    f = spark.createDataFrame([(1, 2, "C1", None), (2, 1, "C1", None)], kind)
+    got = {(r.media_id, r.idx): (r.speaker, r.method, r.note) for r in sp.choose_backend(o, p, f).df.collect()}
+    assert got == {(1, 1): ("P1", "preferred", None), (1, 2): ("S00", "preferred", None), (2, 1): ("C1", "fallback", "preferred failed: not enough voiced audio")}
+
+
 def test_sources_are_kept_once(spark):
     now = spark.createDataFrame([(1, "new"), (2, "new")], "media_id bigint, text string")
     had = spark.createDataFrame([(1, "old")], "media_id bigint, text string")
