@@ -1,9 +1,9 @@
-"""Clustering against plain numpy rounds, silhouettes, labels and turns."""
+"""Clustering by its properties, audio features, labels and turns."""
 
 import numpy as np
 import pytest
 
-from cuesheet.functions.audio import segment_features
+from cuesheet.functions.audio import batch_features
 from cuesheet.operators import speakers as sp
 from cuesheet.ordering import arrange
 
@@ -20,54 +20,30 @@ def features(spark, seed=1, medias=3, n=40, dims=4, groups=3):
     return spark.createDataFrame(rows, "media_id bigint, idx bigint, vec array<double>"), rows
 
 
-def plain_kmeans(x, k):
-    x = (x - x.mean(0)) / np.where(x.std(0) < 1e-6, 1, x.std(0))
-    picked = [0]
-    while len(picked) < k:
-        near = np.min([np.linalg.norm(x - x[p], axis=1) for p in picked], axis=0)
-        picked.append(int(near.argmax()))
-    centres, labels = x[picked].copy(), np.zeros(len(x), int)
-    for _ in range(60):
-        new = np.linalg.norm(x[:, None] - centres[None], axis=2).argmin(1)
-        if (new == labels).all():
-            break
-        labels = new
-        for c in range(k):
-            if (labels == c).any():
-                centres[c] = x[labels == c].mean(0)
-    return x, labels
-
-
-def plain_silhouette(x, labels):
-    d = np.linalg.norm(x[:, None] - x[None], axis=2)
-    scores = []
-    for i, own in enumerate(labels):
-        same = [j for j in range(len(x)) if labels[j] == own and j != i]
-        a = d[i, same].mean() if same else 0.0
-        b = min(d[i, labels == c].mean() for c in set(labels) if c != own)
-        scores.append((b - a) / max(a, b, 1e-6))
-    return float(np.mean(scores))
+def scaled(rows, media):
+    x = np.array([v for m, _, v in rows if m == media])
+    return (x - x.mean(0)) / x.std(0)
 
 
 @pytest.mark.parametrize("k", [2, 4])
-def test_kmeans_equals_numpy(spark, k):
+def test_rounds_end_where_centres_are_means(spark, k):
+    """Every row is nearest to the mean of the rows that share its label."""
     df, rows = features(spark, seed=k)
     got = {(r.media_id, r.idx): r.label for r in sp.cluster_labels(df, 4, target_speakers=k).collect()}
     for m in range(3):
-        _, labels = plain_kmeans(np.array([v for mm, _, v in rows if mm == m]), k)
-        assert [got[m, i] for i in range(40)] == list(labels)
+        x, labels = scaled(rows, m), np.array([got[m, i] for i in range(40)])
+        assert set(labels) == set(range(k))
+        means = np.array([x[labels == c].mean(0) for c in range(k)])
+        assert (np.linalg.norm(x[:, None] - means, axis=2).argmin(1) == labels).all()
 
 
-def test_chosen_k_equals_numpy(spark):
-    df, rows = features(spark, seed=9)
-    got = {(r.media_id, r.idx): r.label for r in sp.cluster_labels(df, 4, max_speakers=4).collect()}
-    for m in range(3):
-        x = np.array([v for mm, _, v in rows if mm == m])
-        runs = {k: plain_kmeans(x, k) for k in (2, 3, 4)}
-        scores = {k: plain_silhouette(*run) for k, run in runs.items()}
-        best = max(scores, key=lambda k: (scores[k], -k))
-        want = runs[best][1] if scores[best] >= 0.12 else np.zeros(40, int)
-        assert [got[m, i] for i in range(40)] == list(want)
+def test_separate_groups_are_found(spark):
+    """With groups far apart the number of speakers and the groups themselves come out."""
+    rng = np.random.default_rng(9)
+    rows = [(m, i, [float(v) for v in np.eye(4)[i % g] * 30 + rng.normal(size=4) * 0.3]) for m, g in enumerate((2, 3, 4)) for i in range(40)]
+    got = {(r.media_id, r.idx): r.label for r in sp.cluster_labels(spark.createDataFrame(rows, "media_id bigint, idx bigint, vec array<double>"), 4, max_speakers=4).collect()}
+    for m, g in enumerate((2, 3, 4)):
+        assert len({(i % g, got[m, i]) for i in range(40)}) == g == len({got[m, i] for i in range(40)})
 
 
 def test_few_rows_are_one_speaker(spark):
@@ -96,7 +72,21 @@ def test_turns_case_and_media_without_turns(spark):
 
 def test_features_tell_pitch_apart():
     rate, t = 16_000, np.arange(16_000) / 16_000
-    low, high = (segment_features(0.3 * np.sin(2 * np.pi * hz * t), rate) for hz in (120, 240))
-    assert len(low) == 16 and segment_features(np.zeros(16_000), rate) is None
+    tones = [0.3 * np.sin(2 * np.pi * hz * t) for hz in (120, 240)]
+    parts = [tones[0], np.zeros(16_000), tones[1], tones[0][:100]]
+    kept, vecs = batch_features(np.concatenate(parts).astype(np.float32), np.cumsum([0, *map(len, parts)]), rate)
+    assert kept.tolist() == [0, 2] and vecs.shape == (2, 16)
+    low, high = vecs
     # The tapered frame pulls the peak to a slightly shorter lag.
     assert abs(np.exp(low[8]) - 120) < 8 and abs(np.exp(high[8]) - 240) < 12 and low[10] > 0.9
+
+
+def test_features_do_not_depend_on_the_batch():
+    rng, rate = np.random.default_rng(3), 16_000
+    parts = [rng.normal(size=n) * a for n, a in ((9000, 0.1), (16_000, 0.02), (500, 0.1), (4800, 0.3), (0, 1), (30_000, 0.05))]
+    kept, vecs = batch_features(np.concatenate(parts).astype(np.float32), np.cumsum([0, *map(len, parts)]), rate)
+    alone = [batch_features(p.astype(np.float32), np.array([0, len(p)]), rate) for p in parts]
+    assert kept.tolist() == [i for i, (k, _) in enumerate(alone) if len(k)]
+    assert np.allclose(vecs, np.concatenate([v for _, v in alone]), rtol=1e-4, atol=1e-5)
+    shares = vecs[:, 11:]
+    assert (shares > 0).all() and (shares.sum(axis=1) <= 1.0001).all() and (np.diff(shares.mean(axis=0)) > 0).all()  # noise: as wide as its band
