@@ -22,8 +22,9 @@ ARTIFACTS = [
     r"<\s*/?\s*tool[_-]?call\b", r"\bDisclaimer\s*:", r"\btranslation exercise\b", r"\bresponse provided\b", r"\bReturn JSON\b",
     r'"translations"\s*:', "```",
 ]
-_CLOSERS = r"\]\)）】}>"
-BRACKETED = rf"^{WS}*[\[(（【{{<][^{_CLOSERS}]{{1,64}}(?:{EFFECTS})[^{_CLOSERS}]*[{_CLOSERS}]{WS}*$"
+# Fixed value: a text that is one bracketed remark with such a word in it.
+BRACKETED = rf"^{WS}*[\[(（【{{<][^\]\)）】}}>]{{1,64}}(?:{EFFECTS})[^\]\)）】}}>]*[\]\)）】}}>]{WS}*$"
+# Fixed value: a short run of capitals, digits and signs.
 SHORT_CODE = r"^[A-Z0-9_#@./\\\-]{1,14}[.!?。！]*$"
 
 

@@ -332,6 +332,7 @@ def apply_ranking(candidates: DataFrame, picks: DataFrame, limit: int = LIMIT) -
         *[x for x in candidates.columns if x not in ("score", "title", "reason", "selection_method")],
         "place",
         F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.coalesce(F.col("score").cast("double"), F.lit(0.0)))).alias("score"),
+        # Title and reason where none is given.
         tx.strip(filled("title", filled("_t", F.lit("未命名片段")))).alias("title"),
         tx.strip(filled("reason", F.lit("模型精选"))).alias("reason"),
         F.lit("model").alias("selection_method"),

@@ -80,25 +80,24 @@ def parse_times(spark, sf_dir):
 
 
 @query("split_speaker_prefix", SEG + f"""
-SELECT media_id, idx, CASE WHEN idx % 3 = 0 AND v THEN 'S00' WHEN idx % 3 = 0 THEN 'S00' ELSE 'Dr Who-' || idx END AS speaker,
+SELECT media_id, idx, CASE WHEN idx % 3 = 0 THEN 'S00' ELSE 'Dr Who-' || idx END AS speaker,
        CASE WHEN idx % 3 = 0 THEN t ELSE t || chr(10) || 'next: line' END AS body
-FROM (SELECT *, {strip('text')} AS t, regexp_matches({strip('text')}, '^[A-Za-z0-9_ -]{{1,32}}:\\s') AS v FROM seg) WHERE NOT v AND t <> ''""")
+FROM (SELECT *, {strip("'. ' || replace(text, ':', ';')")} AS t FROM seg)""")
 def split_speaker_prefix(spark, sf_dir):
     o = derived.conversation_segments(spark, sf_dir)
-    t = tx.strip(F.col("text"))
-    df = o.df.filter(~t.rlike(r"^[A-Za-z0-9_ -]{1,32}:\s") & (t != ""))
-    said = F.when(F.col("idx") % 3 == 0, F.col("text")).otherwise(
+    t = tx.strip(F.concat(F.lit(". "), F.replace("text", F.lit(":"), F.lit(";"))))  # prefixes come from the rule below
+    said = F.when(F.col("idx") % 3 == 0, t).otherwise(
         F.concat(F.lit(" Dr Who-"), "idx", F.lit(":  "), t, F.lit("\nnext: line "))
     )
-    return df.select("media_id", "idx", tx.prefixed_speaker(said).alias("s")).select("media_id", "idx", "s.speaker", "s.body")
+    return o.df.select("media_id", "idx", tx.prefixed_speaker(said).alias("s")).select("media_id", "idx", "s.speaker", "s.body")
 
 
 @query("ass_markup", SEG + r"""
 SELECT media_id, idx, replace(text, '{', '') || ' x' || chr(10) || 'y' AS bare,
        replace(replace(replace(replace('{\b1}' || text || '\' || chr(10) || '}', '\', '\\'), '{', '('), '}', ')'), chr(10), '\N') AS escaped
-FROM seg WHERE NOT contains(text, '{') AND NOT contains(text, '\')""")
+FROM (SELECT * REPLACE (replace(replace(text, '{', '('), '\', '/') AS text) FROM seg)""")
 def ass_markup(spark, sf_dir):
-    df = derived.conversation_segments(spark, sf_dir).df.filter(~F.col("text").contains("{") & ~F.col("text").contains("\\"))
+    df = derived.conversation_segments(spark, sf_dir).df.withColumn("text", F.translate("text", "{\\", "(/"))  # marks come from below
     marked = F.concat(F.lit("{\\pos(1,2)}"), "text", F.lit("\\hx{\\i0}\\Ny"))
     raw = F.concat(F.lit("{\\b1}"), "text", F.lit("\\\n}"))
     return df.select("media_id", "idx", tx.strip_ass_markup(marked).alias("bare"), tx.escape_ass(raw).alias("escaped"))
@@ -200,17 +199,18 @@ def drop_repeated_phrases(spark, sf_dir):
 
 
 @query("choose_transcript", """
-WITH v AS (SELECT conv_id AS media_id, CASE WHEN turn = 0 THEN 1 ELSE 2 END AS version, CASE WHEN conv_id % 2 = 0 AND turn = 0 THEN left(text, 20 + conv_id % 30) ELSE text END AS text,
-                  1 + conv_id % 4 AS n, 9000 + 1000 * (conv_id % 7) AS dur FROM conversations WHERE turn < 2),
+WITH v AS (SELECT conv_id * 100000 + turn // 2 AS media_id, 1 + turn % 2 AS version, CASE WHEN conv_id % 2 = 0 AND turn % 2 = 0 THEN left(text, 20 + conv_id % 30) ELSE text END AS text,
+                  1 + conv_id % 4 AS n, 9000 + 1000 * (conv_id % 7) AS dur FROM conversations),
  s AS (SELECT media_id, max(CASE WHEN version = 1 THEN text END) AS t1, max(CASE WHEN version = 2 THEN text END) AS t2, max(n) AS n, max(dur) AS dur FROM v GROUP BY media_id),
  z AS (SELECT *, """ + f"length({strip('t1')}) < 40 AND n <= 2 AND dur >= 12000 AS sparse, length({strip('t1')}) AS l1, length({strip('t2')}) AS l2" + """ FROM s)
 SELECT media_id, sparse, CAST(CASE WHEN sparse AND coalesce(l2, -1) > l1 THEN 2 ELSE 1 END AS BIGINT) AS version,
        CASE WHEN sparse AND coalesce(l2, -1) > l1 THEN t2 ELSE t1 END AS text FROM z""")
 def choose_transcript(spark, sf_dir):
-    turns = derived.table(spark, sf_dir, "conversations").filter("turn < 2")
+    """Each two turns of a conversation stand for two transcripts of one media."""
+    turns = derived.table(spark, sf_dir, "conversations")
     versions = turns.selectExpr(
-        "conv_id media_id", "if(turn = 0, 1, 2) version",
-        "if(conv_id % 2 = 0 and turn = 0, left(text, int(20 + conv_id % 30)), text) text",
+        "conv_id * 100000 + turn div 2 media_id", "1 + turn % 2 version",
+        "if(conv_id % 2 = 0 and turn % 2 = 0, left(text, int(20 + conv_id % 30)), text) text",
         "1 + conv_id % 4 segment_count", "9000 + 1000 * (conv_id % 7) duration_ms",
     )
     return sg.choose_transcript(versions)

@@ -101,7 +101,7 @@ def clip_candidates_documents(spark, sf_dir):
  hit AS (SELECT c.media_id, c.id, c.start_ms, c.end_ms, p.score AS ps, p.title AS pt, c.title AS ct, row_number() OVER (PARTITION BY c.media_id ORDER BY p.pick_no) AS place
          FROM clip c JOIN picks p USING (media_id, id))
 SELECT media_id, id, start_ms, end_ms, place, greatest(0.0::DOUBLE, least(100.0::DOUBLE, ps)) AS score, CASE WHEN pt <> '' THEN pt ELSE ct END AS title, '模型精选' AS reason, 'model' AS selection_method
-FROM hit WHERE place <= 3""")
+FROM hit WHERE place <= 24""")
 def clip_ranking(spark, sf_dir):
     clips = cl.clip_candidates(derived.conversation_segments(spark, sf_dir))
     cands = clips.select("media_id", "id", "rank", "start_ms", "end_ms", "score", "title", "reason", "selection_method")
@@ -109,7 +109,7 @@ def clip_ranking(spark, sf_dir):
         "media_id", "1000 - rank pick_no", "id", "double((rank * 37) % 130) score", "if(rank % 2 = 0, concat('picked ', id), '') title", "'' reason"
     )
     unknown = cands.select("media_id").distinct().selectExpr("media_id", "0L pick_no", "'clip_999' id", "50.0D score", "'x' title", "'y' reason")
-    return cl.apply_ranking(cands.drop("rank"), picks.unionByName(unknown), limit=3)
+    return cl.apply_ranking(cands.drop("rank"), picks.unionByName(unknown), limit=24)
 
 
 @query("clip_title_reason", SEG + f"""

@@ -20,14 +20,13 @@ query = Registry()
 
 _NOISY = f""",
  tx AS (SELECT media_id, idx, {half_even_cs('start_ms')} * 10 AS start_ms, {half_even_cs('end_ms')} * 10 AS end_ms, speaker,
-               {strip("CASE WHEN idx % 7 = 0 THEN '[99999]  ' || text WHEN idx % 5 = 0 THEN text || ' [2024.5] x' ELSE text END")} AS text FROM seg
-        WHERE NOT contains(text, '['))"""
+               {strip("CASE WHEN idx % 7 = 0 THEN '[99999]  ' || text WHEN idx % 5 = 0 THEN text || ' [2024.5] x' ELSE text END")} AS text FROM (SELECT * REPLACE (replace(text, '[', '(') AS text) FROM seg))"""
 
 
 def _transcripts(spark, sf_dir):
     """Transcripts with leading noise and numeric brackets inside the text."""
     o = derived.conversation_segments(spark, sf_dir)
-    o = o.of(o.df.filter(~F.col("text").contains("[")))
+    o = o.with_columns({"text": F.replace("text", F.lit("["), F.lit("("))})  # own brackets come from the rules below
     text = F.expr("case when idx % 7 = 0 then concat('[99999]  ', text) when idx % 5 = 0 then concat(text, ' [2024.5] x') else text end")
     out = sb.render_transcript(o.with_columns({"text": text}))
     return out.withColumn("text", F.concat(F.lit("noise [bad] [1.2.3] [["), "text", F.lit("\n")))
@@ -39,8 +38,7 @@ def parse_transcripts(spark, sf_dir):
 
 
 _RAW = f""",
- seg0 AS (SELECT media_id, idx, {half_even_cs('start_ms')} * 10 AS start_ms, {half_even_cs('end_ms')} * 10 AS end_ms, speaker, {strip('text')} AS text FROM seg
-          WHERE NOT contains(text, '[')),
+ seg0 AS (SELECT media_id, idx, {half_even_cs('start_ms')} * 10 AS start_ms, {half_even_cs('end_ms')} * 10 AS end_ms, speaker, {strip("replace(text, '[', '(')")} AS text FROM seg),
  c AS (SELECT *, {pad('idx', 4, 'seg_')} AS id FROM (SELECT * REPLACE (row_number() OVER (PARTITION BY media_id ORDER BY idx) AS idx) FROM seg0 WHERE text <> '')),
  prep AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY start_ms, end_ms, idx) AS pos FROM c WHERE text <> '')"""
 
@@ -48,7 +46,7 @@ _RAW = f""",
 @query("transcript_to_subtitles", SEG + _RAW + NORMAL[NORMAL.index(",\n fixed"):] + f"SELECT media_id, pos AS idx, {pad('pos', 4, 'seg_')} AS id, start_ms, end_ms, speaker, text FROM norm")
 def transcript_to_subtitles(spark, sf_dir):
     o = derived.conversation_segments(spark, sf_dir)
-    texts = sb.render_transcript(o.of(o.df.filter(~F.col("text").contains("["))))
+    texts = sb.render_transcript(o.with_columns({"text": F.replace("text", F.lit("["), F.lit("("))}))
     return sg.normalize(tr.parse_transcripts(texts)).plain().select(*sg.COLUMNS)
 
 
