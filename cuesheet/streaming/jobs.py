@@ -27,14 +27,20 @@ def use_rocksdb(spark: SparkSession) -> None:
 class InOrder(StatefulProcessor):
     """Hands rows of a key on in ``seq`` order 1, 2, ...; later rows wait in a map for the gap to fill.
 
-    Rows that were already handed on (a replay from the source) are ignored.
+    Rows that were already handed on (a replay from the source) are ignored.  When ``take`` sets ``ended``, all
+    state of the key is cleared with the batch; keys that never end lose theirs after ``idle_ms``
+    without rows, if that is set (it needs the processing-time mode, whose queries never run out of batches).
     """
 
     fields: str  # "name type, name type": what is kept of a waiting row
 
+    def __init__(self, idle_ms: int | None = None):
+        super().__init__()
+        self.idle_ms = idle_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.waiting = handle.getMapState("waiting", "seq bigint", self.fields)
-        self.place = handle.getValueState("place", "next bigint, held bigint")
+        self.waiting = handle.getMapState("waiting", "seq bigint", self.fields, self.idle_ms)
+        self.place = handle.getValueState("place", "next bigint, held bigint", self.idle_ms)
         self.open_state(handle)
 
     def open_state(self, handle: StatefulProcessorHandle) -> None:
@@ -49,10 +55,14 @@ class InOrder(StatefulProcessor):
     def finish(self) -> None:
         """Store state once per batch."""
 
+    def forget(self) -> None:
+        """Clear state of a key that has ended."""
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         turn, held = self.place.get() if self.place.exists() else (1, 0)
         names = [f.split()[0] for f in self.fields.split(",")]
         fresh: dict[int, tuple] = {}
+        self.ended = False
         self.begin()
         for row in rows:
             if row.seq < turn:
@@ -71,6 +81,11 @@ class InOrder(StatefulProcessor):
                 turn += 1
             if len(fresh) > IN_MEMORY:
                 held += self._hold(fresh)
+        if self.ended:
+            self.waiting.clear()
+            self.place.clear()
+            self.forget()
+            return
         held += self._hold(fresh)
         self.place.update((turn, held))
         self.finish()
@@ -94,8 +109,8 @@ class TranscriptProcessor(InOrder):
     fields = "chunk string, eof boolean"
 
     def open_state(self, handle):
-        self.scan = handle.getValueState("scanner", SCANNER_SCHEMA)
-        self.count = handle.getValueState("count", "n bigint")
+        self.scan = handle.getValueState("scanner", SCANNER_SCHEMA, self.idle_ms)
+        self.count = handle.getValueState("count", "n bigint", self.idle_ms)
 
     def begin(self):
         self.scanner = Scanner(*self.scan.get()) if self.scan.exists() else Scanner()
@@ -105,6 +120,7 @@ class TranscriptProcessor(InOrder):
         found = self.scanner.feed(row.chunk or "")
         if row.eof:
             found += self.scanner.close()
+            self.ended = True
         for start, end, speaker, text in found:
             self.done += 1
             yield Row(media_id=key[0], idx=self.done, start_ms=int(start * 1000 + 0.5), end_ms=int(end * 1000 + 0.5), speaker=speaker, text=text)
@@ -113,6 +129,10 @@ class TranscriptProcessor(InOrder):
         self.scan.update(self.scanner.to_row())
         self.count.update((self.done,))
 
+    def forget(self):
+        self.scan.clear()
+        self.count.clear()
+
 
 class PhraseProcessor(InOrder):
     """The repeated-phrase guard on an unbounded stream of segments."""
@@ -121,8 +141,8 @@ class PhraseProcessor(InOrder):
     max_run, max_total = 3, 24
 
     def open_state(self, handle):
-        self.last = handle.getValueState("last", "phrase string, run bigint")
-        self.totals = handle.getMapState("totals", "phrase string", "n bigint")
+        self.last = handle.getValueState("last", "phrase string, run bigint", self.idle_ms)
+        self.totals = handle.getMapState("totals", "phrase string", "n bigint", self.idle_ms)
 
     def begin(self):
         self.phrase, self.run = self.last.get() if self.last.exists() else ("", 0)
@@ -155,8 +175,8 @@ class DeltaProcessor(InOrder):
     fields = "line string"
 
     def open_state(self, handle):
-        self.pieces = handle.getListState("pieces", "piece string")
-        self.usage = handle.getValueState("usage", "prompt bigint, completion bigint")
+        self.pieces = handle.getListState("pieces", "piece string", self.idle_ms)
+        self.usage = handle.getValueState("usage", "prompt bigint, completion bigint", self.idle_ms)
 
     def begin(self):
         self.prompt, self.completion = self.usage.get() if self.usage.exists() else (None, None)
@@ -169,22 +189,39 @@ class DeltaProcessor(InOrder):
         if data == "[DONE]":
             text = "".join(p[0] for p in self.pieces.get())
             yield Row(stream_id=key[0], text=text, prompt_tokens=self.prompt, completion_tokens=self.completion)
-            self.pieces.clear()
+            self.ended = True
+            return
+        try:
+            chunk = json.loads(data)
+        except ValueError:  # noise between the lines
             return
-        if not data:
+        if not isinstance(chunk, dict):
             return
-        chunk = json.loads(data)
-        usage = chunk.get("usage") or {}
-        self.prompt = usage.get("prompt_tokens", self.prompt)
-        self.completion = usage.get("completion_tokens", self.completion)
-        for choice in chunk.get("choices") or []:
-            piece = (choice.get("delta") or {}).get("content")
-            if piece:
+        usage = _fields(chunk.get("usage"))
+        self.prompt = _whole(usage.get("prompt_tokens"), self.prompt)
+        self.completion = _whole(usage.get("completion_tokens"), self.completion)
+        choices = chunk.get("choices")
+        for choice in choices if isinstance(choices, list) else []:
+            piece = _fields(_fields(choice).get("delta")).get("content")
+            if piece and isinstance(piece, str):
                 self.pieces.appendValue((piece,))
 
     def finish(self):
         self.usage.update((self.prompt, self.completion))
 
+    def forget(self):
+        self.pieces.clear()
+        self.usage.clear()
+
+
+def _fields(value) -> dict:
+    return value if isinstance(value, dict) else {}
+
+
+def _whole(value, before: int | None) -> int | None:
+    """A count, or the one before where none is given."""
+    return value if isinstance(value, int) and not isinstance(value, bool) else before
+
 
 class TokenProcessor(InOrder):
     """Tokens generated so far; the first put of a stream is the prompt and does not count."""
@@ -192,7 +229,7 @@ class TokenProcessor(InOrder):
     fields = "tokens bigint"
 
     def open_state(self, handle):
-        self.sum = handle.getValueState("sum", "n bigint, prompt boolean")
+        self.sum = handle.getValueState("sum", "n bigint, prompt boolean", self.idle_ms)
 
     def begin(self):
         self.n, self.prompt = self.sum.get() if self.sum.exists() else (0, False)
@@ -215,7 +252,7 @@ class ThrottleProcessor(InOrder):
     every_ms = 500
 
     def open_state(self, handle):
-        self.saved = handle.getValueState("saved", "at bigint")
+        self.saved = handle.getValueState("saved", "at bigint", self.idle_ms)
 
     def begin(self):
         self.at = self.saved.get()[0] if self.saved.exists() else None
@@ -233,41 +270,42 @@ class ThrottleProcessor(InOrder):
 
 
 def _run(df: DataFrame, key: str, processor: StatefulProcessor, schema: str) -> DataFrame:
-    return df.groupBy(key).transformWithState(processor, outputStructType=T.StructType.fromDDL(schema), outputMode="Append", timeMode="None")
+    mode = "None" if processor.idle_ms is None else "ProcessingTime"
+    return df.groupBy(key).transformWithState(processor, outputStructType=T.StructType.fromDDL(schema), outputMode="Append", timeMode=mode)
 
 
 def _key(df: DataFrame, key: str) -> str:
     return f"{key} {df.schema[key].dataType.simpleString()}"
 
 
-def parse_stream(chunks: DataFrame) -> DataFrame:
+def parse_stream(chunks: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """chunks (media_id, seq from 1, chunk, eof) -> segments; any chunking gives the same rows."""
     schema = f"{_key(chunks, 'media_id')}, idx bigint, start_ms bigint, end_ms bigint, speaker string, text string"
-    return _run(chunks, "media_id", TranscriptProcessor(), schema)
+    return _run(chunks, "media_id", TranscriptProcessor(idle_ms), schema)
 
 
-def guard_stream(segments: DataFrame) -> DataFrame:
+def guard_stream(segments: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """segments (media_id, seq from 1, idx, text) without repeated short phrases."""
     phrase = tx.normal_phrase(F.col("text"))
     rows = segments.select(
         "media_id", "seq", "idx", "text", F.when(F.length(tx.strip(F.col("text"))) > 0, phrase).alias("phrase"), tx.is_short_phrase(phrase).alias("short")
     )
-    return _run(rows, "media_id", PhraseProcessor(), f"{_key(segments, 'media_id')}, idx bigint, text string")
+    return _run(rows, "media_id", PhraseProcessor(idle_ms), f"{_key(segments, 'media_id')}, idx bigint, text string")
 
 
-def fold_deltas_stream(lines: DataFrame) -> DataFrame:
+def fold_deltas_stream(lines: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """lines (stream_id, seq from 1, line) -> (stream_id, text, prompt_tokens, completion_tokens) at [DONE]."""
-    return _run(lines, "stream_id", DeltaProcessor(), f"{_key(lines, 'stream_id')}, text string, prompt_tokens bigint, completion_tokens bigint")
+    return _run(lines, "stream_id", DeltaProcessor(idle_ms), f"{_key(lines, 'stream_id')}, text string, prompt_tokens bigint, completion_tokens bigint")
 
 
-def count_tokens_stream(puts: DataFrame) -> DataFrame:
+def count_tokens_stream(puts: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """puts (stream_id, seq from 1, tokens) -> running token counts."""
-    return _run(puts, "stream_id", TokenProcessor(), f"{_key(puts, 'stream_id')}, generated bigint")
+    return _run(puts, "stream_id", TokenProcessor(idle_ms), f"{_key(puts, 'stream_id')}, generated bigint")
 
 
-def throttle_stream(events: DataFrame) -> DataFrame:
+def throttle_stream(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """events (job_id, seq from 1, at_ms, status, progress, live) -> those to persist."""
-    return _run(events, "job_id", ThrottleProcessor(), f"{_key(events, 'job_id')}, at_ms bigint, status string, progress double")
+    return _run(events, "job_id", ThrottleProcessor(idle_ms), f"{_key(events, 'job_id')}, at_ms bigint, status string, progress double")
 
 
 def latest_status_stream(events: DataFrame) -> DataFrame:
