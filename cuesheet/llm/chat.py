@@ -44,8 +44,8 @@ def reply_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     ties go to the longer path, then to the smaller leaf id.  Returns conv_id, branch (1 is best), depth (0 is
     the root), role, text.
 
-    Round k of the self-joins links each message with the ancestor 2**k above it and sums scores on the way,
-    so a path of n turns takes log2(n) rounds; the chosen leaves then walk the same links from the longest
+    Round k of the self-joins links each message that is so deep with the ancestor 2**k above it and sums scores on
+    the way, so a path of n turns takes log2(n) rounds; the chosen leaves then walk the same links from the longest
     to the shortest.  Every join key is (conv_id, msg_id), which no conversation makes hot.  Messages on a
     cycle of replies reach no root and are left out; repeated (conv_id, msg_id) rows count once (the least).
     """
@@ -60,24 +60,24 @@ def reply_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
         "conv_id", "msg_id", F.col("m").alias("up"), F.when(F.col("m").isNull(), 0).otherwise(1).cast("bigint").alias("steps"), F.coalesce("score", F.lit(0.0)).alias("gain")
     )
     links = scratch.keep(links, "links-0")
-    rungs, size = [], links.count()
-    while True:
-        rungs.append(links)
-        if 2 ** (len(rungs) - 1) > size or not links.filter(F.col("up").isNotNull()).limit(1).count():
-            break
-        above = links.select(F.col("conv_id").alias("c"), F.col("msg_id").alias("m"), F.col("up").alias("up2"), F.col("steps").alias("steps2"), F.col("gain").alias("gain2"))
-        links = links.join(above, _same("conv_id", "c") & (F.col("up") == F.col("m")), "left").select(
-            "conv_id", "msg_id", F.col("up2").alias("up"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"), (F.col("gain") + F.coalesce("gain2", F.lit(0.0))).alias("gain")
+    size = links.count()
+    rungs, ended = [links.filter(F.col("up").isNotNull())], links.filter(F.col("up").isNull())
+    while 2 ** (len(rungs) - 1) <= size and rungs[-1].limit(1).count():
+        above = rungs[-1].union(ended).select(F.col("conv_id").alias("c"), F.col("msg_id").alias("m"), F.col("up").alias("up2"), F.col("steps").alias("steps2"), F.col("gain").alias("gain2"))
+        links = rungs[-1].join(above, _same("conv_id", "c") & (F.col("up") == F.col("m"))).select(
+            "conv_id", "msg_id", F.col("up2").alias("up"), (F.col("steps") + F.col("steps2")).alias("steps"), (F.col("gain") + F.col("gain2")).alias("gain")
         )
         links = scratch.keep(links, f"links-{len(rungs)}")
-    whole = rungs[-1].filter(F.col("up").isNull())
-    parents = rungs[0].filter(F.col("up").isNotNull()).select(F.col("conv_id").alias("c"), F.col("up").alias("m")).distinct()
+        rungs.append(links.filter(F.col("up").isNotNull()))
+        ended = ended.union(links.filter(F.col("up").isNull()))
+    whole = ended
+    parents = rungs[0].select(F.col("conv_id").alias("c"), F.col("up").alias("m")).distinct()
     leaves = whole.join(parents, _same("conv_id", "c") & (F.col("msg_id") == F.col("m")), "left_anti")
     best = Window.partitionBy("conv_id").orderBy(F.desc("gain"), F.desc("steps"), "msg_id")
     walk = leaves.withColumn("branch", F.row_number().over(best)).filter(F.col("branch") <= branches).select("conv_id", "branch", "msg_id", F.col("steps").alias("depth"))
     walk = scratch.keep(walk, "walk")
-    for k in range(len(rungs) - 2, -1, -1):
-        rung = rungs[k].filter(F.col("up").isNotNull()).select(F.col("conv_id").alias("c"), F.col("msg_id").alias("m"), "up")
+    for k in range(len(rungs) - 1, -1, -1):
+        rung = rungs[k].select(F.col("conv_id").alias("c"), F.col("msg_id").alias("m"), "up")
         up = walk.join(rung, _same("conv_id", "c") & (F.col("msg_id") == F.col("m"))).select("conv_id", "branch", F.col("up").alias("msg_id"), (F.col("depth") - 2**k).alias("depth"))
         walk = scratch.keep(walk.union(up), f"walk-{k}")
     bodies = nodes.select(F.col("conv_id").alias("c"), F.col("msg_id").alias("m"), "role", "text")
