@@ -29,17 +29,26 @@ _LETTER = np.zeros(256, bool)
 _LETTER[[*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1), *range(0xC2, 0xF5)]] = True  # leads of longer characters count once
 
 
-def trigrams(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The bucket of the three bytes at each place; ``BUCKETS`` where fewer are left in the text."""
-    out = np.full(len(data), BUCKETS, np.uint32)
-    if len(data) > 2:
-        folded = _FOLD[data]
+_PIECE = 1 << 20
+
+
+def trigrams(data: np.ndarray, bounds: np.ndarray):
+    """(bounds within the piece, buckets) of pieces of the bytes, in order.
+
+    The bucket of a place is that of the three bytes from it; ``BUCKETS`` where fewer are left in the text.
+    """
+    for lo in range(0, len(data), _PIECE):
+        hi = min(lo + _PIECE, len(data))
+        folded = np.zeros(hi - lo + 2, np.uint32)
+        ahead = data[lo : hi + 2]
+        folded[: len(ahead)] = _FOLD[ahead]
         code = (folded[:-2] << np.uint32(16)) | (folded[1:-1] << np.uint32(8)) | folded[2:]
-        out[:-2] = (code * np.uint32(2654435761)) >> np.uint32(32 - 15)
+        out = (code * np.uint32(2654435761)) >> np.uint32(32 - 15)
         for back in (1, 2):
-            ends = bounds[1:] - back
-            out[ends[ends >= 0]] = BUCKETS
-    return out
+            ends = bounds[1:] - back - lo
+            ends = ends[(ends >= 0) & (ends < hi - lo)]
+            out[ends] = BUCKETS
+        yield np.clip(bounds, lo, hi) - lo, data[lo:hi], out
 
 
 def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -66,10 +75,11 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang") ->
     def run(batches):
         for batch in batches:
             data, bounds = texts(batch.column("text"))
-            grams, langs = trigrams(data, bounds), batch.column("lang").to_pylist()
-            counts = np.zeros((len(names), BUCKETS + 1), np.int64)
-            for lang, a, b in zip(langs, bounds[:-1], bounds[1:]):
-                np.add.at(counts[names.index(lang)], grams[a:b], 1)
+            langs = np.array([names.index(x) for x in batch.column("lang").to_pylist()], np.int64)
+            counts = np.zeros(len(names) * (BUCKETS + 1), np.int64)
+            for own, _, grams in trigrams(data, bounds):
+                counts += np.bincount(np.repeat(langs, np.diff(own)) * (BUCKETS + 1) + grams, minlength=len(counts))
+            counts = counts.reshape(len(names), -1)
             k, bucket = np.nonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(bucket), pa.array(counts[k, bucket])], names=["k", "bucket", "n"])
 
@@ -89,10 +99,14 @@ def _with_text(docs: DataFrame, model: dict, text_col: str | None) -> DataFrame:
     def run(batches):
         for batch in batches:
             data, bounds = texts(batch.column(text_col))
-            grams = trigrams(data, bounds)
-            n = _sums(grams != BUCKETS, bounds)
-            over = np.stack([_sums(row[grams], bounds) for row in table]) + n * math.log(BUCKETS) if len(table) else np.zeros((0, len(n)))
-            sure = (_sums(_LETTER[data], bounds) > 0) & ((over.max(axis=0, initial=-np.inf) > 0) | (n < SHORT)) & (len(table) > 0)
+            n, letters, over = np.zeros(len(batch)), np.zeros(len(batch)), np.zeros((len(table), len(batch)))
+            for own, part, grams in trigrams(data, bounds):
+                n += _sums(grams != BUCKETS, own)
+                letters += _sums(_LETTER[part], own)
+                for row, sums in zip(table, over):
+                    sums += _sums(row[grams], own)
+            over += n * math.log(BUCKETS)
+            sure = (letters > 0) & ((over.max(axis=0, initial=-np.inf) > 0) | (n < SHORT)) & (len(table) > 0)
             values = [v if s else None for v, s in zip((TEMPER * over).T.tolist(), sure)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.list_(pa.float64()))], names=[*batch.schema.names, "_ll"])
 
