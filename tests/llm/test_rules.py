@@ -15,6 +15,11 @@ def in_runs(w, n):
     return {k + d for k in range(len(w) - n + 1) if seen[tuple(w[k : k + n])] > 1 for d in range(n)}
 
 
+def in_later_runs(w, n):
+    grams = [tuple(w[k : k + n]) for k in range(len(w) - n + 1)]
+    return {k + d for k, g in enumerate(grams) if g in set(grams[:k]) for d in range(n)}
+
+
 def plain_rules(text):
     text = text or ""
     w, seen, dup, dup_chars = words(text), set(), 0, 0
@@ -23,10 +28,10 @@ def plain_rules(text):
             if line in seen:
                 dup, dup_chars = dup + 1, dup_chars + len(line)
             seen.add(line)
-    runs = [sum(len(w[k]) for k in in_runs(w, n)) for n in quality.MAX_RUN_SHARE]
+    runs = [sum(len(w[k]) for k in in_later_runs(w, n)) for n in quality.MAX_RUN_SHARE]
     chars, repeat = sum(map(len, w)), len(in_runs(w, 3))
     failed = len(w) < 50 or 100 * repeat > 50 * len(w)
-    fine = dup_chars <= quality.MAX_LINE_SHARE * chars and all(r <= s * chars for r, s in zip(runs, quality.MAX_RUN_SHARE.values()))
+    fine = dup_chars <= quality.MAX_LINE_SHARE * chars and all(r < quality.LEAST_CHARS or r <= s * chars for r, s in zip(runs, quality.MAX_RUN_SHARE.values()))
     return (len(w), chars, sum(text.count(c) for c in "#*$%&|<>"), dup, repeat, dup_chars, *runs, failed, not failed and fine)
 
 
