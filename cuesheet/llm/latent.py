@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cuesheet.llm.scratch import Scratch
-from cuesheet.llm.words import split, texts
+from cuesheet.llm.words import pieces, split, texts
 
 STRIDE = 32  # words between passages; a passage has two strides
 ITEM_WORDS, ITEM_STRIDE = 64, 48  # longer benchmark items are cut
@@ -95,14 +95,14 @@ def _found(docs: DataFrame, block: Block) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            data, bounds = texts(batch.column("text"))
-            _, _, word, first = split(data, bounds, bare=True)
-            term = block.find(word)
-            hit = np.flatnonzero(term >= 0)
-            doc = np.searchsorted(first, hit, "right") - 1
-            counts = np.bincount(doc, minlength=len(batch))
-            others = [batch.column(c) for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*others, pa.array(np.diff(first)), _binary(term[hit], counts), _binary((hit - first[doc]).astype(np.int32), counts)], names=schema.names)
+            for a, b, data, bounds in pieces(batch.column("text")):
+                _, _, word, first = split(data, bounds, bare=True)
+                term = block.find(word)
+                hit = np.flatnonzero(term >= 0)
+                doc = np.searchsorted(first, hit, "right") - 1
+                counts = np.bincount(doc, minlength=b - a)
+                others = [batch.column(c).slice(a, b - a) for c in batch.schema.names if c != "text"]
+                yield pa.RecordBatch.from_arrays([*others, pa.array(np.diff(first)), _binary(term[hit], counts), _binary((hit - first[doc]).astype(np.int32), counts)], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -136,28 +136,59 @@ class Passages:
         norm = np.sqrt(np.add.reduceat(value * value, self.starts))
         return value / np.repeat(norm, np.diff(self.starts, append=len(value)))
 
-    def times(self, value: np.ndarray, dense: np.ndarray) -> np.ndarray:
-        """The rows that have entries, times a dense matrix, a piece of rows at a time."""
-        out = np.zeros((len(self.rows), dense.shape[1]))
+    def times(self, value: np.ndarray, dense: np.ndarray):
+        """The rows that have entries times a dense matrix, as (first row, piece of the product)."""
         bounds = np.append(self.starts, len(value))
-        for a in range(0, len(self.rows), 512):
-            b = min(a + 512, len(self.rows))
+        for a in range(0, len(self.rows), 1024):
+            b = min(a + 1024, len(self.rows))
             lo, hi = bounds[a], bounds[b]
-            out[a:b] = np.add.reduceat(value[lo:hi, None] * dense[self.col[lo:hi]], bounds[a:b] - lo)
+            yield a, np.add.reduceat(value[lo:hi, None] * dense[self.col[lo:hi]], bounds[a:b] - lo)
+
+    def turned(self, value: np.ndarray, test: "SparseSigns", n_terms: int) -> np.ndarray:
+        """The transpose times the matrix times ``test``: what the rows add to the sketch."""
+        out = np.zeros((n_terms, test.width))
+        bounds = np.append(self.starts, len(value))
+        for a in range(0, len(self.rows), 16384):
+            b = min(a + 16384, len(self.rows))
+            lo, hi = bounds[a], bounds[b]
+            col, val, row = self.col[lo:hi], value[lo:hi], np.repeat(np.arange(b - a), np.diff(bounds[a : b + 1]))
+            cell = row[:, None] * test.width + test.columns[col]
+            product = np.bincount(cell.ravel(), (val[:, None] * test.signs[col]).ravel(), (b - a) * test.width).astype(np.float32).reshape(b - a, -1)
+            order = np.argsort(col, kind="stable")
+            col, val, row = col[order], val[order].astype(np.float32), row[order]
+            for c in range(0, len(col), 8192):
+                part = slice(c, c + 8192)
+                starts = np.flatnonzero(np.diff(col[part], prepend=-1))
+                out[col[part][starts]] += np.add.reduceat(val[part, None] * product[row[part]], starts)
         return out
 
-    def turned(self, value: np.ndarray, dense: np.ndarray, n_terms: int) -> np.ndarray:
-        """The transpose times a dense matrix with the rows of ``rows``."""
-        out = np.zeros((n_terms, dense.shape[1]))
-        order = np.argsort(self.col, kind="stable")
-        col, val, src = self.col[order], value[order], np.searchsorted(self.rows, self.row[order])
-        for a in range(0, len(col), 8192):
-            c = col[a : a + 8192]
-            starts = np.flatnonzero(np.diff(c, prepend=-1))
-            out[c[starts]] += np.add.reduceat(val[a : a + 8192, None] * dense[src[a : a + 8192]], starts)
+
+class SparseSigns:
+    """A random test matrix with a few signs in every row."""
+
+    def __init__(self, n_terms: int, width: int, seed: int = 11):
+        rng = np.random.default_rng(seed)
+        self.width, each = width, min(8, width)
+        self.columns = np.argsort(rng.random((n_terms, width)), axis=1)[:, :each]
+        self.signs = rng.choice((-1.0, 1.0), (n_terms, each))
+
+    def dense(self) -> np.ndarray:
+        out = np.zeros((len(self.columns), self.width))
+        np.put_along_axis(out, self.columns, self.signs, axis=1)
         return out
 
 
+def _singular_vectors(sketch: np.ndarray, test: np.ndarray, rank: int) -> np.ndarray:
+    """The leading right singular vectors of A from the sketch (A^T A) test, by the single-pass Nystroem form."""
+    shift = 1e-9 * np.linalg.norm(sketch)
+    sketch = sketch + shift * test
+    core = test.T @ sketch
+    values, vectors = np.linalg.eigh((core + core.T) / 2)
+    kept = values > 1e-12 * values.max(initial=0)
+    left, _, _ = np.linalg.svd(sketch @ (vectors[:, kept] / np.sqrt(values[kept])), full_matrices=False)
+    return left[:, :rank]
+
+
 def _add_up(found: DataFrame, n_terms: int, use: np.ndarray, shape: tuple[int, int], part) -> np.ndarray:
     """The sum over all batches of ``part(Passages)``, a matrix of a size that the benchmark block bounds.
 
@@ -206,7 +237,7 @@ def _search(found: DataFrame, block: Block) -> DataFrame:
     df = np.zeros(n + 1, np.int64)
     df[counted["term"].to_numpy() + 1] = counted["n"].to_numpy()
     total, df = df[0], df[1:]
-    idf = np.log((total + len(block.ids) + 1) / (df + 1.0)) + 1e-9
+    idf = np.log((total + len(block.ids) + 1) / (df + 1.0)) + 1e-6
     use = df <= max(COMMON * total, COMMON_ROWS)
     for s in block.sequences:
         if use[np.unique(s)].sum() < min(THIN, len(np.unique(s))):
@@ -220,19 +251,11 @@ def _search(found: DataFrame, block: Block) -> DataFrame:
     # Benchmark passages are rows as well, heavy enough that the latent space holds their own directions.
     weight = float(max(1, total))
     width = min(RANK + OVERSAMPLE, n)
-    test = np.random.default_rng(11).standard_normal((n, width))
-    sketch = _add_up(found, n, use, (n, width), lambda p: p.turned(v := p.weigh(idf), p.times(v, test), n))
-    sketch += weight * queries.T @ (queries @ test)
-    basis, _ = np.linalg.qr(sketch)
-
-    def gram(p: Passages) -> np.ndarray:
-        y = p.times(p.weigh(idf), basis)
-        return y.T @ y
-
-    small = _add_up(found, n, use, (width, width), gram) + weight * (q := queries @ basis).T @ q
-    _, vectors = np.linalg.eigh(small)
-    latent = basis @ vectors[:, ::-1][:, :RANK]  # right singular vectors of the passages, largest first
-    aims = (queries @ latent).T
+    test = SparseSigns(n, width)
+    signs = test.dense()
+    sketch = _add_up(found, n, use, (n, width), lambda p: p.turned(p.weigh(idf), test, n)) + weight * queries.T @ (queries @ signs)
+    latent = _singular_vectors(sketch, signs, RANK)
+    aims = (latent @ (queries @ latent).T).astype(np.float32)  # the cosine of a row is its product with this
     masks, sequences, answers, ids = block.masks(), block.sequences, block.answers, block.ids
     lengths = np.array([len(s) for s in sequences])
     key_fields = [f for f in found.schema.fields if f.name not in ("n_words", "terms", "places")]
@@ -240,14 +263,12 @@ def _search(found: DataFrame, block: Block) -> DataFrame:
     schema = T.StructType([*key_fields, *(T.StructField(a, t) for a, t in added)])
 
     def run(batches):
-        for whole in batches:
-            for at in range(0, len(whole), 512):
-                batch = whole.slice(at, 512)
-                p = Passages(batch, n, use)
-                cosine = p.times(p.weigh(idf), latent) @ aims
-                r, item = np.nonzero(cosine >= NEAR)
-                cosine = cosine[r, item]
-                passage = p.rows[r]
+        for batch in batches:
+            p = Passages(batch, n, use)
+            near = [(a + r, i, c[r, i]) for a, c in p.times(p.weigh(idf).astype(np.float32), aims) for r, i in [np.nonzero(c >= NEAR)]]
+            row, every_item, every_cosine = map(np.concatenate, zip(*near)) if near else (np.zeros(0, np.int64),) * 3
+            for at in range(0, len(row), 65536):
+                passage, item, cosine = p.rows[row[at : at + 65536]], every_item[at : at + 65536], every_cosine[at : at + 65536].astype(np.float64)
                 doc = np.searchsorted(p.base, passage, "right") - 1
                 start = (passage - p.base[doc]) * STRIDE
                 common, answered = _verify(p, doc, start, item, masks, answers)
@@ -294,7 +315,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     """(doc, version, item, place, cosine, common, item_words, answered): benchmark items found in documents.
 
     Words are runs of bytes between blanks and ASCII punctuation, A-Z in lower case.  All documents give the document
-    frequencies, the sketch of the SVD and its inner products; every passage is scored against every benchmark
+    frequencies and the sketch of the SVD; every passage is scored against every benchmark
     passage of a block.  A passage counts if ``SURE`` of the benchmark passage's words are common with the 128
     words around it, in order, or ``LIKELY`` and the answer (``answer_col``, or the last ``ANSWER_WORDS`` words)
     stands there word by word.  Items under ``SHORT_ITEM`` words must be there

@@ -49,7 +49,8 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         owners = owners.filter((F.col("owner") < F.col("other")) | (F.col("nameless") & F.col("owner").isNotNull()))
     else:
         owners = owners.filter(F.col("owner").isNotNull() & (F.col("holders") + F.col("nameless").cast("int") >= min_docs))
-    drops = lines.join(owners.select("k1", "k2", "owner"), ["k1", "k2"]).filter(F.col("id").isNull() | (F.col("id") != F.col("owner")))
+    owners = scratch.keep(owners.select("k1", "k2", "owner"), "owners")  # written, so that the join's hot lines can be split
+    drops = lines.join(owners, ["k1", "k2"]).filter(F.col("id").isNull() | (F.col("id") != F.col("owner")))
     drops = drops.groupBy(F.col("id").alias("drop_id"), F.col("version").alias("drop_version")).agg(F.collect_set("pos").alias("drops"))
     drops = scratch.keep(drops, "drops")
     scratch.drop(lines)

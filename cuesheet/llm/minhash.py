@@ -2,8 +2,8 @@
 
 Every permutation of the shingle hashes yields its smallest and its largest value, so ``bands * rows``
 signature values take half as many hash evaluations.  Values are banded; documents that share a band are
-compared through the band's centre first, and whatever the centre leaves in different components is
-compared in pairs, after a split by second bands where a bucket is large.
+compared through the band's first document, then through its most typical one, and whatever that leaves in
+different components is compared in pairs, after a split by second bands where a bucket is large.
 """
 
 from __future__ import annotations
@@ -16,23 +16,21 @@ from pyspark.sql import types as T
 
 from cuesheet.llm.components import components
 from cuesheet.llm.scratch import Scratch
-from cuesheet.llm.words import grams, mix, sequence, split, texts
+from cuesheet.llm.words import grams, mix, pieces, sequence, split
 
 BANDS, ROWS = 54, 6
-CENTRES = 2  # rounds of comparing each band's members with one of them
 LARGE = 64  # documents of a bucket above which it is split by second bands
 _BLOCK = 2048
 _MULTIPLIERS = np.random.default_rng(7).integers(0, 2**63, BANDS * ROWS // 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text; fewer than ``k`` words make one shingle."""
-    data, bounds = texts(column)
-    _, _, word, first = split(data, bounds, fold=True)
-    runs = grams(word, k)
-    return [
-        np.unique(runs[a : b - k + 1]) if b - a >= k else np.array([sequence(word[a:b])] if b > a else [], np.uint64) for a, b in zip(first[:-1], first[1:])
-    ]
+def shingle_sets(column: pa.Array, k: int):
+    """The sorted distinct shingle hashes of each text in turn; fewer than ``k`` words make one shingle."""
+    for _, _, data, bounds in pieces(column):
+        _, _, word, first = split(data, bounds, fold=True)
+        runs = grams(word, k)
+        for a, b in zip(first[:-1], first[1:]):
+            yield np.unique(runs[a : b - k + 1]) if b - a >= k else np.array([sequence(word[a:b])] if b > a else [], np.uint64)
 
 
 def band_keys(values: np.ndarray) -> np.ndarray:
@@ -56,11 +54,14 @@ def _signed(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            sets = shingle_sets(batch.column("text"), k)
-            f1 = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-            f2 = np.array([mix(s * np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-            bands = pa.array([band_keys(s) if len(s) else None for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array([len(s) for s in sets], pa.int64()), pa.array(f1), pa.array(f2), bands], names=schema.names)
+            n, f1, f2, bands = [], [], [], []
+            for s in shingle_sets(batch.column("text"), k):
+                n.append(len(s))
+                f1.append(mix(s).sum(dtype=np.uint64))
+                f2.append(mix(s * np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64))
+                bands.append(band_keys(s) if len(s) else None)
+            prints = [pa.array(np.array(f, np.uint64).view(np.int64)) for f in (f1, f2)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(n, pa.int64()), *prints, pa.array(bands, pa.list_(pa.int64()))], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -89,6 +90,11 @@ def _close(n: Column, other: Column, percent: int) -> Column:
     return 100 * F.least(n, other) >= percent * F.greatest(n, other)
 
 
+def _reachable(n: Column, other: Column, common: Column, common_other: Column, percent: int) -> Column:
+    """Whether sets of these sizes, with so many shingles in common with others at most, can reach the similarity."""
+    return _close(n, other, percent) & ((100 + percent) * F.least(common, common_other) >= percent * (n + other))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """(doc, n_shingles, component, kept) of every document.
 
@@ -97,9 +103,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``component`` is the smallest id reachable over links, ``kept`` says that it is the document's own.
 
     Documents with equal sets count as one from the start, whatever their number.  A pair at 80 % is missed by all
-    bands with probability (1 - 0.8**6)**54, about 1e-7.  Each band's members are confirmed against a centre, in
-    ``CENTRES`` rounds; pairs of a bucket still in different components are then compared, all of them.  Buckets of
-    more than ``LARGE`` documents in different components are first split by every second band the members have,
+    bands with probability (1 - 0.8**6)**54, about 1e-7.  Each band's members are confirmed against its smallest id.
+    For buckets still in different components, the shingles that each member has in common with members of other
+    components are counted: they bound every overlap, so a member with too few is done.  The others are
+    confirmed against the member with the largest share in common, and what is still apart is compared in pairs, all that
+    the bounds allow.  Buckets of more than ``LARGE`` documents are first split by every second band the members have,
     which keeps all but 1e-7 of the pairs again.  Nothing is capped, and no step gathers a bucket in one place.
 
     Null text, or text without words: an empty set, linked with nothing.  Rows with the same id are one
@@ -121,42 +129,70 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     heads = own.filter(F.col("doc") == F.col("class")).select("doc")
     members = signed.filter(F.col("n") > 0).join(heads, "doc", "left_semi").select("doc", "n", F.explode("bands").alias("key"))
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1).select("key")
-    buckets = scratch.keep(members.join(shared, "key"), "buckets")
+    buckets = scratch.keep(members.join(scratch.keep(shared, "shared"), "key"), "buckets")  # written, so that hot keys can be split
     scratch.drop(signed)
 
-    links = spark.createDataFrame([], f"a {_kind(docs)}, b {_kind(docs)}")
-    labels, tried = None, None
-    for turn in range(CENTRES + 1):
-        rows = buckets.withColumn("label", F.col("doc")) if labels is None else buckets.join(labels, F.col("doc") == F.col("node"), "left").withColumn("label", F.coalesce("label", "doc")).drop("node")
-        mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by(F.struct("doc", "n", "label"), F.xxhash64("doc", F.lit(turn)) if turn else F.col("doc")).alias("centre"), F.count(F.lit(1)).alias("size"))
-        mixed = mixed.filter(F.col("low") < F.col("high")).drop("low", "high")
-        if turn < CENTRES:
-            pairs = rows.join(mixed, "key").filter((F.col("label") != F.col("centre.label")) & _close(F.col("n"), F.col("centre.n"), percent)).select(F.col("doc").alias("x"), F.col("centre.doc").alias("y"))
+    links, labels, tried, common = None, None, None, None
+    for turn in ("first", "typical", "pairs"):
+        rows = buckets.withColumn("label", F.col("doc"))
+        if labels is not None:
+            rows = buckets.join(labels, F.col("doc") == F.col("node"), "left").withColumn("label", F.coalesce("label", "doc")).drop("node")
+        if turn == "typical":
+            apart = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter(F.col("low") < F.col("high")).select("key")
+            apart = rows.join(scratch.keep(apart, "apart"), "key").select("doc", "label").distinct()
+            common = scratch.keep(_in_common(scratch.keep(apart, "apart-docs"), docs, k), "common")
+        if common is not None:
+            rows = rows.join(common, "doc").filter(100 * F.col("common") >= percent * F.col("n"))
+        by = F.col("doc") if common is None else F.struct(-F.col("common") / F.col("n"), "doc")
+        centre = F.min_by(F.struct("doc", "n", "label", *(["common"] if common is not None else [])), by)
+        mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), centre.alias("c"), F.count(F.lit(1)).alias("size"))
+        mixed = scratch.keep(mixed.filter(F.col("low") < F.col("high")).drop("low", "high"), "mixed")
+        rows = rows.join(mixed, "key")
+        if turn == "pairs":
+            small, large = rows.filter(F.col("size") <= LARGE).drop("c", "size"), rows.filter(F.col("size") > LARGE).drop("c", "size")
+            second = large.join(large.select("doc", F.col("key").alias("other")), "doc").filter(F.col("key") != F.col("other"))
+            second = second.withColumn("key", F.xxhash64(F.least("key", "other"), F.greatest("key", "other"))).drop("other").distinct()
+            rest = scratch.keep(small.unionByName(second), "rest")
+            there = rest.select("key", *[F.col(x).alias(f"{x}2") for x in rest.columns if x != "key"])
+            near = _reachable(F.col("n"), F.col("n2"), F.col("common"), F.col("common2"), percent)
+            pairs = rest.join(there, "key").filter((F.col("label") < F.col("label2")) & near).select(F.col("doc").alias("x"), F.col("doc2").alias("y"))
         else:
-            rest = rows.join(mixed.select("key", "size"), "key")
-            small = rest.filter(F.col("size") <= LARGE).select("doc", "n", "label", "key")
-            large = rest.filter(F.col("size") > LARGE).select("doc", "n", "label", "key")
-            second = large.join(rows.select("doc", F.col("key").alias("other")), "doc").filter(F.col("key") != F.col("other"))
-            second = second.select("doc", "n", "label", F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key")).distinct()
-            rest = scratch.keep(small.union(second), "rest")
-            there = rest.select("key", F.col("doc").alias("doc2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
-            pairs = rest.join(there, "key").filter((F.col("label") < F.col("label2")) & _close(F.col("n"), F.col("n2"), percent)).select(F.col("doc").alias("x"), F.col("doc2").alias("y"))
+            near = _reachable(F.col("n"), F.col("c.n"), F.col("common"), F.col("c.common"), percent) if common is not None else _close(F.col("n"), F.col("c.n"), percent)
+            pairs = rows.filter((F.col("label") != F.col("c.label")) & near).select(F.col("doc").alias("x"), F.col("c.doc").alias("y"))
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = scratch.keep(pairs, f"pairs-{turn}")
-        if not pairs.limit(1).count():
-            continue
-        links = scratch.keep(links.union(_confirmed(pairs, docs, k, percent)), f"links-{turn}")
-        tried = pairs if tried is None else tried.union(pairs)
-        labels = components(links, scratch)
-        if turn < CENTRES:
-            labels = scratch.keep(labels, f"labels-{turn}")
+        if pairs.limit(1).count():
+            sure = scratch.keep(_confirmed(pairs, docs, k, percent), f"links-{turn}")
+            tried = pairs if tried is None else tried.union(pairs)
+            links = sure if links is None else links.union(sure)
+            labels = scratch.keep(components(links, scratch), f"labels-{turn}")
     out = own.withColumn("component", F.col("class"))
     if labels is not None:
         out = own.join(labels, F.col("class") == F.col("node"), "left").withColumn("component", F.coalesce("label", "class"))
     return out.select("doc", F.col("n").alias("n_shingles"), "component", (F.col("doc") == F.col("component")).alias("kept"))
 
 
-def _kind(docs: DataFrame) -> str:
-    return docs.schema["doc"].dataType.simpleString()
+def _in_common(wanted: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(doc, common): how many shingles of each wanted document (doc, label) one of another label has.
+
+    No link to such a document can have more in common, so most of a group of copies that differ too much is known to
+    be without links before any pair is formed.
+    """
+    held = docs.join(wanted, "doc")
+    schema = T.StructType([docs.schema["doc"], T.StructField("label", docs.schema["doc"].dataType), T.StructField("shingles", T.ArrayType(T.LongType()))])
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, len(batch), 512):
+                part = batch.slice(at, 512)
+                sets = pa.array([s.view(np.int64) for s in shingle_sets(part.column("text"), k)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("label"), sets], names=schema.names)
+
+    scratch = Scratch(docs.sparkSession, "minhash")
+    sets = held.select("doc", "label", "text").mapInArrow(run, schema).select("doc", "label", F.explode("shingles").alias("shingle"))
+    sets = scratch.keep(sets, "sets")
+    spread = sets.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter(F.col("low") < F.col("high")).select("shingle")
+    spread = scratch.keep(spread, "spread")
+    return sets.join(spread, "shingle").groupBy("doc").agg(F.count(F.lit(1)).alias("common"))

@@ -17,22 +17,12 @@ from pyspark.sql import types as T
 
 from cuesheet.llm.fmindex import FMIndex
 from cuesheet.llm.scratch import Scratch
-from cuesheet.llm.words import WORD_BASE, grams, mix, powers, split, texts, window_hashes
+from cuesheet.llm.words import WORD_BASE, grams, mix, pieces, powers, split, texts, window_hashes
 
 GRAM = 8
 SHARD_RUNS = 4000  # distinct runs of one gram that go to one shard; a gram with more is dealt over several
 SHARD_WORDS = 400_000
 _PLACE = np.uint64(28)  # low bits of a key that hold the place of a gram
-_PART = 1 << 18  # words handled at once
-
-
-def _parts(first: np.ndarray):
-    """Ranges of documents with about ``_PART`` words."""
-    a = 0
-    while a < len(first) - 1:
-        b = max(a + 1, int(np.searchsorted(first, first[a] + _PART, "right")) - 1)
-        yield a, b
-        a = b
 
 
 def _minimizers(word: np.ndarray, window: int, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -54,15 +44,13 @@ def _runs(docs: DataFrame, window: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            data, bounds = texts(batch.column("text"))
-            _, _, word, first = split(data, bounds)
-            for a, b in _parts(first):
-                base, own = first[a], word[first[a] : first[b]]
+            for row, _, data, bounds in pieces(batch.column("text")):
+                _, _, own, first = split(data, bounds)
                 if len(own) < window:
                     continue
                 hashes, place = _minimizers(own, window, size)
                 inside = np.zeros(len(place), bool)
-                for lo, hi in zip(first[a:b] - base, first[a + 1 : b + 1] - base):
+                for lo, hi in zip(first[:-1], first[1:]):
                     inside[lo : max(lo, hi - window + 1)] = True
                 at = np.flatnonzero(inside)
                 if not len(at):
@@ -74,9 +62,9 @@ def _runs(docs: DataFrame, window: int) -> DataFrame:
                 total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(own * powers(pow(WORD_BASE, -1, 2**64), len(own)))))
                 stop = start + n + window - 1
                 content = mix((total[stop] - total[start]) * powers(WORD_BASE, len(own))[start] + stop.astype(np.uint64) - start.astype(np.uint64))
-                doc = np.searchsorted(first, start + base, "right") - 1
-                keys = [batch.column(c).take(pa.array(doc)) for c in ("doc", "version")]
-                local = start + base - first[doc]
+                doc = np.searchsorted(first, start, "right") - 1
+                keys = [batch.column(c).take(pa.array(row + doc)) for c in ("doc", "version")]
+                local = start - first[doc]
                 yield pa.RecordBatch.from_arrays([*keys, pa.array(hashes[place[start]].view(np.int64)), pa.array(content.view(np.int64)), pa.array(local.astype(np.int32)), pa.array(n.astype(np.int32))], names=schema.names)
 
     return docs.mapInArrow(run, schema)
@@ -160,12 +148,12 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     docs = docs.select("doc", F.xxhash64("text").alias("version"), "text")
     runs = scratch.keep(_runs(docs, window).withColumn("owner", F.coalesce("doc", F.lit(NO_OWNER))), "runs")
     shared = runs.groupBy("gram").agg(F.min("owner").alias("low"), F.max("owner").alias("high")).filter(F.col("low") < F.col("high")).select("gram")
-    runs = runs.join(shared, "gram")
+    runs = runs.join(scratch.keep(shared, "shared"), "gram")  # written, so that the join's hot grams can be split
     runs = scratch.keep(runs, "shared-runs")
     texts_of = runs.groupBy("gram", "run").agg(F.min(F.struct("owner", "doc", "version", "start", "n")).alias("c"))
     texts_of = scratch.keep(texts_of, "distinct-runs")
     many = texts_of.groupBy("gram").agg(F.count(F.lit(1)).alias("many")).filter(F.col("many") > SHARD_RUNS)
-    placed = texts_of.join(many, "gram", "left")
+    placed = texts_of.join(scratch.keep(many, "many"), "gram", "left")
     shards = F.coalesce(F.ceil(F.col("many") / SHARD_RUNS), F.lit(1))
     entry = F.struct("gram", "run", F.pmod("run", shards).alias("shard"), F.col("many").isNotNull().alias("split"), "c.owner", "c.start", "c.n")
     wanted = placed.groupBy(F.col("c.doc").alias("of_doc"), F.col("c.version").alias("of_version")).agg(F.collect_list(entry).alias("runs"))
@@ -176,9 +164,9 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     # grams dealt over several shards: the smallest owner of each window over the shards
     pieces = owned.filter("split").select("gram", "run", F.posexplode(F.arrays_zip("owners", "windows")).alias("k", "z")).select("gram", "run", "k", "z.owners", "z.windows")
-    least = pieces.groupBy("gram", "windows").agg(F.min("owners").alias("least"))
+    least = scratch.keep(pieces.groupBy("gram", "windows").agg(F.min("owners").alias("least")), "least")
     merged = pieces.join(least, ["gram", "windows"]).groupBy("gram", "run").agg(F.array_sort(F.collect_list(F.struct("k", "least"))).alias("w")).select("gram", "run", F.col("w.least").alias("owners"))
-    owners = owned.filter("NOT split").select("gram", "run", "owners").union(merged)
+    owners = scratch.keep(owned.filter("NOT split").select("gram", "run", "owners").union(merged), "owners")
 
     held = F.filter(F.transform("owners", lambda o, k: F.when(o < F.col("owner"), F.col("start") + k)), lambda x: x.isNotNull())
     hits = runs.join(owners, ["gram", "run"]).select("doc", "version", "n", "start", held.alias("hits")).filter(F.size("hits") > 0)

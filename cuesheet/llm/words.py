@@ -60,6 +60,16 @@ def texts(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
+def pieces(column: pa.Array | pa.ChunkedArray):
+    """(first row, row after the last, bytes, bounds) of runs of texts with about a megabyte, or one longer text."""
+    data, bounds = texts(column)
+    a = 0
+    while a < len(bounds) - 1:
+        b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + _PIECE, "right")) - 1)
+        yield a, b, data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]
+        a = b
+
+
 def _cuts(data: np.ndarray, bounds: np.ndarray) -> list[int]:
     """Where to cut the bytes: at bounds of texts or between words, about every piece."""
     cuts, n = [0], len(data)
