@@ -1,8 +1,9 @@
-"""Benchmark passages in documents: latent semantic retrieval, then longest common subsequences and answers.
+"""Benchmark passages in documents: containment of weighted terms, then longest common subsequences and answers.
 
-Documents become passages of 64 words every 32 words.  TF-IDF rows of all passages over the benchmark's terms
-go through a distributed randomised SVD; passages near a benchmark passage in the latent space are candidates,
-and a candidate counts if enough of the benchmark passage is a common subsequence of the words around it.
+Documents become passages of 64 words every 32 words.  A passage is a candidate for a benchmark passage if the words
+around it hold so much of the benchmark passage's own idf weight as a match cannot do without, and a candidate
+counts if enough of the benchmark passage is a common subsequence of these words.  TF-IDF rows of all passages over
+the benchmark's terms go through a distributed randomised SVD, which gives the cosine of every match.
 """
 
 from __future__ import annotations
@@ -20,13 +21,13 @@ STRIDE = 32  # words between passages; a passage has two strides
 ITEM_WORDS, ITEM_STRIDE = 64, 48  # longer benchmark items are cut
 BLOCK = 240  # benchmark passages searched in one latent space
 RANK, OVERSAMPLE = 272, 16
-COMMON, COMMON_ROWS = 0.01, 50  # a term in more passages than both this share and number tells too little for the search
-THIN = 6  # terms a benchmark passage needs for the search; if it has fewer, its common terms count too
-NEAR = 0.35  # cosine of a candidate
+COMMON, COMMON_ROWS = 0.01, 50  # a term in more passages than both this share and number tells too little for the cosine
+THIN = 6  # terms a benchmark passage needs for the cosine; if it has fewer, its common terms count too
 SURE, LIKELY = 0.8, 0.5  # share of common words: enough by itself, or with the answer
 ANSWER_WORDS = 5
 SHORT_ITEM, LEAST_ITEM = 8, 4  # benchmark passages under 8 words must be there as they are; under 4, they match nothing
 CHUNKS, SALTS = 64, 64
+DENSE, WINDOWS = 512, 2048  # terms scored by a dense product, and passages scored at once
 
 
 class Block:
@@ -136,13 +137,17 @@ class Passages:
         norm = np.sqrt(np.add.reduceat(value * value, self.starts))
         return value / np.repeat(norm, np.diff(self.starts, append=len(value)))
 
-    def times(self, value: np.ndarray, dense: np.ndarray):
-        """The rows that have entries times a dense matrix, as (first row, piece of the product)."""
+    def cosines(self, value: np.ndarray, aims: np.ndarray, passage: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """The products of some passages' rows with one column each of a dense matrix; 0 for rows without entries."""
+        out = np.zeros(len(passage))
+        if not len(self.rows):
+            return out
+        at = np.minimum(np.searchsorted(self.rows, passage), len(self.rows) - 1)
         bounds = np.append(self.starts, len(value))
-        for a in range(0, len(self.rows), 1024):
-            b = min(a + 1024, len(self.rows))
-            lo, hi = bounds[a], bounds[b]
-            yield a, np.add.reduceat(value[lo:hi, None] * dense[self.col[lo:hi]], bounds[a:b] - lo)
+        for k in np.flatnonzero(self.rows[at] == passage):
+            own = slice(bounds[at[k]], bounds[at[k] + 1])
+            out[k] = value[own] @ aims[self.col[own], item[k]]
+        return out
 
     def turned(self, value: np.ndarray, test: "SparseSigns", n_terms: int) -> np.ndarray:
         """The transpose times the matrix times ``test``: what the rows add to the sketch."""
@@ -221,6 +226,90 @@ def _add_up(found: DataFrame, n_terms: int, use: np.ndarray, shape: tuple[int, i
     return out
 
 
+class Cover:
+    """What a match cannot do without: the least weight of a benchmark passage's words that the words around a passage hold.
+
+    The score is the weight of the benchmark passage's words whose terms are there.  A match by ``SURE`` has at least
+    that share of the words, so no less than its lightest words weigh; a match by ``LIKELY`` has the answer's terms
+    and the lightest of the other words up to that share; items under ``SHORT_ITEM`` words must be there whole.
+    Every match of ``_verify`` is therefore a candidate, whatever else stands around it.
+    """
+
+    def __init__(self, block: Block, idf: np.ndarray, df: np.ndarray):
+        self.n, self.width = len(block.terms), len(block.ids)
+        self.sure, self.likely, self.asked = np.zeros(self.width), np.zeros(self.width), []
+        term, item, weight = [], [], []
+        for i, (s, own) in enumerate(zip(block.sequences, block.answers)):
+            w, inside = idf[s], np.isin(s, own)
+            slack = 1e-4 * w.sum()
+            own = np.unique(own)
+            self.asked.append(own[np.argsort(df[own], kind="stable")])
+            if len(s) < SHORT_ITEM:
+                self.sure[i] = self.likely[i] = w.sum() - slack
+            else:
+                self.sure[i] = np.sort(w)[: int(np.ceil(SURE * len(s) - 1e-9))].sum() - slack
+                more = max(0, int(np.ceil(LIKELY * len(s) - 1e-9)) - int(inside.sum()))
+                self.likely[i] = w[inside].sum() + np.sort(w[~inside])[:more].sum() - slack
+            own, counts = np.unique(s, return_counts=True)
+            term.append(own)
+            item.append(np.full(len(own), i))
+            weight.append(counts * idf[own])
+        term, item, weight = map(np.concatenate, (term, item, weight))
+        held = np.bincount(term, minlength=self.n)
+        heavy = np.argsort(-(df * held), kind="stable")[:DENSE]
+        self.slot = np.full(self.n, -1)
+        self.slot[heavy] = np.arange(len(heavy))
+        dense = self.slot[term] >= 0
+        self.dense = np.zeros((len(heavy), self.width), np.float32)
+        self.dense[self.slot[term[dense]], item[dense]] = weight[dense]
+        term, item, weight = term[~dense], item[~dense], weight[~dense]
+        order = np.argsort(term, kind="stable")
+        self.item, self.weight = item[order], weight[order]
+        self.first = np.searchsorted(term[order], np.arange(self.n + 1))
+
+    def candidates(self, p: Passages):
+        """(passages, items) of runs of ``WINDOWS`` passages."""
+        doc = np.repeat(np.arange(len(p.sizes)), np.diff(p.first))
+        block = p.place // STRIDE
+        low, high = p.base[doc] + np.clip(block - 2, 0, p.sizes[doc] - 1), p.base[doc] + np.minimum(block + 1, p.sizes[doc] - 1)
+        for g in range(0, int(p.base[-1]), WINDOWS):
+            size = min(WINDOWS, int(p.base[-1]) - g)
+            a, b = np.searchsorted(high, g), np.searchsorted(low, g + size)
+            if a >= b:
+                continue
+            row, term = [], []
+            for shift in range(4):  # a passage's words are those of its two strides and of one on either side
+                at = np.maximum(low[a:b], g) + shift
+                there = np.flatnonzero(at <= np.minimum(high[a:b], g + size - 1))
+                row.append(at[there] - g)
+                term.append(p.term[a:b][there])
+            row, term = np.concatenate(row), np.concatenate(term)
+            slot = self.slot[term]
+            held = np.zeros((size, len(self.dense)), np.float32)
+            held[row[slot >= 0], slot[slot >= 0]] = 1
+            score = (held @ self.dense).astype(np.float64)
+            rare = np.unique(row[slot < 0] * self.n + term[slot < 0])
+            t = rare % self.n
+            counts = self.first[t + 1] - self.first[t]
+            each = np.repeat(self.first[t] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+            score += np.bincount(np.repeat(rare // self.n, counts) * self.width + self.item[each], self.weight[each], size * self.width).reshape(size, -1)
+            row, item = np.nonzero(score >= np.minimum(self.sure, self.likely))
+            kept = score[row, item] >= self.sure[item]
+            rest = np.flatnonzero(~kept)
+            rest = rest[np.argsort(item[rest], kind="stable")]
+            for part in np.split(rest, np.flatnonzero(np.diff(item[rest])) + 1) if len(rest) else ():
+                own = np.ones(len(part), bool)
+                for term in self.asked[item[part[0]]]:
+                    if self.slot[term] >= 0:
+                        own &= held[row[part], self.slot[term]] > 0
+                    else:
+                        key = row[part] * self.n + term
+                        at = np.searchsorted(rare, key)
+                        own &= (at < len(rare)) & (rare[np.minimum(at, len(rare) - 1)] == key) if len(rare) else False
+                kept[part] = own
+            yield row[kept] + g, item[kept]
+
+
 def _search(found: DataFrame, block: Block) -> DataFrame:
     """The matches of one block of the benchmark; see ``benchmark_matches``."""
     n = len(block.terms)
@@ -256,6 +345,7 @@ def _search(found: DataFrame, block: Block) -> DataFrame:
     sketch = _add_up(found, n, use, (n, width), lambda p: p.turned(p.weigh(idf), test, n)) + weight * queries.T @ (queries @ signs)
     latent = _singular_vectors(sketch, signs, RANK)
     aims = (latent @ (queries @ latent).T).astype(np.float32)  # the cosine of a row is its product with this
+    cover = Cover(block, idf, df)
     masks, sequences, answers, ids = block.masks(), block.sequences, block.answers, block.ids
     lengths = np.array([len(s) for s in sequences])
     key_fields = [f for f in found.schema.fields if f.name not in ("n_words", "terms", "places")]
@@ -265,31 +355,30 @@ def _search(found: DataFrame, block: Block) -> DataFrame:
     def run(batches):
         for batch in batches:
             p = Passages(batch, n, use)
-            near = [(a + r, i, c[r, i]) for a, c in p.times(p.weigh(idf).astype(np.float32), aims) for r, i in [np.nonzero(c >= NEAR)]]
-            row, every_item, every_cosine = map(np.concatenate, zip(*near)) if near else (np.zeros(0, np.int64),) * 3
-            for at in range(0, len(row), 65536):
-                passage, item, cosine = p.rows[row[at : at + 65536]], every_item[at : at + 65536], every_cosine[at : at + 65536].astype(np.float64)
-                doc = np.searchsorted(p.base, passage, "right") - 1
-                start = (passage - p.base[doc]) * STRIDE
-                common, answered = _verify(p, doc, start, item, masks, answers)
-                share = common / lengths[item]
-                sure = np.where(lengths[item] < SHORT_ITEM, answered & (share == 1), (share >= SURE) | ((share >= LIKELY) & answered))
-                k = np.flatnonzero(sure)
-                keys = [batch.column(f.name).take(pa.array(doc[k])) for f in key_fields]
-                out = [pa.array([ids[i] for i in item[k]], pa.int64()), pa.array(start[k], pa.int64()), pa.array(cosine[k]), pa.array(common[k], pa.int64()), pa.array(lengths[item[k]], pa.int64()), pa.array(answered[k], pa.bool_())]
-                yield pa.RecordBatch.from_arrays([*keys, *out], names=schema.names)
+            value = p.weigh(idf)
+            for every_passage, every_item in cover.candidates(p):
+                for at in range(0, len(every_passage), 65536):
+                    passage, item = every_passage[at : at + 65536], every_item[at : at + 65536]
+                    doc = np.searchsorted(p.base, passage, "right") - 1
+                    start = (passage - p.base[doc]) * STRIDE
+                    common, answered = _verify(p, doc, start, item, masks, answers, lengths)
+                    share = common / lengths[item]
+                    sure = np.where(lengths[item] < SHORT_ITEM, answered & (share == 1), (share >= SURE) | ((share >= LIKELY) & answered))
+                    k = np.flatnonzero(sure)
+                    cosine = p.cosines(value, aims, passage[k], item[k])
+                    keys = [batch.column(f.name).take(pa.array(doc[k])) for f in key_fields]
+                    out = [pa.array([ids[i] for i in item[k]], pa.int64()), pa.array(start[k], pa.int64()), pa.array(cosine), pa.array(common[k], pa.int64()), pa.array(lengths[item[k]], pa.int64()), pa.array(answered[k], pa.bool_())]
+                    yield pa.RecordBatch.from_arrays([*keys, *out], names=schema.names)
 
     return found.mapInArrow(run, schema)
 
 
-def _verify(p: Passages, doc, start, item, masks, answers) -> tuple[np.ndarray, np.ndarray]:
+def _verify(p: Passages, doc, start, item, masks, answers, lengths) -> tuple[np.ndarray, np.ndarray]:
     """For each candidate the length of the longest common subsequence of the benchmark passage and the
     words from one stride before the passage to one after it, and whether the answer is there word by word."""
     common, answered = np.zeros(len(doc), np.int64), np.zeros(len(doc), bool)
-    lo, hi = np.zeros(len(doc), np.int64), np.zeros(len(doc), np.int64)
-    for k, (d, s) in enumerate(zip(doc, start)):
-        a, b = p.first[d], p.first[d + 1]
-        lo[k], hi[k] = a + np.searchsorted(p.place[a:b], (s - STRIDE, s + 3 * STRIDE))
+    spot = (np.repeat(np.arange(len(p.sizes)), np.diff(p.first)) << 40) + p.place
+    lo, hi = np.searchsorted(spot, (doc << 40) + np.maximum(start - STRIDE, 0)), np.searchsorted(spot, (doc << 40) + start + 3 * STRIDE)
     full = np.uint64(2**64 - 1)
     for at in range(0, len(doc), 4096):
         a, b, i = lo[at : at + 4096], hi[at : at + 4096], item[at : at + 4096]
@@ -300,8 +389,8 @@ def _verify(p: Passages, doc, start, item, masks, answers) -> tuple[np.ndarray,
             hit = held & masks[i[live], p.term[a[live] + step]]
             state[live] = (held + hit) | (held & ~hit)
         common[at : at + 4096] = np.bitwise_count(~state)
-    for k, (a, b, i) in enumerate(zip(lo, hi, item)):
-        own = answers[i]
+    for k in np.flatnonzero(common >= LIKELY * lengths[item]):  # below that no answer lets it count
+        a, b, own = lo[k], hi[k], answers[item[k]]
         if common[k] >= len(own) and b - a >= len(own):
             term, place = p.term[a:b], p.place[a:b]
             for s in np.flatnonzero(term[: len(term) - len(own) + 1] == own[0]):
@@ -316,7 +405,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 
     Words are runs of bytes between blanks and ASCII punctuation, A-Z in lower case.  All documents give the document
     frequencies and the sketch of the SVD; every passage is scored against every benchmark
-    passage of a block.  A passage counts if ``SURE`` of the benchmark passage's words are common with the 128
+    passage of a block, and the score leaves out none that the rest of this paragraph lets count.  A passage counts if ``SURE`` of the benchmark passage's words are common with the 128
     words around it, in order, or ``LIKELY`` and the answer (``answer_col``, or the last ``ANSWER_WORDS`` words)
     stands there word by word.  Items under ``SHORT_ITEM`` words must be there
     in one piece; under ``LEAST_ITEM`` words they match nothing.  ``place``

@@ -146,6 +146,49 @@ def test_common_subsequences_are_exact(spark):
             assert r.common == lcs(w, items[r.item])
 
 
+def plain_leaks(docs, items):
+    """(doc, item) by every passage against every item: no candidate search."""
+    found = set()
+    for d, text in docs.items():
+        w = text.split()
+        for start in range(0, max(1, -(-len(w) // latent.STRIDE) - 1) * latent.STRIDE, latent.STRIDE):
+            near = w[max(0, start - latent.STRIDE) : start + 3 * latent.STRIDE]
+            for i, item in items.items():
+                x, row = item.split(), [0] * (len(near) + 1)
+                for a in x:
+                    new = [0]
+                    for k, b in enumerate(near):
+                        new.append(row[k] + 1 if a == b else max(row[k + 1], new[k]))
+                    row = new
+                own = x[-latent.ANSWER_WORDS :]
+                answered = any(near[k : k + len(own)] == own for k in range(len(near)))
+                share = row[-1] / len(x)
+                if answered and share == 1 if len(x) < latent.SHORT_ITEM else share >= latent.SURE or answered and share >= latent.LIKELY:
+                    found.add((d, i))
+    return found
+
+
+def found_leaks(spark, docs, items):
+    docs = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
+    items = spark.createDataFrame(list(items.items()), "item_id bigint, text string")
+    return {(r.doc, r.item) for r in latent.benchmark_matches(docs, items).collect()}
+
+
+@pytest.mark.parametrize("length", [6, 8, 12])
+def test_short_items_side_by_side(spark, length):
+    """Questions listed one after another: copies, copies with a word changed, and the answer with half of the rest."""
+    rng = random.Random(length)
+    vocab = ["".join(rng.choices("abcdefgilmnorstu", k=rng.randint(3, 8))) for _ in range(900)]
+    item = lambda: " ".join(rng.choice(vocab) if rng.random() < 0.6 else rng.choice(["the", "of", "and", "in"]) for _ in range(length))
+    items = {i: item() for i in range(60)}
+    changed = [" ".join("new" if k == length // 3 else x for k, x in enumerate(t.split())) for t in items.values()]
+    halved = [" ".join("new" if k < length - latent.ANSWER_WORDS and k % 2 else x for k, x in enumerate(t.split())) for t in items.values()]
+    docs = {1: " ".join(items.values()), 2: " ".join(changed), 3: " ".join(halved), 4: " ".join(item() for _ in range(60))}
+    want = plain_leaks(docs, items)
+    assert {(1, i) for i in items} <= want
+    assert found_leaks(spark, docs, items) == want
+
+
 def plain_best(messages):
     """Every root-to-leaf path by walking up from each leaf."""
     by = {}
