@@ -30,24 +30,27 @@ CHUNKS, SALTS = 64, 64
 DENSE, WINDOWS = 512, 2048  # terms scored by a dense product, and passages scored at once
 
 
+def _parts(item_id, text: str | None, answer: str | None):
+    """(item, words, words of the answer) of the passages that a benchmark item is cut into; words are hashes."""
+    data, bounds = texts(pa.array([text or ""]))
+    word = split(data, bounds, bare=True)[2]
+    if len(word) < LEAST_ITEM:
+        return
+    data, bounds = texts(pa.array([answer or ""]))
+    own = split(data, bounds, bare=True)[2] if answer else word[-ANSWER_WORDS:]
+    starts = [0] if len(word) <= ITEM_WORDS else [*range(0, len(word) - ITEM_WORDS, ITEM_STRIDE), len(word) - ITEM_WORDS]
+    for a in starts:
+        part = word[a : a + ITEM_WORDS]
+        yield item_id, part, own if len(own) and answer or a + ITEM_WORDS >= len(word) else part[-ANSWER_WORDS:]
+
+
 class Block:
-    """Some benchmark passages and the terms in them."""
-
-    def __init__(self, items: list[tuple]):
-        self.ids, self.sequences, self.answers = [], [], []
-        hashes = []
-        for item_id, text, answer in items:
-            data, bounds = texts(pa.array([text or ""]))
-            word = split(data, bounds, bare=True)[2]
-            if len(word) < LEAST_ITEM:
-                continue
-            data, bounds = texts(pa.array([answer or ""]))
-            own = split(data, bounds, bare=True)[2] if answer else word[-ANSWER_WORDS:]
-            starts = [0] if len(word) <= ITEM_WORDS else [*range(0, len(word) - ITEM_WORDS, ITEM_STRIDE), len(word) - ITEM_WORDS]
-            for a in starts:
-                part = word[a : a + ITEM_WORDS]
-                self.ids.append(item_id)
-                hashes.append((part, own if len(own) and answer or a + ITEM_WORDS >= len(word) else part[-ANSWER_WORDS:]))
+    """Some benchmark passages, as ``_parts`` gives them, and the terms in them."""
+
+    def __init__(self, parts: list[tuple]):
+        self.ids = [item_id for item_id, _, _ in parts]
+        self.sequences, self.answers = [], []
+        hashes = [(part, own) for _, part, own in parts]
         self.terms = np.unique(np.concatenate([np.concatenate(h) for h in hashes])) if hashes else np.zeros(0, np.uint64)
         for part, own in hashes:
             self.sequences.append(np.searchsorted(self.terms, part))
@@ -73,16 +76,16 @@ class Block:
 
 
 def _blocks(benchmark: DataFrame):
-    """The benchmark in blocks of about ``BLOCK`` passages, so that the latent space has room for each."""
-    part, size = [], 0
+    """The benchmark in blocks of at most ``BLOCK`` passages, so that the latent space has room for each; a long item spans several."""
+    held = []
     for r in benchmark.toLocalIterator():
-        part.append((r["item"], r["text"], r["answer"]))
-        size += 1 + len((r["text"] or "").split()) // ITEM_STRIDE
-        if size >= BLOCK:
-            yield Block(part)
-            part, size = [], 0
-    if part:
-        yield Block(part)
+        for part in _parts(r["item"], r["text"], r["answer"]):
+            held.append(part)
+            if len(held) == BLOCK:
+                yield Block(held)
+                held = []
+    if held:
+        yield Block(held)
 
 
 def _binary(values: np.ndarray, counts: np.ndarray) -> pa.Array:
@@ -422,8 +425,6 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     items = benchmark.select(benchmark[item_col].cast("bigint").alias("item"), benchmark[item_text_col].alias("text"), answer.alias("answer"))
     parts = []
     for block in _blocks(items):
-        if not block.ids:
-            continue
         found = scratch.keep(_found(rows, block), "found")
         parts.append(scratch.keep(_search(found, block), "matches"))
         scratch.drop(found)

@@ -1,6 +1,7 @@
 """Quality rules, language identification, decontamination and chat formatting on small tables."""
 
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -189,6 +190,19 @@ def test_short_items_side_by_side(spark, length):
     assert found_leaks(spark, docs, items) == want
 
 
+def test_blocks_hold_no_more_passages_than_the_latent_space(spark):
+    """A long item of prose and items like code, whose words are parted by punctuation, beside short ones."""
+    rng = random.Random(12)
+    prose = " ".join(f"w{rng.randrange(9000)}" for _ in range((latent.RANK + 40) * latent.ITEM_STRIDE))
+    code = "\n".join(f"f{k}.bar(baz{k},qux);x[i{k}]=y[j{k}]+z(a,b,c)" for k in range(60))
+    rows = [(1, prose, None), *((k, code, None) for k in range(2, 40)), (90, "four words are enough", None), (91, "not these", None)]
+    blocks = list(latent._blocks(spark.createDataFrame(rows, "item bigint, text string, answer string")))
+    assert latent.BLOCK <= latent.RANK and all(0 < len(b.ids) <= latent.BLOCK for b in blocks) and len(blocks) > 2
+    passages = lambda n: 1 + max(0, -(-(n - latent.ITEM_WORDS) // latent.ITEM_STRIDE))
+    want = Counter({i: passages(len(re.findall(r"[a-z0-9]+", t))) for i, t, _ in rows if i != 91})
+    assert Counter(i for b in blocks for i in b.ids) == want
+
+
 def plain_best(messages):
     """Every root-to-leaf path by walking up from each leaf."""
     by = {}
