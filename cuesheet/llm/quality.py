@@ -16,7 +16,7 @@ BASE_RUN, BASE_MIN_WORDS, BASE_MAX_SHARE = 3, 50, 50
 #: Greatest share of word characters inside runs of n words that repeat earlier ones, and in such lines.
 MAX_RUN_SHARE = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 MAX_LINE_SHARE = 0.30
-LEAST_CHARS = 100  # repeats of fewer characters, such as one line of boilerplate, fail no text
+LEAST_CHARS = 0  # no floor in characters: the shares hold for texts of every length
 _PIECE = 1 << 20
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "dup_line_chars", *(f"dup_chars_{n}" for n in MAX_RUN_SHARE)]
 
@@ -90,7 +90,7 @@ def repetition_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Words are ``[^\\x20\\x09-\\x0D]+``.  ``dup_chars_n`` counts the characters of words inside runs of n words
     that occurred before in the text; runs are compared by 64-bit rolling hashes.
     ``base_failed``: under 50 words, or over 50 % of the words in repeated runs of three.  ``kept``: not
-    ``base_failed``, at most ``MAX_RUN_SHARE[n]`` of the word characters in repeated runs of each n (or under ``LEAST_CHARS``), and at
+    ``base_failed``, at most ``MAX_RUN_SHARE[n]`` of the word characters in repeated runs of each n, and at
     most ``MAX_LINE_SHARE`` in lines equal to an earlier line.
 
     Null or empty text: all counts 0, ``base_failed`` true.  Rows stand for themselves, so null or repeated
@@ -110,6 +110,5 @@ def repetition_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
     failed = (F.col("n_words") < BASE_MIN_WORDS) | (100 * F.col("n_repeat_words") > BASE_MAX_SHARE * F.col("n_words"))
     fine = F.col("dup_line_chars") <= MAX_LINE_SHARE * chars
     for n, share in MAX_RUN_SHARE.items():
-        repeats = F.col(f"dup_chars_{n}")
-        fine &= (repeats < LEAST_CHARS) | (repeats <= share * chars)
+        fine &= F.col(f"dup_chars_{n}") <= share * chars
     return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & fine)

@@ -48,6 +48,16 @@ def test_quality_rules(spark):
     assert quality.repetition_rules(frame(spark, rows).filter("false")).count() == 0
 
 
+def test_short_texts_fail_by_run_shares_alone(spark):
+    """A run of twelve words that comes twice in 62 words fails, one of five words in 400 doesn't; both pass the base rules."""
+    plain = [f"w{k}" for k in range(400)]
+    rows = [(1, " ".join(plain[:50] + plain[:12])), (2, " ".join(plain + plain[:5])), (3, " ".join(plain[:60]))]
+    got = {r.doc_id: r for r in quality.repetition_rules(frame(spark, rows)).collect()}
+    assert got[1].dup_chars_5 < 100 and got[1].dup_chars_5 > 0.15 * got[1].word_chars and got[1].n_dup_lines == 0
+    assert not any(r.base_failed for r in got.values())
+    assert {i: r.kept for i, r in got.items()} == {1: False, 2: True, 3: True}
+
+
 SYLLABLES = {"aa": ["ka", "lo", "mi", "tu"], "bb": ["sch", "er", "ung", "zw"], "cc": ["ção", "que", "os", "é"]}
 
 
