@@ -14,12 +14,12 @@ from cuesheet.llm.words import texts
 
 BUCKETS = 1 << 15
 SAMPLE = 2000  # labelled rows per language, about, that the text model is fitted on
-LANGUAGES = 64  # most frequent labels that are learnt
 LEAST_ROWS = 5  # labelled rows that make a language
 SMOOTH = 0.5
 TEMPER = 0.25  # neighbouring trigrams share letters: their likelihoods count this much
 DECLARED_WEIGHT = 2.0  # pseudo-counts of the confusion table of declared languages
 HOST_WEIGHT, DOMAIN_WEIGHT = 8.0, 32.0  # pseudo-counts from the level above
+SCORES = 1 << 22  # likelihoods held at once
 SHORT = 20  # trigrams under which a text isn't held against the alphabet's chance
 UNKNOWN = "und"
 
@@ -60,28 +60,25 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang") -> dict:
     """Trigram log-probabilities per language, from about ``SAMPLE`` rows each, picked by the hash of the text.
 
-    Rows with null label or text are left out.  Languages are the ``LANGUAGES`` most frequent labels with at
-    least ``LEAST_ROWS`` rows.  No label at all gives a model without languages, which knows nothing.
+    Rows with null label or text are left out.  Languages are all labels with at least
+    ``LEAST_ROWS`` rows, however many.  No label at all gives a model without languages, which knows nothing.
     """
     rows = labelled.select(labelled[text_col].alias("text"), labelled[label_col].alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect() if r["n"] >= LEAST_ROWS}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_ROWS).collect()}
     names = sorted(sizes)
     if not names:
         return {"names": [], "table": np.zeros((0, BUCKETS + 1), np.float32)}
-    pick = F.lit(False)
-    for name in names:
-        pick |= (F.col("lang") == name) & (F.pmod(F.xxhash64("text"), F.lit(max(1, sizes[name] // SAMPLE))) == 0)
+    number = {name: k for k, name in enumerate(names)}
+    every = F.create_map(*[F.lit(x) for name in names for x in (name, max(1, sizes[name] // SAMPLE))])  # null for other labels
+    pick = F.pmod(F.xxhash64("text"), every[F.col("lang")]) == 0
 
     def run(batches):
         for batch in batches:
             data, bounds = texts(batch.column("text"))
-            langs = np.array([names.index(x) for x in batch.column("lang").to_pylist()], np.int64)
-            counts = np.zeros(len(names) * (BUCKETS + 1), np.int64)
+            langs = np.array([number[x] for x in batch.column("lang").to_pylist()], np.int64)
             for own, _, grams in trigrams(data, bounds):
-                counts += np.bincount(np.repeat(langs, np.diff(own)) * (BUCKETS + 1) + grams, minlength=len(counts))
-            counts = counts.reshape(len(names), -1)
-            k, bucket = np.nonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(bucket), pa.array(counts[k, bucket])], names=["k", "bucket", "n"])
+                cell, counts = np.unique(np.repeat(langs, np.diff(own)) * (BUCKETS + 1) + grams, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cell // (BUCKETS + 1)), pa.array(cell % (BUCKETS + 1)), pa.array(counts)], names=["k", "bucket", "n"])
 
     counted = rows.filter(pick).mapInArrow(run, "k bigint, bucket bigint, n bigint").groupBy("k", "bucket").agg(F.sum("n").alias("n")).toArrow()
     table = np.full((len(names), BUCKETS + 1), SMOOTH)
@@ -96,19 +93,24 @@ def _with_text(docs: DataFrame, model: dict, text_col: str | None) -> DataFrame:
     schema = T.StructType([*docs.schema.fields, T.StructField("_ll", T.ArrayType(T.DoubleType()))])
     table = model["table"]
 
+    def likelihoods(column):
+        data, bounds = texts(column)
+        n, letters, over = np.zeros(len(column)), np.zeros(len(column)), np.zeros((len(table), len(column)))
+        for own, part, grams in trigrams(data, bounds):
+            n += _sums(grams != BUCKETS, own)
+            letters += _sums(_LETTER[part], own)
+            for row, sums in zip(table, over):
+                sums += _sums(row[grams], own)
+        over += n * math.log(BUCKETS)
+        sure = (letters > 0) & ((over.max(axis=0, initial=-np.inf) > 0) | (n < SHORT)) & (len(table) > 0)
+        ends = np.concatenate(([0], np.cumsum(sure * len(table)))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array((TEMPER * over).T[sure].ravel()), mask=pa.array(~sure))
+
     def run(batches):
         for batch in batches:
-            data, bounds = texts(batch.column(text_col))
-            n, letters, over = np.zeros(len(batch)), np.zeros(len(batch)), np.zeros((len(table), len(batch)))
-            for own, part, grams in trigrams(data, bounds):
-                n += _sums(grams != BUCKETS, own)
-                letters += _sums(_LETTER[part], own)
-                for row, sums in zip(table, over):
-                    sums += _sums(row[grams], own)
-            over += n * math.log(BUCKETS)
-            sure = (letters > 0) & ((over.max(axis=0, initial=-np.inf) > 0) | (n < SHORT)) & (len(table) > 0)
-            values = [v if s else None for v, s in zip((TEMPER * over).T.tolist(), sure)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.list_(pa.float64()))], names=[*batch.schema.names, "_ll"])
+            step = max(1, SCORES // max(1, len(table)))
+            for part in (batch.slice(a, step) for a in range(0, len(batch), step)):
+                yield pa.RecordBatch.from_arrays([*part.columns, likelihoods(part.column(text_col))], names=[*batch.schema.names, "_ll"])
 
     return docs.mapInArrow(run, schema)
 

@@ -78,6 +78,20 @@ def test_held_out_accuracy(spark):
     assert sum(r.language == r.lang for r in held) >= 0.9 * len(held) and all(r.language_known for r in held)
 
 
+def test_every_label_with_enough_rows_is_learnt(spark):
+    """70 languages, the last six with the fewest rows: their documents keep their own language."""
+    rng = random.Random(5)
+    own = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(70)]
+    spell = lambda k: " ".join("".join(rng.choices(own[k], k=rng.randint(2, 7))) for _ in range(60))
+    rows = [(spell(k), f"l{k:02}", f"https://h.l{k:02}/") for k in range(70) for _ in range(8 if k < 64 else 6)] + [(spell(0), "rare", None)] * 4
+    df = spark.createDataFrame(rows, "text string, lang string, url string")
+    model = language.fit(df)
+    assert model["names"] == [f"l{k:02}" for k in range(70)]
+    for out in (language.identify(df, model, F.col("text"), F.col("lang"), F.col("url")), language.identify(df, model, F.col("text"))):
+        got = out.filter("lang >= 'l64' AND lang < 'm'").collect()
+        assert len(got) == 36 and all(r.language_known and r.language == r.lang for r in got)
+
+
 def test_evidence_decides_where_text_does_not(spark):
     rows, df = labelled(spark)
     model = language.fit(df)
