@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesheet.llm import bpe, chat, language, latent, lines, minhash, pieces, quality, substrings, tokenstore
+from cuesheet.llm import bpe, chat, language, latent, lines, merkle, minhash, pieces, quality, substrings, tokenstore
 from cuesheet.llm.scratch import Scratch
 from cuesheet.queries.registry import Registry
 
@@ -14,6 +14,7 @@ query = Registry()
 BPE_FILE = "byte_bpe_50k.json"
 PIECE_FILE = "piece_bpe_32k.model"
 TOKEN_LIMIT = 1024
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,3 +149,56 @@ LEFT JOIN (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.pos) AS kept FROM wo
 def substring_dedup(spark, sf_dir):
     out = substrings.repeated_windows(documents(spark, sf_dir))
     return out.select(F.col("doc").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def tampered(docs: DataFrame) -> Column:
+    """The text, A-Z in lower case where 3 divides the CRC of the id."""
+    hit = F.crc32(docs["doc_id"].cast("string").cast("binary")) % 3 == 0
+    return F.when(hit, F.translate(docs["text"], UPPER, UPPER.lower())).otherwise(docs["text"])
+
+
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR) END"
+_CRC32 = """xor(list_reduce(list_transform({}, lambda c: CAST(c AS BIGINT)), lambda crc, c:
+  list_reduce([xor(crc, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, _: xor(x >> 1, (x & 1) * 3988292384)), 4294967295), 4294967295)"""
+_DIGITS = "list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c))"
+_LEAF = " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+
+
+@query("op11_merkle_manifest", f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, lang, coalesce('=' || lang, '') AS grp, sha256({_LEAF} || {_FIELD.format('text')}) AS leaf,
+         sha256({_LEAF} || {_FIELD.format('t')}) AS current
+  FROM (SELECT *, CASE WHEN {_CRC32.format(_DIGITS)} % 3 = 0 THEN translate(text, '{UPPER}', '{UPPER.lower()}') ELSE text END AS t FROM documents)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY grp) AS n FROM leaves),
+nodes AS (
+  SELECT grp, 0 AS level, pos, leaf AS digest, n FROM placed
+  UNION ALL
+  SELECT grp, level + 1, pos // 8, sha256(string_agg(digest, '' ORDER BY pos)), (any_value(n) + 7) // 8 FROM nodes WHERE n > 1 GROUP BY grp, level + 1, pos // 8),
+subroots AS (SELECT grp, level AS height, digest AS subroot, row_number() OVER (ORDER BY grp) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS level, pos, subroot AS digest, n FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 8, sha256(string_agg(digest, '' ORDER BY pos)), (any_value(n) + 7) // 8 FROM tops WHERE n > 1 GROUP BY level + 1, pos // 8),
+every AS (SELECT grp, level, pos, digest, n FROM nodes UNION ALL SELECT '#', level, pos, digest, n FROM tops),
+runs AS (SELECT grp, level, pos // 8 AS run, list(digest ORDER BY pos) AS slots FROM every WHERE n > 1 GROUP BY grp, level, pos // 8),
+steps AS (
+  SELECT p.doc_id, p.grp, r.level AS step, r.slots, (p.pos // CAST(pow(8, r.level) AS BIGINT)) % 8 AS slot FROM placed p JOIN runs r
+    ON r.grp = p.grp AND r.run = p.pos // CAST(pow(8, r.level + 1) AS BIGINT)
+  UNION ALL
+  SELECT p.doc_id, p.grp, 100 + r.level, r.slots, (s.pos // CAST(pow(8, r.level) AS BIGINT)) % 8 FROM placed p JOIN subroots s ON s.grp = p.grp JOIN runs r
+    ON r.grp = '#' AND r.run = s.pos // CAST(pow(8, r.level + 1) AS BIGINT)),
+sides AS (SELECT doc_id, grp, row_number() OVER (PARTITION BY doc_id, grp ORDER BY step) AS k, array_to_string(slots[1:slot], '') AS l, array_to_string(slots[slot + 2:], '') AS r FROM steps),
+folded AS (
+  SELECT doc_id, grp, 0 AS k, current AS digest FROM placed
+  UNION ALL
+  SELECT f.doc_id, f.grp, f.k + 1, sha256(s.l || f.digest || s.r) FROM folded f JOIN sides s ON s.doc_id = f.doc_id AND s.grp = f.grp AND s.k = f.k + 1),
+proofs AS (SELECT doc_id, grp, string_agg(l || r, '' ORDER BY k) AS proof FROM sides GROUP BY doc_id, grp)
+SELECT p.doc_id, p.leaf, s.subroot, t.digest AS root, sha256(coalesce(q.proof, '')) AS proof_sha256, f.digest AS folded_root, f.digest = t.digest AS verified
+FROM placed p JOIN subroots s ON s.grp = p.grp JOIN tops t ON t.n = 1 LEFT JOIN proofs q ON q.doc_id = p.doc_id AND q.grp = p.grp
+JOIN (SELECT doc_id, grp, arg_max(digest, k) AS digest FROM folded GROUP BY doc_id, grp) f ON f.doc_id = p.doc_id AND f.grp = p.grp""")
+def merkle_manifest(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    fields = ("doc_id", "source", "lang", "n_chars")
+    current = merkle.digest(*[merkle.field(docs[f]) for f in fields], merkle.field(tampered(docs)))
+    out = merkle.manifest(docs, fields=(*fields, "text"), current_leaf=current)
+    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")

@@ -16,16 +16,16 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 MARKS = SPACE.copy()  # blanks and ASCII punctuation
 MARKS[[*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
 _PIECE = 1 << 20
-_LOW = 12  # bits of a position answered by the first table of powers
+_PLACES = 64  # places of a word with drawn values of their own; later ones are derived by mixing
 
 _draw = np.random.default_rng(20240229)
-_BYTE = _draw.integers(0, 2**64, 256, dtype=np.uint64)
-_BYTE[SPACE] = 0
+_BYTE = _draw.integers(0, 2**64, (_PLACES, 256), dtype=np.uint64)
+_FAR = _draw.integers(0, 2**64, 1, dtype=np.uint64)[0] | np.uint64(1)
+_BYTE[:, SPACE] = 0
 _FOLDED = _BYTE.copy()
-_FOLDED[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
+_FOLDED[:, ord("A") : ord("Z") + 1] = _BYTE[:, ord("a") : ord("z") + 1]
 _BARE = _FOLDED.copy()
-_BARE[MARKS] = 0
-_BASE = int(_draw.integers(0, 2**62, dtype=np.uint64)) * 8 + 3
+_BARE[:, MARKS] = 0
 WORD_BASE = int(_draw.integers(0, 2**62, dtype=np.uint64)) * 8 + 5
 
 
@@ -36,9 +36,6 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-_POWERS = powers(_BASE, 1 << _LOW)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread every input bit over the 64 output bits; one-to-one."""
     x = x ^ (x >> np.uint64(33))
@@ -87,7 +84,8 @@ def split(data: np.ndarray, bounds: np.ndarray, fold: bool = False, bare: bool =
     """(start, end, hash) of every word, and the number of words before each text.
 
     ``fold`` lower-cases A-Z in the hashes; ``bare`` does so and parts words at ASCII punctuation too.  Equal
-    words have equal hashes.
+    words have equal hashes; a hash is the sum of one drawn value per byte and place, so no order of letters in words
+    of any length makes two others' sums meet by rule.
     """
     table, gap = (_BARE, MARKS) if bare else (_FOLDED if fold else _BYTE, SPACE)
     starts, ends, hashes = [], [], []
@@ -109,13 +107,10 @@ def split(data: np.ndarray, bounds: np.ndarray, fold: bool = False, bare: bool =
             continue
         reach = np.diff(begin, append=hi - lo)
         place = np.arange(begin[0], hi - lo) - np.repeat(begin, reach)
-        value = table[part[begin[0] :]]
-        if (longest := int(reach.max())) <= 1 << _LOW:
-            value *= _POWERS[place]
-        else:
-            high = powers(pow(_BASE, 1 << _LOW, 2**64), (longest >> _LOW) + 1)
-            value *= _POWERS[place & ((1 << _LOW) - 1)]
-            value *= high[place >> _LOW]
+        value = table.ravel()[(place & (_PLACES - 1)) << 8 | part[begin[0] :]]
+        if int(reach.max()) > _PLACES:
+            far = np.flatnonzero((place >= _PLACES) & solid[begin[0] :])
+            value[far] = mix(value[far] + (place[far] >> 6).astype(np.uint64) * _FAR)
         hashes.append(mix(np.add.reduceat(value, begin - begin[0])))
         starts.append(begin + lo)
         ends.append(np.flatnonzero(stops) + 1 + lo)
@@ -136,8 +131,8 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 def sequence(hashes: np.ndarray) -> np.uint64:
-    """A hash of all words in order; the same value as ``grams`` of that length gives."""
-    return mix(np.array([(hashes * powers(WORD_BASE, len(hashes))[::-1]).sum(dtype=np.uint64)]))[0]
+    """A hash of all words in order and of their number."""
+    return mix(np.array([mix(hashes + np.arange(1, len(hashes) + 1, dtype=np.uint64) * np.uint64(WORD_BASE)).sum(dtype=np.uint64)]))[0]
 
 
 def window_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
