@@ -233,10 +233,11 @@ def manifest(docs: DataFrame, id_col: str = "doc_id", group_col: str = "lang", f
     top_levels, root = _tree(over, scratch, "top")
     start = root.select("group", F.lit(n_groups).cast("bigint").alias("n"), F.array().cast(PATH).alias("path"))
     above = _paths(top_levels, start, scratch, "top").select(F.col("node.of").alias("group"), F.col("node.leaves").alias("n"), F.col("node.digest").alias("subroot"), "path")
-    above = scratch.keep(above.withColumn("one", F.lit("")).join(root.withColumnRenamed("group", "one"), "one").drop("one"), "above")
-    out = _paths(levels, above.select("group", "n", "path"), scratch, "group").join(above.select("group", "subroot", "root"), "group")
+    above = scratch.keep(above, "above")
+    top = root.first()  # one digest, or none for an empty table
+    out = _paths(levels, above.select("group", "n", "path"), scratch, "group").join(above.select("group", "subroot"), "group")
     out = out.select(
-        F.col("node.id").alias(id_col), F.col("node.digest").alias("leaf"), "subroot", "root",
+        F.col("node.id").alias(id_col), F.col("node.digest").alias("leaf"), "subroot", F.lit(top["root"] if top else None).cast("string").alias("root"),
         F.sha2(F.array_join(F.transform("path", lambda s: F.concat(s["left"], s["right"])), ""), 256).alias("proof_sha256"),
         "path", fold(F.col("node.current"), F.col("path")).alias("folded_root"),
     )
