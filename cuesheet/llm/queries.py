@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesheet.llm import bpe, chat, language, latent, lines, merkle, minhash, pieces, quality, substrings, tokenstore
+from cuesheet.llm import bpe, chat, fingerprints, language, latent, lines, merkle, minhash, pieces, quality, spelling, substrings, tokenstore
 from cuesheet.llm.scratch import Scratch
 from cuesheet.queries.registry import Registry
 
@@ -202,3 +202,35 @@ def merkle_manifest(spark, sf_dir):
     current = merkle.digest(*[merkle.field(docs[f]) for f in fields], merkle.field(tampered(docs)))
     out = merkle.manifest(docs, fields=(*fields, "text"), current_leaf=current)
     return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+_BYTES = "flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [195, unicode(c) - 64] END))"
+
+
+@query("op13_spelling_variants", f"""
+WITH RECURSIVE found AS (
+  SELECT doc_id, translate(run, '{UPPER}', '{UPPER.lower()}') AS run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]{{6,}}')) AS run FROM documents) GROUP BY 1, 2),
+hashed AS (SELECT run, n, {_CRC32.format(_BYTES)} AS h FROM found),
+vocab AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT n, CASE WHEN h % 199 = 0 THEN left(run, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+dels AS (SELECT word, length(word) AS len, k, left(word, k - 1) || substr(word, k + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS k FROM vocab)),
+shorter AS (SELECT DISTINCT d.word AS a, v.word AS b FROM dels d JOIN vocab v ON v.word = d.rest),
+near AS (
+  SELECT x.word AS a, y.word AS b FROM dels x JOIN dels y ON y.k = x.k AND y.rest = x.rest AND y.len = x.len AND y.word <> x.word
+  UNION ALL SELECT a, b FROM shorter UNION ALL SELECT b, a FROM shorter),
+best AS (SELECT a, count(*) AS n_near, first(b ORDER BY n DESC, b) AS form, max(n) AS form_n FROM near JOIN vocab ON word = b GROUP BY a),
+forms AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * n THEN form END AS form, CASE WHEN form_n >= 5 * n THEN form_n END AS form_n
+          FROM vocab LEFT JOIN best ON a = word),
+follow AS (SELECT word, word AS at FROM forms UNION ALL SELECT f.word, g.form FROM follow f JOIN forms g ON g.word = f.at WHERE g.form IS NOT NULL),
+roots AS (SELECT f.word, f.at AS root FROM follow f JOIN forms g ON g.word = f.at WHERE g.form IS NULL)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM forms f JOIN roots r ON r.word = f.word""")
+def spelling_variants(spark, sf_dir):
+    return spelling.variants(spelling.word_counts(documents(spark, sf_dir)))
+
+
+@query("op12_document_fingerprints")
+def document_fingerprints(spark, sf_dir):
+    return fingerprints.edited_fingerprints(documents(spark, sf_dir))
