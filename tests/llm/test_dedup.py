@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cuesheet.llm import lines, minhash, substrings
+from cuesheet.llm import lines, minhash, quality, substrings
 from cuesheet.llm.fmindex import FMIndex
 from tests.llm.helpers import LOWER, clashing, frame, odd_documents, words
 
@@ -126,15 +126,78 @@ def near_group(n, seed=3):
     return rows
 
 
-@pytest.mark.parametrize("k, large", [(4, 64), (5, 2)])
-def test_near_duplicates(spark, monkeypatch, k, large):
-    """Also with buckets split by second bands."""
+@pytest.mark.parametrize("k, large, docs, shingles", [(4, 64, 512, 1 << 18), (5, 2, 512, 1 << 18), (4, 2, 6, 1 << 18), (4, 2, 512, 400)])
+def test_near_duplicates(spark, monkeypatch, k, large, docs, shingles):
+    """Also with buckets compared in tiles, whole or in many parts."""
     monkeypatch.setattr(minhash, "LARGE", large)
+    monkeypatch.setattr(minhash, "TILE_DOCS", docs)
+    monkeypatch.setattr(minhash, "TILE_SHINGLES", shingles)
     rows = odd_documents() + near_group(60)
     out = minhash.near_duplicates(clashing(frame(spark, rows)), k=k).collect()
     assert {tuple(r) for r in out} == plain_components(rows, k, 80)
 
 
+def test_tiles_alone_link_a_group(spark):
+    """All of a bucket by tiles, with one label that is large enough to stand apart."""
+    rows = near_group(90)
+    df = frame(spark, rows).select(F.col("doc_id").alias("doc"), "text")
+    bucket = df.select(F.lit(1).cast("bigint").alias("key"), "doc", F.lit(57).cast("bigint").alias("n"), F.when(F.col("doc") < 150, 100).otherwise(F.col("doc")).cast("bigint").alias("label"))
+    scratch = minhash.Scratch(spark, "test")
+    kept, minhash.TILE_DOCS = minhash.TILE_DOCS, 16
+    try:
+        links = {(r.a, r.b) for r in minhash._tiled(scratch.keep(bucket, "bucket"), df, scratch, 4, 80).collect()}
+    finally:
+        minhash.TILE_DOCS = kept
+    sets = {i: {tuple(t.split()[a : a + 4]) for a in range(57)} for i, t in rows}
+    near = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert {(min(x), max(x)) for x in links} <= near
+
+    def labels(edges):
+        label = {i: 100 if i < 150 else i for i in sets}
+        for _ in sets:
+            for a, b in edges:
+                low, high = sorted((label[a], label[b]))
+                label = {i: low if x == high else x for i, x in label.items()}
+        return label
+
+    assert labels(links) == labels(near)
+
+
+def test_common_counts():
+    rng = np.random.default_rng(2)
+    for n, m, values in ((1, 1, 5), (3, 7, 20), (200, 90, 3000), (40, 40, 60)):
+        a, b = ([np.unique(rng.integers(0, values, rng.integers(1, values))) for _ in range(k)] for k in (n, m))
+        assert minhash.common_counts(a, b).tolist() == [[len(np.intersect1d(x, y)) for y in b] for x in a]
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_hashed_and_string_ids(spark, kind):
+    rows = [(2**62 + i, t) for i, t in near_group(12)]
+    df = frame(spark, rows).withColumn("doc_id", F.col("doc_id").cast(kind))
+    want = {(str(d), str(c)) for d, _, c, _ in plain_components(rows, 5, 80)}
+    assert {(str(r.doc), str(r.component)) for r in minhash.near_duplicates(df).collect()} == want
+
+
+def thue_morse(n):
+    t = [False]
+    while len(t) < n:
+        t += [not x for x in t]
+    return "".join("ab"[x] for x in t), "".join("ba"[x] for x in t)
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_whose_sums_of_powers_meet(spark, n):
+    """Words of opposite letters in the order that makes polynomial hashes modulo a power of two equal."""
+    x, y = thue_morse(n)
+    fill = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, f"{x} {fill}"), (2, f"{y} {fill}"), (3, x), (4, y), (5, f"{x} a b {y} a b {x} c d"), (6, " ".join([x, *"abcdefgh"])), (7, " ".join([y, *"abcdefgh"]))]
+    got = {r.doc: r.n_removed for r in substrings.repeated_windows(frame(spark, rows)).collect()}
+    assert {i: got[i] for i in got} == {i: n for i, _, n, _ in plain_windows(rows, 50)}
+    assert {tuple(r) for r in minhash.near_duplicates(frame(spark, rows)).collect()} == plain_components(rows, 5, 80)
+    (r,) = quality.repetition_rules(frame(spark, [(1, f"{x} b c {y} b c")])).select("n_repeat_words").collect()
+    assert r.n_repeat_words == 0
+
+
 def test_signature_bands_meet_at_the_similarity():
     rng = np.random.default_rng(1)
     missed = 0
