@@ -173,7 +173,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 data = [pack.compress((t or "").encode()) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("hash"), pa.array(data, pa.binary())], names=["id", "hash", "data"])
 
-    rows = scratch.keep(rows.mapInArrow(compressed, "id bigint, hash bigint, data binary"), "texts")
+    rows = rows.mapInArrow(compressed, "id bigint, hash bigint, data binary")  # twice, as ranges are drawn from a pass of their own
     rows = rows.withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)))
     order = [F.col("id").asc_nulls_first(), F.col("hash"), F.col("salt")]
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
