@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +28,7 @@ SURE, LIKELY = 0.8, 0.5  # share of common words: enough by itself, or with the
 ANSWER_WORDS = 5
 SHORT_ITEM, LEAST_ITEM = 8, 4  # benchmark passages under 8 words must be there as they are; under 4, they match nothing
 CHUNKS, SALTS = 64, 64
+ENTRIES, ROWS = 1 << 18, 2048  # benchmark terms, and passages of a product, that a task takes at once
 DENSE, WINDOWS = 512, 2048  # terms scored by a dense product, and passages scored at once
 
 
@@ -111,6 +113,16 @@ def _found(docs: DataFrame, block: Block) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def _slices(batch: pa.RecordBatch):
+    """Runs of rows with about ``ENTRIES`` benchmark terms together, or one longer row."""
+    sizes = np.cumsum(pc.binary_length(batch.column("terms")).to_numpy(zero_copy_only=False), dtype=np.int64) // 4
+    a = 0
+    while a < len(batch):
+        b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + ENTRIES, "right")))
+        yield batch.slice(a, b - a)
+        a = b
+
+
 class Passages:
     """The passages of a batch as a sparse matrix: sorted entries (row, term, count)."""
 
@@ -154,10 +166,10 @@ class Passages:
 
     def turned(self, value: np.ndarray, test: "SparseSigns", n_terms: int) -> np.ndarray:
         """The transpose times the matrix times ``test``: what the rows add to the sketch."""
-        out = np.zeros((n_terms, test.width))
+        out = np.zeros((n_terms, test.width), np.float32)
         bounds = np.append(self.starts, len(value))
-        for a in range(0, len(self.rows), 16384):
-            b = min(a + 16384, len(self.rows))
+        for a in range(0, len(self.rows), ROWS):
+            b = min(a + ROWS, len(self.rows))
             lo, hi = bounds[a], bounds[b]
             col, val, row = self.col[lo:hi], value[lo:hi], np.repeat(np.arange(b - a), np.diff(bounds[a : b + 1]))
             cell = row[:, None] * test.width + test.columns[col]
@@ -207,7 +219,8 @@ def _add_up(found: DataFrame, n_terms: int, use: np.ndarray, shape: tuple[int, i
     def sums(batches):
         total, salt = np.zeros(shape), 0
         for batch in batches:
-            total += part(Passages(batch, n_terms, use))
+            for some in _slices(batch):
+                total += part(Passages(some, n_terms, use))
         from pyspark import TaskContext
 
         salt = TaskContext.get().partitionId() % SALTS
@@ -320,9 +333,10 @@ def _search(found: DataFrame, block: Block) -> DataFrame:
     def frequencies(batches):
         df, rows = np.zeros(n, np.int64), 0
         for batch in batches:
-            p = Passages(batch, n)
-            df += np.bincount(p.col, minlength=n)
-            rows += int(p.base[-1])
+            for some in _slices(batch):
+                p = Passages(some, n)
+                df += np.bincount(p.col, minlength=n)
+                rows += int(p.base[-1])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, n)), pa.array(np.concatenate(([rows], df)))], names=["term", "n"])
 
     counted = found.mapInArrow(frequencies, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
@@ -356,7 +370,7 @@ def _search(found: DataFrame, block: Block) -> DataFrame:
     schema = T.StructType([*key_fields, *(T.StructField(a, t) for a, t in added)])
 
     def run(batches):
-        for batch in batches:
+        for batch in (some for whole in batches for some in _slices(whole)):
             p = Passages(batch, n, use)
             value = p.weigh(idf)
             for every_passage, every_item in cover.candidates(p):
