@@ -1,9 +1,11 @@
 """Interval joins and sweeps within one media.
 
-Spark has no range join, so points meet intervals through equal (media, time bucket)
-keys with the exact predicate as residual.  An interval is copied to every bucket it
-touches; a point has one bucket, so each match appears once.  A media, however large,
-spreads over its buckets.
+Spark has no range join, so intervals meet points, and one another, through equal keys with
+the exact predicate as residual.  The keys are cells of a grid with one level per power of
+two: an interval lies at the level whose cells are just as wide as it is long, where it
+touches at most two of them, whether it lasts a second or ten years.  A probe asks its own cell at
+each level that is in use.  Nearly all segments fit the cells of level 0; every further level costs
+the probes a row each, and the intervals nothing.
 """
 
 from __future__ import annotations
@@ -15,49 +17,67 @@ from cuesheet.functions import text as tx
 from cuesheet.operators.segments import number_id, prepare_for_clips
 from cuesheet.ordering import POS, Ordered, arrange
 
-BUCKET_MS = 60_000
+BASE_BITS = 15  # cells of level 0 are 2**15 ms wide
 
 
-def bucket(ms: Column, width: int = BUCKET_MS) -> Column:
+def bucket(ms: Column, width: int) -> Column:
     return F.floor(ms / F.lit(width)).cast("bigint")
 
 
-def buckets(lo: Column, hi: Column, width: int = BUCKET_MS) -> Column:
-    """All buckets touched by the closed range lo..hi."""
-    return F.explode(F.sequence(bucket(lo, width), bucket(F.greatest(lo, hi), width)))
+def grid_level(lo: Column, hi: Column, base_bits: int = BASE_BITS) -> Column:
+    """The lowest level whose cells are at least as wide as the interval ``lo <= t < hi``."""
+    return F.greatest(F.length(F.bin(hi - lo - 1)) - base_bits, F.lit(0))
 
 
-def points_in_intervals(
-    points: DataFrame, intervals: DataFrame, at: str, lo: str, hi: str, *, how: str = "inner", width: int = BUCKET_MS
-) -> DataFrame:
-    """Pairs with ``lo <= at < hi`` in the same media.  Other column names must differ."""
-    p = points.withColumn("_b", bucket(F.col(at), width))
-    i = intervals.filter(F.col(hi) > F.col(lo)).withColumn("_b", buckets(F.col(lo), F.col(hi) - 1, width))
-    i = i.withColumnRenamed("media_id", "_m")
-    match = (F.col("media_id") == F.col("_m")) & (p["_b"] == i["_b"]) & (F.col(lo) <= F.col(at)) & (F.col(at) < F.col(hi))
-    return p.join(i, match, how).drop("_b", "_m")
+def cell(at: Column, level: Column, base_bits: int = BASE_BITS) -> Column:
+    return F.call_function("shiftright", at.cast("bigint"), level + base_bits)
 
 
-def overlapping(
-    left: DataFrame, right: DataFrame, lo: tuple[str, str], hi: tuple[str, str], *, width: int = BUCKET_MS
-) -> DataFrame:
+def cells(lo: Column, hi: Column, level: Column, base_bits: int = BASE_BITS) -> Column:
+    """The one or two cells that an interval touches at its own level or a higher one."""
+    return F.array_distinct(F.array(cell(lo, level, base_bits), cell(hi - 1, level, base_bits)))
+
+
+def points_in_intervals(points: DataFrame, intervals: DataFrame, at: str, lo: str, hi: str, *, base_bits: int = BASE_BITS) -> DataFrame:
+    """Pairs with ``lo <= at < hi`` in the same media, each once.  Other column names must differ."""
+    i = intervals.filter(F.col(hi) > F.col(lo)).withColumn("_l", grid_level(F.col(lo), F.col(hi), base_bits))
+    in_use = i.agg(F.collect_set("_l")).scalar()
+    i = i.withColumn("_c", F.explode(cells(F.col(lo), F.col(hi), F.col("_l"), base_bits))).withColumnRenamed("media_id", "_m")
+    p = points.withColumn("_level", F.explode(in_use)).withColumn("_cell", cell(F.col(at), F.col("_level"), base_bits))
+    same = (F.col("media_id") == F.col("_m")) & (F.col("_level") == F.col("_l")) & (F.col("_cell") == F.col("_c"))
+    return p.join(i, same & (F.col(lo) <= F.col(at)) & (F.col(at) < F.col(hi))).drop("_m", "_l", "_c", "_level", "_cell")
+
+
+def overlapping(left: DataFrame, right: DataFrame, lo: tuple[str, str], hi: tuple[str, str], *, base_bits: int = BASE_BITS) -> DataFrame:
     """Pairs that share positive time in the same media; each pair once.
 
-    Both sides are copied to their buckets; a pair is kept in the bucket where its shared
-    time begins.
+    A pair meets at the higher of its two levels, in the cell where the shared time begins.  Each
+    side lies at its own level and climbs to the higher levels of the other; rows that both climb
+    never meet, as keys say which side is at home.
     """
-    a = left.filter(F.col(hi[0]) > F.col(lo[0])).withColumn("_b", buckets(F.col(lo[0]), F.col(hi[0]) - 1, width))
-    b = right.filter(F.col(hi[1]) > F.col(lo[1])).withColumn("_b2", buckets(F.col(lo[1]), F.col(hi[1]) - 1, width))
-    b = b.withColumnRenamed("media_id", "_m")
-    begins = bucket(F.greatest(F.col(lo[0]), F.col(lo[1])), width)
+    level = lambda side: grid_level(F.col(lo[side]), F.col(hi[side]), base_bits)
+    a = left.filter(F.col(hi[0]) > F.col(lo[0])).withColumn("_own", level(0))
+    b = right.filter(F.col(hi[1]) > F.col(lo[1])).withColumn("_own", level(1))
+    a_levels, b_levels = (side.agg(F.collect_set("_own")).scalar() for side in (a, b))
+    at_home = lambda home, k: F.struct(F.lit(home).alias("home"), k.alias("k"))
+    climbs = F.transform(F.filter("_levels", lambda k: k > F.col("_own")), lambda k: at_home("right", k))
+    a = a.withColumn("_levels", b_levels).withColumn("_at", F.explode(F.concat(F.array(at_home("left", F.col("_own"))), climbs)))
+    visits = F.transform(F.filter("_levels", lambda k: k >= F.col("_own")), lambda k: at_home("left", k))
+    own = F.when(F.array_min("_levels") < F.col("_own"), F.array(at_home("right", F.col("_own")))).otherwise(F.array().cast("array<struct<home:string,k:int>>"))
+    b = b.withColumn("_levels", a_levels).withColumn("_at", F.explode(F.concat(visits, own)))
+    a = a.withColumn("_c", F.explode(cells(F.col(lo[0]), F.col(hi[0]), F.col("_at.k"), base_bits))).drop("_levels", "_own")
+    b = b.withColumn("_c2", F.explode(cells(F.col(lo[1]), F.col(hi[1]), F.col("_at.k"), base_bits))).drop("_levels", "_own")
+    b = b.withColumnRenamed("media_id", "_m").withColumnRenamed("_at", "_at2")
     match = (
         (F.col("media_id") == F.col("_m"))
-        & (F.col("_b") == F.col("_b2"))
+        & (F.col("_at.home") == F.col("_at2.home"))
+        & (F.col("_at.k") == F.col("_at2.k"))
+        & (F.col("_c") == F.col("_c2"))
         & (F.col(lo[0]) < F.col(hi[1]))
         & (F.col(lo[1]) < F.col(hi[0]))
-        & (F.col("_b") == begins)
+        & (F.col("_c") == cell(F.greatest(F.col(lo[0]), F.col(lo[1])), F.col("_at.k"), base_bits))
     )
-    return a.join(b, match).drop("_b", "_b2", "_m")
+    return a.join(b, match).drop("_at", "_at2", "_c", "_c2", "_m")
 
 
 def flatten_overlaps(

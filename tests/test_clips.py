@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from cuesheet.operators import clips as cl
@@ -104,3 +105,64 @@ def test_flattening_case_and_cover(spark):
         if m == 0:
             want.update(range(s, e, 100))
     assert shown == want
+
+
+def interval_rows(n, seed):
+    """Random intervals of very different lengths around random points, in a few media."""
+    rng = random.Random(seed)
+    rows = []
+    for k in range(n):
+        lo = rng.choice([0, 2**15, 2**20]) + rng.randrange(-3, 200_000)
+        rows.append((rng.randrange(3), k, lo, lo + rng.choice([-5, 0, 1, 700, 2**15 - 1, 2**15, 2**15 + 1, 100_000, 2**21, 10**9])))
+    return rows
+
+
+@pytest.mark.parametrize("base_bits", [iv.BASE_BITS, 4])
+def test_pairs_of_all_lengths(spark, base_bits):
+    left, right = interval_rows(60, 1), interval_rows(50, 2)
+    a = spark.createDataFrame(left, "media_id bigint, a int, ls bigint, le bigint")
+    b = spark.createDataFrame(right, "media_id bigint, b int, rs bigint, re bigint")
+    got = [tuple(r) for r in iv.overlapping(a, b, ("ls", "rs"), ("le", "re"), base_bits=base_bits).select("a", "b").collect()]
+    want = [(i, j) for m, i, s, e in left for n, j, t, f in right if m == n and e > s and f > t and s < f and t < e]
+    assert sorted(got) == sorted(want) and len(want) > 100
+    points = spark.createDataFrame([(m, k, s) for m, k, s, _ in left], "media_id bigint, a int, at bigint")
+    got = [tuple(r) for r in iv.points_in_intervals(points, b, "at", "rs", "re", base_bits=base_bits).select("a", "b").collect()]
+    assert sorted(got) == sorted((i, j) for m, i, s, _ in left for n, j, t, f in right if m == n and t <= s < f)
+    assert not iv.points_in_intervals(points, b.filter("false"), "at", "rs", "re").count() and not iv.overlapping(a, b.filter("false"), ("ls", "rs"), ("le", "re")).count()
+
+
+TEN_YEARS = 315_360_000_000
+
+
+def test_one_segment_of_ten_years(spark):
+    """No operator makes more rows of it than its few cells; every other row meets it once."""
+    from cuesheet.operators import audio, speakers
+    from cuesheet.ordering import arrange
+
+    rows = [(1, 1, 0, TEN_YEARS, "S01", "always"), *[(1, k, 1_000_000 * k, 1_000_000 * k + 2_000, "S02", f"t{k}") for k in range(2, 40)]]
+    df = spark.createDataFrame(rows, SCHEMA)
+    o = arrange(df)
+    pieces = df.filter("end_ms > start_ms").withColumn("c", iv.cells(F.col("start_ms"), F.col("end_ms"), iv.grid_level(F.col("start_ms"), F.col("end_ms"))))
+    assert pieces.select(F.max(F.size("c"))).first()[0] <= 2
+    points = df.select("media_id", F.col("idx").alias("point_id"), (F.col("start_ms") + 1).alias("at_ms"))
+    assert {r.seg_idx for r in iv.visible_at(points, df).collect()} == {1}
+    assert {r.shown for r in iv.text_at(points, df).collect()} == {"always"} | {f"always\nt{k}" for k in range(2, 40)}
+    events = iv.flatten_overlaps(o).collect()
+    assert len(events) == 77 and sum(e.end_ms - e.start_ms for e in events) == TEN_YEARS
+    clips = spark.createDataFrame([(1, 1, 0, TEN_YEARS), (1, 2, 2_000_500, 2_001_000)], "media_id bigint, clip_id int, clip_start_ms bigint, clip_end_ms bigint")
+    assert iv.rebase_to_clips(df, clips).count() == 39 + 2
+    turns = spark.createDataFrame([(1, 1, 0, TEN_YEARS, "A"), (1, 2, 5_000_000, 5_001_500, "B")], "media_id bigint, turn_no bigint, turn_start_ms bigint, turn_end_ms bigint, source string")
+    assert {r.source_speaker for r in speakers.assign_turns(o, turns).df.collect()} == {"A"}
+    pcm = spark.createDataFrame([(1, 10_000 * k, [float(k)] * 10_000) for k in range(20)], "media_id bigint, first_sample bigint, samples array<double>")
+    want = spark.createDataFrame([(1, 1, 0, TEN_YEARS), (1, 2, 3_000, 4_000)], "media_id bigint, idx bigint, start_ms bigint, end_ms bigint")
+    assert {(r.idx, r.n) for r in audio.slice_segments(want, pcm, 1000).select("idx", F.size("samples").alias("n")).collect()} == {(1, 199_960), (2, 920)}
+
+
+def test_grid_rows_in_the_plan(spark):
+    """Of the rows that each side sends to the join, counted in the executed plan."""
+    a = spark.createDataFrame([(1, 1, 0, TEN_YEARS)] + [(1, k, k * 40_000, k * 40_000 + 2_000) for k in range(2, 202)], "media_id bigint, a bigint, ls bigint, le bigint")
+    points = a.select("media_id", F.col("a").alias("p"), F.col("ls").alias("at"))
+    found = iv.points_in_intervals(points, a.drop("p"), "at", "ls", "le")
+    assert found.count() == 401
+    i = a.withColumn("_l", iv.grid_level(F.col("ls"), F.col("le"))).select(F.explode(iv.cells(F.col("ls"), F.col("le"), F.col("_l"))))
+    assert i.count() <= 2 * 201
