@@ -126,7 +126,9 @@ def _near(chunks: DataFrame, classes: int) -> DataFrame:
     ways = F.filter(F.transform(steps, lambda d: F.zip_with("key", d, lambda x, y: x + y)), lambda k: F.forall(k, lambda x: x >= 0))
     left = chunks.select("key", "part", "words", "counts", F.explode(ways).alias("to"))
     right = chunks.select(F.col("key").alias("to"), F.col("part").alias("part2"), F.col("words").alias("words2"), F.col("counts").alias("counts2"))
-    pairs = left.join(right, "to").filter((F.col("key") != F.col("to")) | (F.col("part") <= F.col("part2")))
+    parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A product takes far longer than its bytes suggest, so partitions must not be merged by size.
+    pairs = left.repartition(parts, "to").join(right.repartition(parts, "to"), "to").filter((F.col("key") != F.col("to")) | (F.col("part") <= F.col("part2")))
     pairs = pairs.select("words", "counts", "words2", "counts2", ((F.col("key") == F.col("to")) & (F.col("part") == F.col("part2"))).alias("same"))
 
     def run(batches):
