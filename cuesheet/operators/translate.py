@@ -294,6 +294,46 @@ def translation_report(o: Ordered, skips: DataFrame, issues: DataFrame, *, skip_
     return out.fillna(0, ["skip_count", "issue_count"]).fillna("", ["skips", "issues"])
 
 
+def report_rows(skips: DataFrame, issues: DataFrame, *, skip_rows: int = 50, issue_rows: int = 50) -> DataFrame:
+    """The rows a report lists, in order: (media_id, part, n, idx, id, start_ms, end_ms, type, reason, source_text, text, expected, actual)."""
+    nothing = lambda t: F.lit(None).cast(t)
+    a = first_per_media(skips, "idx", skip_rows).select(
+        "media_id", F.lit("skips").alias("part"), "idx", "id", "start_ms", "end_ms", "type", "reason", nothing("string").alias("source_text"), "text",
+        nothing("bigint").alias("expected"), nothing("bigint").alias("actual"),
+    )
+    b = first_per_media(issues, "idx", issue_rows).select(
+        "media_id", F.lit("issues").alias("part"), "idx", "id", "start_ms", "end_ms", "type", nothing("string").alias("reason"), "source_text", "text", "expected", "actual"
+    )
+    w = Window.partitionBy("media_id", "part").orderBy(F.col("idx").asc_nulls_first())
+    return a.unionByName(b).withColumn("n", F.row_number().over(w).cast("bigint"))
+
+
+def report_json(o: Ordered, skips: DataFrame, issues: DataFrame, files: DataFrame, *, mode: str = "replace", skip_rows: int = 50, issue_rows: int = 50) -> DataFrame:
+    """(media_id, json): counts, the first skips and issues as objects, and the files written.
+
+    ``files``: media_id, name, path.  Null fields are left out of an object; row numbers count from 0, times are seconds.
+    """
+    rows = report_rows(skips, issues, skip_rows=skip_rows, issue_rows=issue_rows)
+    item = F.to_json(F.struct(
+        "type", (F.col("idx") - 1).alias("index"), "id", tm.seconds(F.col("start_ms")).alias("start"), tm.seconds(F.col("end_ms")).alias("end"), "reason",
+        "source_text", "text", "expected", "actual",
+    ))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", item.alias("j")))), lambda x: x["j"]), ",")  # at most skip_rows or issue_rows
+    rows = rows.groupBy("media_id", "part").agg(listed.alias("list"))
+    count = lambda df, name: df.groupBy("media_id").agg(F.count(F.lit(1)).alias(name))
+    part = lambda name: rows.filter(F.col("part") == name).select("media_id", F.col("list").alias(name))
+    paths = files.groupBy("media_id").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "path"))))).alias("files"))
+    out = count(o.df, "segments")
+    for more in (count(skips, "n_skips"), count(issues, "n_issues"), part("skips"), part("issues"), paths):
+        out = out.join(more, "media_id", "left")
+    out = out.fillna(0, ["n_skips", "n_issues"]).fillna("", ["skips", "issues"]).fillna("{}", ["files"])
+    text = F.concat(
+        F.lit(f'{{"mode":"{mode}","segments":'), "segments", F.lit(',"pretranslation_skip_count":'), "n_skips", F.lit(',"pretranslation_skips":['), "skips",
+        F.lit('],"validation_issue_count":'), "n_issues", F.lit(',"validation_issues":['), "issues", F.lit('],"files":'), "files", F.lit("}"),
+    )
+    return out.select("media_id", text.alias("json"))
+
+
 def progress(done: Column, total: Column) -> tuple[Column, Column]:
     """(percent with one decimal, job progress 0.95..0.99)."""
     ratio = F.when(total <= 0, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), done / total)))

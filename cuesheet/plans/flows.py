@@ -1,14 +1,17 @@
-"""Whole flows, composed of operators; each is one lazy plan."""
+"""Whole flows, composed of operators; steps that several consumers read are written once while the flow is built."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from cuesheet.operators import clips as cl
+from cuesheet.operators import repair as rq
 from cuesheet.operators import segments as sg
 from cuesheet.operators import speakers as sp
 from cuesheet.operators import translate as tn
-from cuesheet.ordering import Ordered, arrange
+from cuesheet.ordering import POS, Ordered, arrange
+from cuesheet.session import materialise
 from cuesheet.sinks import ass as ass_sink
 from cuesheet.sinks import subtitles as sb
 from cuesheet.sources.transcripts import parse_transcripts
@@ -30,11 +33,28 @@ def label_and_export(texts: DataFrame, turns: DataFrame, *, style: dict | None =
     return sb.export_json(o), sb.export_srt(o, show_speaker=bool((style or {}).get("show_speaker"))), ass_sink.export_ass(o, style)
 
 
-def translate_and_cut(o: Ordered, replies: DataFrame, *, mode: str = "bilingual", min_clip_ms: int = 60_000) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Apply replies (media_id, batch_no, content) and pick clips: (segments, report, clips)."""
-    parts, units = tn.plan(o)
-    said, _ = tn.read_replies(units, replies)
-    back = parts.df.select("media_id", "idx", "_pos").withColumnRenamed("_pos", "pos").join(said, ["media_id", "pos"])
-    done = tn.apply_translations(o, back, mode)
-    report = tn.translation_report(o, tn.collect_skips(o), tn.validate_translations(o, back))
-    return done, report, cl.clip_candidates(arrange(done, like=o), min_ms=min_clip_ms)
+def translate_run(o: Ordered, model: rq.Model | DataFrame, *, mode: str = "bilingual", batch_size: int = tn.BATCH, context: int = tn.CONTEXT) -> dict[str, DataFrame]:
+    """Skips out, units, batches, rounds of requests until every segment is answered or kept, checks, application, report.
+
+    ``model`` as for ``repair_rounds``.  Gives ``segments``, ``requests``, ``skips``, ``issues``, ``report`` and ``report_rows``.  As in a run with
+    a live model, every segment ends with a text: skipped and unanswered ones count as translated by their source.
+    """
+    o = o.of(materialise(o.df))
+    parts, units = tn.plan(o, batch_size=batch_size)
+    parts, units = parts.of(materialise(parts.df)), units.of(materialise(units.df))
+    requests, said = rq.repair_rounds(parts, units, model, context)
+    back = parts.df.select("media_id", "idx", F.col(POS).alias("pos")).join(said, ["media_id", "pos"])
+    source = o.df.select("media_id", (F.col(POS) + 1).alias("idx"), F.coalesce("text", F.lit("")).alias("text"))
+    every = source.join(back, ["media_id", "idx"], "left").select("media_id", "idx", F.coalesce("translation", "text").alias("translation"))
+    every = materialise(every)
+    skips, issues = materialise(tn.collect_skips(o)), materialise(tn.validate_translations(o, every))
+    return {
+        "segments": tn.apply_translations(o, every, mode), "requests": requests, "skips": skips, "issues": issues,
+        "report": tn.translation_report(o, skips, issues), "report_rows": tn.report_rows(skips, issues),
+    }
+
+
+def translate_and_cut(o: Ordered, model: rq.Model | DataFrame, *, mode: str = "bilingual", min_clip_ms: int = 60_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A translate run and clips of its result: (segments, report, clips)."""
+    run = translate_run(o, model, mode=mode)
+    return run["segments"], run["report"], cl.clip_candidates(arrange(run["segments"], like=o), min_ms=min_clip_ms)
