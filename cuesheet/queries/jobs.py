@@ -280,6 +280,16 @@ def stream_uncancelled(spark, sf_dir):
     return _drain(spark, st.without_cancelled(_stream(ev), ev.filter("status = 'failed' and event_id % 50 = 0")))
 
 
+@query("stream_until_cancelled", "WITH" + _EV + """,
+ cut AS (SELECT job_id, min(at_ms) AS cancel_ms FROM ev WHERE status = 'failed' GROUP BY job_id)
+SELECT ev.* FROM ev LEFT JOIN cut USING (job_id) WHERE cancel_ms IS NULL OR at_ms < cancel_ms""")
+def stream_until_cancelled(spark, sf_dir):
+    """Events and cancellations as two streams; the cancellations come with the first batch."""
+    ev = _events(spark, sf_dir)
+    cancels = ev.filter("status = 'failed'").select("job_id", F.col("at_ms").alias("cancel_ms"))
+    return _drain(spark, st.until_cancelled(_stream(ev), _stream(cancels, 1)))
+
+
 @query("seconds_of_segments", SEG + "SELECT media_id, idx, start_ms::DOUBLE / 1000.0 AS start, end_ms::DOUBLE / 1000.0 AS \"end\" FROM seg")
 def seconds_of_segments(spark, sf_dir):
     o = derived.conversation_segments(spark, sf_dir)

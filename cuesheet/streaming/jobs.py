@@ -27,20 +27,26 @@ def use_rocksdb(spark: SparkSession) -> None:
 class InOrder(StatefulProcessor):
     """Hands rows of a key on in ``seq`` order 1, 2, ...; later rows wait in a map for the gap to fill.
 
-    Rows that were already handed on (a replay from the source) are ignored.  When ``take`` sets ``ended``, all
-    state of the key is cleared with the batch; keys that never end lose theirs after ``idle_ms``
-    without rows, if that is set (it needs the processing-time mode, whose queries never run out of batches).
+    Rows that were already handed on (a replay from the source) are ignored.  A key ends when ``take`` sets ``ended``, or, with
+    ``idle_ms``, when a timer finds that no row has come for that long; then ``last_rows`` gives what is
+    confirmed by then, rows still waiting behind a gap are given up, and all state of the key is cleared but for an end mark.  The mark
+    keeps replays and late rows out; with ``idle_ms`` it lives for ``mark_ms`` (ten times ``idle_ms``) and is then
+    forgotten as well.  Without ``idle_ms`` nothing expires: a mark is one number per ended key.  Timers need the
+    processing-time mode, whose queries never run out of batches.
     """
 
     fields: str  # "name type, name type": what is kept of a waiting row
 
-    def __init__(self, idle_ms: int | None = None):
+    def __init__(self, idle_ms: int | None = None, mark_ms: int | None = None):
         super().__init__()
         self.idle_ms = idle_ms
+        self.mark_ms = None if idle_ms is None else mark_ms or 10 * idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.waiting = handle.getMapState("waiting", "seq bigint", self.fields, self.idle_ms)
-        self.place = handle.getValueState("place", "next bigint, held bigint", self.idle_ms)
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "seq bigint", self.fields)
+        self.place = handle.getValueState("place", "next bigint, held bigint")
+        self.mark = handle.getValueState("mark", "next bigint", self.mark_ms)
         self.open_state(handle)
 
     def open_state(self, handle: StatefulProcessorHandle) -> None:
@@ -55,20 +61,26 @@ class InOrder(StatefulProcessor):
     def finish(self) -> None:
         """Store state once per batch."""
 
+    def last_rows(self, key) -> Iterator[Row]:
+        """What a key that ends by time still has to give."""
+        return iter(())
+
     def forget(self) -> None:
         """Clear state of a key that has ended."""
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        if self.mark.exists():
+            return
         turn, held = self.place.get() if self.place.exists() else (1, 0)
         names = [f.split()[0] for f in self.fields.split(",")]
         fresh: dict[int, tuple] = {}
         self.ended = False
         self.begin()
         for row in rows:
-            if row.seq < turn:
+            if row.seq < turn or self.ended:
                 continue
             fresh[row.seq] = tuple(row[c] for c in names)
-            while True:
+            while not self.ended:
                 if turn in fresh:
                     ready = fresh.pop(turn)
                 elif held and self.waiting.containsKey((turn,)):
@@ -82,13 +94,32 @@ class InOrder(StatefulProcessor):
             if len(fresh) > IN_MEMORY:
                 held += self._hold(fresh)
         if self.ended:
-            self.waiting.clear()
-            self.place.clear()
-            self.forget()
+            self._end(turn)
             return
         held += self._hold(fresh)
         self.place.update((turn, held))
         self.finish()
+        if self.idle_ms is not None:
+            self._stop_timers()
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        turn, _ = self.place.get() if self.place.exists() else (1, 0)
+        self.begin()
+        yield from self.last_rows(key)
+        self._end(turn)
+
+    def _end(self, turn: int) -> None:
+        self.waiting.clear()
+        self.place.clear()
+        self.forget()
+        self.mark.update((turn,))
+        if self.idle_ms is not None:
+            self._stop_timers()
+
+    def _stop_timers(self) -> None:
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
 
     def _hold(self, fresh: dict) -> int:
         """Move rows that came too early to the state store; how many were new there."""
@@ -109,8 +140,8 @@ class TranscriptProcessor(InOrder):
     fields = "chunk string, eof boolean"
 
     def open_state(self, handle):
-        self.scan = handle.getValueState("scanner", SCANNER_SCHEMA, self.idle_ms)
-        self.count = handle.getValueState("count", "n bigint", self.idle_ms)
+        self.scan = handle.getValueState("scanner", SCANNER_SCHEMA)
+        self.count = handle.getValueState("count", "n bigint")
 
     def begin(self):
         self.scanner = Scanner(*self.scan.get()) if self.scan.exists() else Scanner()
@@ -121,6 +152,12 @@ class TranscriptProcessor(InOrder):
         if row.eof:
             found += self.scanner.close()
             self.ended = True
+        yield from self._rows(key, found)
+
+    def last_rows(self, key):
+        yield from self._rows(key, self.scanner.close())
+
+    def _rows(self, key, found):
         for start, end, speaker, text in found:
             self.done += 1
             yield Row(media_id=key[0], idx=self.done, start_ms=int(start * 1000 + 0.5), end_ms=int(end * 1000 + 0.5), speaker=speaker, text=text)
@@ -141,8 +178,8 @@ class PhraseProcessor(InOrder):
     max_run, max_total = 3, 24
 
     def open_state(self, handle):
-        self.last = handle.getValueState("last", "phrase string, run bigint", self.idle_ms)
-        self.totals = handle.getMapState("totals", "phrase string", "n bigint", self.idle_ms)
+        self.last = handle.getValueState("last", "phrase string, run bigint")
+        self.totals = handle.getMapState("totals", "phrase string", "n bigint")
 
     def begin(self):
         self.phrase, self.run = self.last.get() if self.last.exists() else ("", 0)
@@ -165,6 +202,10 @@ class PhraseProcessor(InOrder):
     def finish(self):
         self.last.update((self.phrase, self.run))
 
+    def forget(self):
+        self.last.clear()
+        self.totals.clear()
+
 
 class DeltaProcessor(InOrder):
     """Server-sent lines -> one row per stream at its end: text and the last usage figures.
@@ -175,8 +216,8 @@ class DeltaProcessor(InOrder):
     fields = "line string"
 
     def open_state(self, handle):
-        self.pieces = handle.getListState("pieces", "piece string", self.idle_ms)
-        self.usage = handle.getValueState("usage", "prompt bigint, completion bigint", self.idle_ms)
+        self.pieces = handle.getListState("pieces", "piece string")
+        self.usage = handle.getValueState("usage", "prompt bigint, completion bigint")
 
     def begin(self):
         self.prompt, self.completion = self.usage.get() if self.usage.exists() else (None, None)
@@ -187,8 +228,7 @@ class DeltaProcessor(InOrder):
             return
         data = line[5:].strip()
         if data == "[DONE]":
-            text = "".join(p[0] for p in self.pieces.get())
-            yield Row(stream_id=key[0], text=text, prompt_tokens=self.prompt, completion_tokens=self.completion)
+            yield self._whole_row(key)
             self.ended = True
             return
         try:
@@ -206,6 +246,14 @@ class DeltaProcessor(InOrder):
             if piece and isinstance(piece, str):
                 self.pieces.appendValue((piece,))
 
+    def _whole_row(self, key):
+        text = "".join(p[0] for p in self.pieces.get())
+        return Row(stream_id=key[0], text=text, prompt_tokens=self.prompt, completion_tokens=self.completion)
+
+    def last_rows(self, key):
+        """A stream that breaks off gives what has come."""
+        yield self._whole_row(key)
+
     def finish(self):
         self.usage.update((self.prompt, self.completion))
 
@@ -229,7 +277,7 @@ class TokenProcessor(InOrder):
     fields = "tokens bigint"
 
     def open_state(self, handle):
-        self.sum = handle.getValueState("sum", "n bigint, prompt boolean", self.idle_ms)
+        self.sum = handle.getValueState("sum", "n bigint, prompt boolean")
 
     def begin(self):
         self.n, self.prompt = self.sum.get() if self.sum.exists() else (0, False)
@@ -244,6 +292,9 @@ class TokenProcessor(InOrder):
     def finish(self):
         self.sum.update((self.n, self.prompt))
 
+    def forget(self):
+        self.sum.clear()
+
 
 class ThrottleProcessor(InOrder):
     """Status events to persist: live progress at most every 0.5 s, everything else always."""
@@ -252,7 +303,7 @@ class ThrottleProcessor(InOrder):
     every_ms = 500
 
     def open_state(self, handle):
-        self.saved = handle.getValueState("saved", "at bigint", self.idle_ms)
+        self.saved = handle.getValueState("saved", "at bigint")
 
     def begin(self):
         self.at = self.saved.get()[0] if self.saved.exists() else None
@@ -268,6 +319,48 @@ class ThrottleProcessor(InOrder):
         if self.at is not None:
             self.saved.update((self.at,))
 
+    def forget(self):
+        self.saved.clear()
+
+
+class CancelProcessor(StatefulProcessor):
+    """Events and cancellations of a job in one stream; the time of the first cancellation stays in the state.
+
+    Of a batch, cancellations count first, wherever they stand in it, so that a result depends on what has arrived and
+    not on its order.  With ``mark_ms`` a cancellation is forgotten that long after it came.
+    """
+
+    def __init__(self, mark_ms: int | None = None):
+        super().__init__()
+        self.idle_ms = self.mark_ms = mark_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.cancelled = handle.getValueState("cancelled", "at bigint", self.mark_ms)
+        self.early = handle.getListState("early", "at bigint, event string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        known = self.cancelled.get()[0] if self.cancelled.exists() else None
+        at, events, stored = known, [], False
+        for row in rows:
+            if row.event is None:
+                at = row.cancel_ms if at is None else min(at, row.cancel_ms)
+            elif at is None or row.at_ms < at:
+                events.append((row.at_ms, row.event))
+            if len(events) > IN_MEMORY:
+                self.early.appendList(events)
+                events, stored = [], True
+        if at != known:
+            self.cancelled.update((at,))
+        for many in (self.early.get() if stored else (), events):
+            for when, event in many:
+                if at is None or when < at:
+                    yield Row(job_id=key[0], event=event)
+        if stored:
+            self.early.clear()
+
+    def close(self) -> None:
+        pass
+
 
 def _run(df: DataFrame, key: str, processor: StatefulProcessor, schema: str) -> DataFrame:
     mode = "None" if processor.idle_ms is None else "ProcessingTime"
@@ -315,10 +408,24 @@ def latest_status_stream(events: DataFrame) -> DataFrame:
 
 
 def without_cancelled(events: DataFrame, cancelled: DataFrame) -> DataFrame:
-    """Events of cancelled or deleted jobs are ignored; works on streams (stream-static anti join)."""
+    """Events of jobs that are cancelled or deleted already; works on streams (stream-static anti join)."""
     return events.join(cancelled.select("job_id").distinct(), "job_id", "left_anti")
 
 
+def until_cancelled(events: DataFrame, cancels: DataFrame, mark_ms: int | None = None) -> DataFrame:
+    """events (job_id, at_ms, ...) before their job's cancellation, from streams of both; cancels: job_id, cancel_ms.
+
+    A cancellation may come at any time: events at or after ``cancel_ms`` that arrive with it or later are dropped,
+    also after the job has ended.  What came out in earlier batches stays.
+    """
+    exact = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+    packed = F.to_json(F.struct(*[events[c] for c in events.columns]), exact)
+    rows = events.select("job_id", "at_ms", F.lit(None).cast("bigint").alias("cancel_ms"), packed.alias("event"))
+    marks = cancels.select("job_id", F.lit(None).cast("bigint").alias("at_ms"), "cancel_ms", F.lit(None).cast("string").alias("event"))
+    out = _run(rows.unionByName(marks), "job_id", CancelProcessor(mark_ms), f"{_key(events, 'job_id')}, event string")
+    return out.select(F.from_json("event", events.schema, exact).alias("e")).select("e.*")
+
+
 def run_once(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Drain the stream into a table and read it back."""
     query = df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
