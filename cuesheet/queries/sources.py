@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from cuesheet.functions import text as tx
@@ -9,8 +11,10 @@ from cuesheet.operators import segments as sg
 from cuesheet.plans import derived
 from cuesheet.queries.intervals import events_sql
 from cuesheet.queries.registry import Registry
-from cuesheet.queries.sql import NORMAL, SEG, half_even_cs, pad, strip
+from cuesheet.queries.sql import NORMAL, SEG, half_even_cs, pad, seconds_text, srt_time, strip
+from cuesheet.session import shared_dir
 from cuesheet.sinks import ass as ass_sink
+from cuesheet.sinks import files as fl
 from cuesheet.sinks import subtitles as sb
 from cuesheet.sources import records as rec
 from cuesheet.sources import subtitle_files as sf
@@ -133,17 +137,19 @@ def parse_jobs(spark, sf_dir):
     )
 
 
+_MANIFEST_LINE = F.expr(
+    """case when conv_id % 4 = 1 and turn = 1 then '  '
+            when conv_id % 5 = 2 and turn = 0 then to_json(named_struct('conversation', array(named_struct('role', 'user', 'message_type', 'text', 'content', text))))
+            else to_json(named_struct('conversation', array(
+              named_struct('role', 'user', 'message_type', 'text', 'content', if(turn = 3, ' ', concat(' say ', turn, ' '))),
+              named_struct('role', 'user', 'message_type', 'audio', 'content', concat(if(turn % 2 = 0, '/abs/', 'audio/'), conv_id, '.wav')),
+              named_struct('role', 'assistant', 'message_type', 'text', 'content', concat('[0.00][S01]', role, '[1.00]'))))) end"""
+)
+
+
 def _manifests(spark, sf_dir):
-    line = F.expr(
-        """case when conv_id % 4 = 1 and turn = 1 then '  '
-                when conv_id % 5 = 2 and turn = 0 then to_json(named_struct('conversation', array(named_struct('role', 'user', 'message_type', 'text', 'content', text))))
-                else to_json(named_struct('conversation', array(
-                  named_struct('role', 'user', 'message_type', 'text', 'content', if(turn = 3, ' ', concat(' say ', turn, ' '))),
-                  named_struct('role', 'user', 'message_type', 'audio', 'content', concat(if(turn % 2 = 0, '/abs/', 'audio/'), conv_id, '.wav')),
-                  named_struct('role', 'assistant', 'message_type', 'text', 'content', concat('[0.00][S01]', role, '[1.00]'))))) end"""
-    )
     turns = derived.table(spark, sf_dir, "conversations")
-    return sb.joined(turns, ["conv_id"], "turn", line, "\n").select(F.format_string("/data/m%d/train.jsonl", "conv_id").alias("path"), "text")
+    return sb.joined(turns, ["conv_id"], "turn", _MANIFEST_LINE, "\n").select(F.format_string("/data/m%d/train.jsonl", "conv_id").alias("path"), "text")
 
 
 _MAN = """
@@ -159,12 +165,26 @@ def parse_manifest(spark, sf_dir):
 
 
 @query("manifest_rejects", _MAN + """
-SELECT root || '/train.jsonl' AS path, line_no, CASE WHEN turn = 3 THEN 'prompt, audio path, and target must be non-empty strings' ELSE 'expected user/text, user/audio, assistant/text' END AS reason
+SELECT root || '/train.jsonl' AS path, line_no, CASE WHEN turn = 3 THEN 'blank prompt, audio path or target' ELSE 'messages are not user text, user audio, assistant text' END AS reason
 FROM m WHERE NOT (conv_id % 4 = 1 AND turn = 1) AND ((conv_id % 5 = 2 AND turn = 0) OR turn = 3)""")
 def manifest_rejects(spark, sf_dir):
     return rec.parse_manifest(_manifests(spark, sf_dir))[1]
 
 
+@query("manifest_from_files", """
+WITH m AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn) AS line_no FROM conversations)
+SELECT line_no, CASE WHEN turn % 2 = 0 THEN '/abs/' ELSE '/m/audio/' END || conv_id || '.wav' AS audio, 'say ' || turn AS prompt, '[0.00][S01]' || role || '[1.00]' AS target
+FROM m WHERE NOT (conv_id % 4 = 1 AND turn = 1) AND NOT (conv_id % 5 = 2 AND turn = 0) AND turn <> 3""")
+def manifest_from_files(spark, sf_dir):
+    """One manifest of all samples, written as a text file and read in splits; its folder counts as /m."""
+    path = f"{shared_dir(spark)}/cuesheet/manifest_{uuid.uuid4().hex}"
+    lines = derived.table(spark, sf_dir, "conversations").orderBy("conv_id", "turn").select(_MANIFEST_LINE.alias("value"))
+    lines.coalesce(1).write.text(path)
+    good, _ = rec.read_manifest(spark, path)
+    folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
+    return good.select("line_no", F.when(F.col("audio").startswith(folder), F.concat(F.lit("/m"), F.substring("audio", F.length(folder) + 1, F.length("audio")))).otherwise(F.col("audio")).alias("audio"), "prompt", "target")
+
+
 @query("parse_styles", """
 SELECT doc_id AS media_id, CASE WHEN doc_id % 2 = 0 THEN doc_id % 60 + 20 END AS font_size, CASE WHEN doc_id % 3 = 0 THEN 80 ELSE 56 END AS margin_v, toxic = 1 AS show_speaker,
        CASE WHEN quality = 1 THEN 'bar' ELSE 'blur' END AS mask_mode, 0.82::DOUBLE AS mask_opacity, CASE WHEN doc_id % 5 = 0 THEN 'S01=Ann' END AS names FROM labels""")
@@ -221,3 +241,28 @@ SELECT doc_id AS media_id, CASE WHEN doc_id % 2 = 0 THEN 640 + doc_id ELSE 1920
 def ass_resolution(spark, sf_dir):
     text = "concat('[Script Info]\n', if(doc_id % 2 = 0, concat('PlayResX: ', 640 + doc_id, '\r\n'), ''), if(doc_id % 3 = 0, concat('PlayResY:', 360 + doc_id, ' \n'), ''), '[Events]')"
     return sf.ass_resolution(derived.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("media_id"), F.expr(text).alias("text")))
+
+
+@query("written_sets", SEG + f"""
+ SELECT media_id, 'segments' AS name, '[' || string_agg('{{"id":' || to_json({pad('idx', 4, 'seg_')}) || ',"start":' || to_json(start_ms::DOUBLE / 1000.0) || ',"end":' || to_json(end_ms::DOUBLE / 1000.0)
+       || ',"speaker":' || to_json(speaker) || ',"text":' || to_json(text) || '}}', ',' ORDER BY idx) || ']' AS text FROM seg GROUP BY media_id
+ UNION ALL SELECT media_id, 'srt', chr(65279) || string_agg(idx || chr(10) || {srt_time('start_ms')} || ' --> ' || {srt_time('end_ms')} || chr(10) || text, chr(10) || chr(10) ORDER BY idx) || chr(10) FROM seg GROUP BY media_id""")
+def written_sets(spark, sf_dir):
+    """Segments and SRT of a committed set, read back; an older version and one that was never committed don't show."""
+    path = f"{shared_dir(spark)}/cuesheet/set_{uuid.uuid4().hex}"
+    o = derived.conversation_segments(spark, sf_dir).with_columns({"id": F.format_string("seg_%04d", "idx")})
+    fl.write_media_set(o.with_columns({"text": F.lit("old")}), path, version=1)
+    fl.write_media_set(o, path, version=2)
+    o.df.select("media_id", F.lit("torn").alias("text")).distinct().write.parquet(f"{path}/srt/version=3")
+    read = lambda name: fl.read_texts(spark, f"{path}/{name}").select("media_id", F.lit(name).alias("name"), "text")
+    return read("segments").unionByName(read("srt"))
+
+
+@query("transcripts_from_files", SEG + f"""
+SELECT media_id, string_agg('[' || {seconds_text('start_ms')} || '][' || speaker || ']' || text || '[' || {seconds_text('end_ms')} || ']', '' ORDER BY idx) AS text FROM seg GROUP BY media_id""")
+def transcripts_from_files(spark, sf_dir):
+    """Transcripts written as one file per media and read back."""
+    path = f"{shared_dir(spark)}/cuesheet/texts_{uuid.uuid4().hex}"
+    fl.export_files(sb.render_transcript(derived.conversation_segments(spark, sf_dir)), path)
+    back = tr.read_transcripts(spark, f"{path}/*/*.txt")
+    return back.select(F.regexp_extract("media_id", "media_id=([0-9]+)/", 1).cast("bigint").alias("media_id"), F.regexp_replace("text", r"\n\z", "").alias("text"))

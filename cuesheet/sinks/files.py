@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuesheet.functions import times as tm
@@ -17,48 +17,88 @@ from cuesheet.sinks.subtitles import export_json, export_srt, segment_struct
 BOM = "﻿"
 
 
-def write_texts(df: DataFrame, path: str, column: str = "text", *, bom: bool = False, version: int | None = None) -> None:
-    """Append one version of the texts of some media to the table at ``path``: media_id, version, text.
+def write_set(tables: dict[str, DataFrame], path: str, version: int | None = None) -> int:
+    """Write one version of several tables (media_id, text) under ``path`` so that readers see all of it or nothing.
 
-    Media of earlier calls stay as they are; ``read_texts`` gives the newest version of each.  ``version`` is
-    the time in microseconds unless given.  ``bom`` puts a byte-order mark in front.
+    Every table gets the version in a folder of its own, and a commit naming them is written last; ``read_texts`` looks at committed versions only.
+    A run that breaks off leaves nothing visible, and writing the same version again replaces what it left.
+    Media of other versions stay.  ``version`` is the time in microseconds unless given; it is returned.
     """
-    text = F.concat(F.lit(BOM), F.col(column)) if bom else F.col(column)
     version = time.time_ns() // 1000 if version is None else version
-    df.select("media_id", F.lit(version).cast("bigint").alias("version"), text.alias("text")).write.mode("append").parquet(path)
+    for name, df in tables.items():
+        df.select("media_id", "text").write.mode("overwrite").parquet(f"{path}/{name}/version={version}")
+    spark = next(iter(tables.values())).sparkSession
+    commit = spark.range(1).select(F.explode(F.array(*map(F.lit, tables))).alias("name"), F.lit(version).cast("bigint").alias("version"))
+    commit.write.mode("overwrite").parquet(f"{path}/commits/set={'+'.join(sorted(tables))}/of={version}")
+    return version
+
+
+def write_texts(df: DataFrame, path: str, column: str = "text", *, bom: bool = False, version: int | None = None) -> None:
+    """Write one version of the texts of some media to the table at ``path``, a set of its own (``write_set``).
+
+    Media of earlier calls stay as they are; ``read_texts`` gives the newest version of each.  ``bom`` puts a
+    byte-order mark in front.
+    """
+    folder, name = path.rstrip("/").rsplit("/", 1)
+    write_set({name: df.select("media_id", _with_bom(F.col(column), bom).alias("text"))}, folder, version)
+
+
+def _with_bom(text: Column, bom: bool) -> Column:
+    return F.concat(F.lit(BOM), text) if bom else text
+
+
+def committed(spark: SparkSession, path: str) -> DataFrame | None:
+    """All committed rows (media_id, version, text) of the table at ``path``; None if no version was committed."""
+    folder, name = path.rstrip("/").rsplit("/", 1)
+    commits = _there(spark, f"{folder}/commits")
+    if commits is None:
+        return None
+    versions = commits.filter(F.col("name") == name).select(F.col("version").cast("bigint").alias("version")).distinct()
+    rows = _there(spark, path)
+    return None if rows is None else rows.select("media_id", F.col("version").cast("bigint").alias("version"), "text").join(versions, "version")
+
+
+def _there(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(media_id, version, text): the newest version of each media in a table of texts."""
+    """(media_id, version, text): the newest committed version of each media in a table of texts."""
+    rows = committed(spark, path)
+    if rows is None:
+        raise FileNotFoundError(f"no committed version under {path}")
     newest = F.max_by("text", "version").alias("text")
-    return spark.read.parquet(path).groupBy("media_id").agg(F.max("version").alias("version"), newest).select("media_id", "version", "text")
+    return rows.groupBy("media_id").agg(F.max("version").alias("version"), newest).select("media_id", "version", "text")
 
 
 def export_files(df: DataFrame, path: str, column: str = "text", *, bom: bool = False) -> None:
     """Plain text files, one folder per media, for players: folders of other media stay.  Not for millions of media."""
     body = F.regexp_replace(column, r"\n\z", "")  # the writer ends each row with one newline itself
-    text = F.concat(F.lit(BOM), body) if bom else body
-    df.select("media_id", text.alias("value")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("media_id").text(path)
+    df.select("media_id", _with_bom(body, bom).alias("value")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("media_id").text(path)
 
 
 def write_media_set(rows: DataFrame | Ordered, path: str, style: dict | None = None, *, show_speaker: bool = False, version: int | None = None) -> None:
-    """Tables of texts under ``path``: segments (JSON), srt and ass, and the first segments of each media under source.
+    """One committed set of tables under ``path``: segments (JSON), srt and ass, and the first segments of each media under source.
 
-    The rows are computed once.  A media that has a source already keeps it.
+    The rows are computed once.  A media that has a committed source already keeps it.
     """
     o = as_ordered(rows)
     o = o.of(materialise(o.df))
     spark = o.df.sparkSession
+    json = materialise(export_json(o).withColumnRenamed("json", "text"))
     version = time.time_ns() // 1000 if version is None else version
-    json = export_json(o).withColumnRenamed("json", "text")
-    try:
-        had = spark.read.parquet(f"{path}/source").select("media_id")
-    except AnalysisException:  # no source was written so far
-        had = None
-    write_texts(json if had is None else keep_source_once(had, json), f"{path}/source", version=version)
-    write_texts(json, f"{path}/segments", version=version)
-    write_texts(export_srt(o, show_speaker=show_speaker).withColumnRenamed("srt", "text"), f"{path}/srt", bom=True, version=version)
-    write_texts(export_ass(o, style).withColumnRenamed("ass", "text"), f"{path}/ass", bom=True, version=version)
+    had = committed(spark, f"{path}/source")  # but for what an earlier try of this version left
+    texts = lambda df, column: df.select("media_id", _with_bom(F.col(column), True).alias("text"))
+    tables = {
+        "source": json if had is None else keep_source_once(had.filter(F.col("version") != version), json), "segments": json,
+        "srt": texts(export_srt(o, show_speaker=show_speaker), "srt"), "ass": texts(export_ass(o, style), "ass"),
+    }
+    write_set(tables, path, version)
 
 
 def keep_source_once(snapshots: DataFrame, current: DataFrame) -> DataFrame:

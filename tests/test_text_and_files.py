@@ -1,6 +1,9 @@
 """Scalar rules, subtitle parsing of rough input, reply shapes, sinks, repair rounds."""
 
+import random
+
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from cuesheet.functions import replies as rp
@@ -194,3 +197,53 @@ def test_bilingual_and_unusable_replies(spark):
     assert [r.text for r in tn.apply_translations(o, said, "bilingual").orderBy("idx").collect()] == ["hi", "salut\nyo", "x"]
     kinds = {r.type for r in tn.validate_translations(o, said).collect()}
     assert kinds == {"count_mismatch", "model_artifact"}
+
+
+def test_a_set_that_breaks_off_does_not_show(spark, tmp_path, monkeypatch):
+    """Between two tables of a set: readers keep the version before; the retry gives each text once."""
+    where = f"file://{tmp_path}/set"
+    north, west = _media_rows(spark, [(1, 1, 0, 900, "S01", "north")]), _media_rows(spark, [(1, 1, 0, 900, "S01", "west"), (2, 1, 0, 500, "S01", "new")])
+    fl.write_media_set(north, where, version=1)
+
+    with monkeypatch.context() as m:  # two tables are written when the third breaks
+        m.setattr(fl, "export_srt", lambda o, **_: o.df.select("media_id", F.raise_error(F.lit("lost")).cast("string").alias("srt")))
+        with pytest.raises(PySparkException):
+            fl.write_media_set(west, where, version=2)
+    assert spark.read.parquet(f"{where}/segments").filter("version = 2").count() == 2
+    for table in ("source", "segments", "srt", "ass"):
+        assert [(r.media_id, r.version, "north" in r.text) for r in fl.read_texts(spark, f"{where}/{table}").collect()] == [(1, 1, True)]
+    fl.write_media_set(west, where, version=2)
+    fl.write_media_set(west, where, version=2)
+    for table in ("segments", "srt", "ass"):
+        assert sorted((r.media_id, r.version) for r in fl.read_texts(spark, f"{where}/{table}").collect()) == [(1, 2), (2, 2)]
+        assert fl.committed(spark, f"{where}/{table}").count() == 3
+    assert {r.media_id: "north" in r.text for r in fl.read_texts(spark, f"{where}/source").collect()} == {1: True, 2: False}
+    with pytest.raises(FileNotFoundError):
+        fl.read_texts(spark, f"{where}/none")
+
+
+def test_lines_of_split_files_keep_their_numbers(spark, tmp_path):
+    """Files of many splits, of one, of none; lines of all lengths, blank ones, the last without an end."""
+    import json
+
+    rng = random.Random(4)
+    sample = lambda k: json.dumps({"conversation": [{"role": "user", "message_type": "text", "content": f"p{k}" + "x" * rng.randrange(90)}, {"role": "user", "message_type": "audio", "content": f"./a/{k}.wav"}, {"role": "assistant", "message_type": "text", "content": "t"}]})
+    files = {name: [rng.choice([sample(k), sample(k), "", "  ", "{}"]) for k in range(n)] for name, n in (("a.jsonl", 700), ("b.jsonl", 1), ("c.jsonl", 0), ("d.jsonl", 300))}
+    for name, lines in files.items():
+        (tmp_path / name).write_text("\n".join(lines))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        rows = rec.read_lines(spark, str(tmp_path))
+        assert rows.select(F.spark_partition_id()).distinct().count() > 1
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 10
+        got = sorted((r.path.rsplit("/", 1)[1], r.line_no, r.line) for r in rows.collect())
+        good, bad = (sorted((r.path.rsplit("/", 1)[1], r.line_no) for r in part.collect()) for part in rec.read_manifest(spark, str(tmp_path)))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    want = [(name, i + 1, line) for name, lines in files.items() for i, line in enumerate(lines)]
+    assert got == sorted(w for w in want if not (w[0] != "c.jsonl" and w[1] == len(files[w[0]]) and w[2] == ""))
+    assert good == sorted((n, i) for n, i, line in want if "conversation" in line)
+    assert bad == sorted((n, i) for n, i, line in want if line == "{}")
