@@ -217,3 +217,53 @@ def slice_audio(spark, sf_dir):
     o = o.with_columns({"end_ms": F.least("end_ms", F.coalesce("_next", "end_ms"))})
     slices = audio.slice_segments(o.df.select("media_id", "idx", "start_ms", "end_ms"), _pcm(o), RATE)
     return slices.select("media_id", "idx", F.size("samples").cast("bigint").alias("samples"))
+
+
+WIDE = 16_000
+
+_VECTORS = f"""
+WITH piece AS (SELECT label % 2 AS media_id, (row_number() OVER (PARTITION BY label % 2 ORDER BY vec_id) - 1) * 64 AS first_sample, embedding FROM embeddings),
+ pcm AS (SELECT media_id, first_sample + unnest(range(len(embedding))) AS spot, unnest(embedding)::DOUBLE AS x FROM piece),
+ cut AS (SELECT media_id, idx, idx * 800 + 640 AS lo, least(n, idx * 800 + 8000 - 640) AS hi
+         FROM (SELECT media_id, max(spot) + 1 AS n FROM pcm GROUP BY media_id), LATERAL (SELECT unnest(range(n // 800)) AS idx) z),
+ held AS (SELECT c.media_id, c.idx, spot - lo AS i, x FROM cut c JOIN pcm p ON p.media_id = c.media_id AND p.spot >= lo AND p.spot < hi WHERE hi - lo >= 4480)"""
+
+
+def _vector_slices(spark, sf_dir):
+    """The vectors of even and of odd labels, one behind the other, count as two recordings at 16 kHz; a segment of half a second begins every 50 ms."""
+    e = derived.table(spark, sf_dir, "embeddings")
+    o = arrange(e.selectExpr("cast(label % 2 as bigint) media_id", "vec_id", "embedding samples"), ("media_id",), ("vec_id",))
+    pcm = o.df.select("media_id", (F.col("_pos") * 64).alias("first_sample"), "samples")
+    length = pcm.groupBy("media_id").agg(F.expr("max(first_sample + size(samples)) div 800").alias("n")).filter("n > 0")
+    segments = length.select("media_id", F.explode(F.expr("sequence(0, n - 1)")).alias("idx")).selectExpr("media_id", "idx", "idx * 50 start_ms", "idx * 50 + 500 end_ms")
+    return audio.slice_segments(segments, pcm, WIDE)
+
+
+@query("sliced_samples", _VECTORS + "SELECT media_id::BIGINT AS media_id, idx::BIGINT AS idx, count(*) AS n, floor(sum(x * (1 + i % 7)) * 10000 + 0.5) / 10000 AS weighed FROM held GROUP BY media_id, idx")
+def sliced_samples(spark, sf_dir):
+    """What is in the slices: samples weighed by their places."""
+    s = _vector_slices(spark, sf_dir).select("media_id", "idx", F.posexplode("samples").alias("i", "x"))
+    return s.groupBy("media_id", "idx").agg(F.count(F.lit(1)).alias("n"), tm.round_to(F.sum(F.col("x").cast("double") * (1 + F.col("i") % 7)), 4).alias("weighed"))
+
+
+@query("frame_statistics", _VECTORS + f""",
+ mid AS (SELECT media_id, idx, i, x - avg(x) OVER (PARTITION BY media_id, idx) AS c, count(*) OVER (PARTITION BY media_id, idx) AS n FROM held),
+ loud AS (SELECT *, lead(c) OVER (PARTITION BY media_id, idx ORDER BY i) AS after, sqrt(avg(c * c) OVER (PARTITION BY media_id, idx)) AS rms FROM mid),
+ frame AS (SELECT media_id, idx, f, sum(c * c * pow(0.5 - 0.5 * cos(2 * pi() * (i - f * 160) / 399), 2)) / 400 AS e,
+                  count(*) FILTER (i < f * 160 + 399 AND (c < 0) <> (after < 0)) / 399.0::DOUBLE AS z
+           FROM loud, LATERAL (SELECT unnest(range(CASE WHEN i < 400 THEN 0 ELSE (i - 400) // 160 + 1 END, least(i // 160, (n - 400) // 160) + 1)) AS f) q
+           WHERE rms >= 0.0025 AND i >= f * 160 AND i < f * 160 + 400 GROUP BY media_id, idx, f),
+ kept AS (SELECT *, quantile_cont(e, 0.45) OVER (PARTITION BY media_id, idx) AS edge FROM frame),
+ told AS (SELECT media_id, idx, count(*) AS frames, avg(ln(1 + e)) AS lm, stddev_pop(ln(1 + e)) AS ld, avg(z) AS zm, stddev_pop(z) AS zd FROM kept WHERE e >= edge - 1e-12 GROUP BY media_id, idx)
+SELECT media_id::BIGINT AS media_id, idx::BIGINT AS idx, frames, {", ".join(f"floor({c} * 1000000 + 0.5) / 1000000 AS {n}" for c, n in (("lm", "level_mean"), ("ld", "level_deviation"), ("zm", "crossings_mean"), ("zd", "crossings_deviation")))}
+FROM told WHERE frames >= 3""")
+def frame_statistics(spark, sf_dir):
+    out = audio.frame_statistics(_vector_slices(spark, sf_dir), WIDE)
+    names = ("level_mean", "level_deviation", "crossings_mean", "crossings_deviation")
+    return out.select("media_id", "idx", "frames", *[tm.round_to(F.col(c), 6).alias(c) for c in names])
+
+
+@query("audio_features_wide")
+def audio_features_wide(spark, sf_dir):
+    """All sixteen statistics at 16 kHz, where every band is filled; four of them are held against ``frame_statistics`` in tests."""
+    return audio.audio_features(_vector_slices(spark, sf_dir), WIDE)

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from cuesheet.functions.audio import batch_features
+from cuesheet.operators import audio
 from cuesheet.operators import speakers as sp
 from cuesheet.ordering import arrange
 
@@ -90,3 +91,22 @@ def test_features_do_not_depend_on_the_batch():
     assert np.allclose(vecs, np.concatenate([v for _, v in alone]), rtol=1e-4, atol=1e-5)
     shares = vecs[:, 11:]
     assert (shares > 0).all() and (shares.sum(axis=1) <= 1.0001).all() and (np.diff(shares.mean(axis=0)) > 0).all()  # noise: as wide as its band
+
+
+@pytest.mark.parametrize("rate", [16_000, 8_000])
+def test_frame_statistics_equal_the_arrow_form(spark, rate):
+    """Level and zero crossings of noise, tones and near silence, against the features computed in batches."""
+    rng = np.random.default_rng(6)
+    slices = []
+    for k in range(14):
+        n = int(rng.integers(100, 6000))
+        wave = rng.normal(0, 0.1, n) * (rng.random() < 0.7) + 0.3 * np.sin(np.arange(n) * rng.uniform(0.01, 1)) * (k % 3 > 0) + 0.2
+        slices.append((1, k, [float(x) for x in wave.astype(np.float32)]))
+    slices += [(1, 50, [0.001] * 5000), (1, 51, []), (2, 1, [0.5, -0.5] * 2000)]
+    df = spark.createDataFrame(slices, "media_id bigint, idx bigint, samples array<float>")
+    fast = {(r.media_id, r.idx): r.vec for r in audio.audio_features(df, rate).collect()}
+    plain = {(r.media_id, r.idx): r for r in audio.frame_statistics(df, rate).collect()}
+    assert set(fast) == set(plain) and len(plain) > 5
+    for key, r in plain.items():
+        v = fast[key]
+        assert np.allclose([r.level_mean, r.level_deviation, r.crossings_mean, r.crossings_deviation], [v[0], v[1], v[6], v[7]], atol=2e-4)
