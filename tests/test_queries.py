@@ -5,7 +5,7 @@ import pytest
 from cuesheet.queries import gather
 from tests.harness import compare
 
-SF = "/root/testdata/sf0.001"
+SF, NEXT = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 QUERIES, ORACLES = gather("queries"), gather("oracles")
 
 
@@ -13,6 +13,8 @@ QUERIES, ORACLES = gather("queries"), gather("oracles")
 def test_query(spark, name):
     if name in ORACLES:
         message = compare(spark, name, QUERIES[name], ORACLES[name], SF)
-        assert message is None or message.endswith("no rows"), message
+        if message == f"{name}: no rows":  # nothing of the kind in the smallest tables
+            message = compare(spark, name, QUERIES[name], ORACLES[name], NEXT)
+        assert message is None, message
     else:
-        assert QUERIES[name](spark, SF).schema is not None
+        assert QUERIES[name](spark, SF).count() > 0
