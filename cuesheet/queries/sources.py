@@ -137,19 +137,17 @@ def parse_jobs(spark, sf_dir):
     )
 
 
-_MANIFEST_LINE = F.expr(
-    """case when conv_id % 4 = 1 and turn = 1 then '  '
+_MANIFEST_LINE = """case when conv_id % 4 = 1 and turn = 1 then '  '
             when conv_id % 5 = 2 and turn = 0 then to_json(named_struct('conversation', array(named_struct('role', 'user', 'message_type', 'text', 'content', text))))
             else to_json(named_struct('conversation', array(
               named_struct('role', 'user', 'message_type', 'text', 'content', if(turn = 3, ' ', concat(' say ', turn, ' '))),
               named_struct('role', 'user', 'message_type', 'audio', 'content', concat(if(turn % 2 = 0, '/abs/', 'audio/'), conv_id, '.wav')),
               named_struct('role', 'assistant', 'message_type', 'text', 'content', concat('[0.00][S01]', role, '[1.00]'))))) end"""
-)
 
 
 def _manifests(spark, sf_dir):
     turns = derived.table(spark, sf_dir, "conversations")
-    return sb.joined(turns, ["conv_id"], "turn", _MANIFEST_LINE, "\n").select(F.format_string("/data/m%d/train.jsonl", "conv_id").alias("path"), "text")
+    return sb.joined(turns, ["conv_id"], "turn", F.expr(_MANIFEST_LINE), "\n").select(F.format_string("/data/m%d/train.jsonl", "conv_id").alias("path"), "text")
 
 
 _MAN = """
@@ -178,7 +176,7 @@ FROM m WHERE NOT (conv_id % 4 = 1 AND turn = 1) AND NOT (conv_id % 5 = 2 AND tur
 def manifest_from_files(spark, sf_dir):
     """One manifest of all samples, written as a text file and read in splits; its folder counts as /m."""
     path = f"{shared_dir(spark)}/cuesheet/manifest_{uuid.uuid4().hex}"
-    lines = derived.table(spark, sf_dir, "conversations").orderBy("conv_id", "turn").select(_MANIFEST_LINE.alias("value"))
+    lines = derived.table(spark, sf_dir, "conversations").orderBy("conv_id", "turn").select(F.expr(_MANIFEST_LINE).alias("value"))
     lines.coalesce(1).write.text(path)
     good, _ = rec.read_manifest(spark, path)
     folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
