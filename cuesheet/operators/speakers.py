@@ -49,10 +49,15 @@ def nearest_turn(segs: DataFrame, turns: DataFrame, like: Ordered) -> DataFrame:
                              best.alias("mark"), F.lit(None).cast("bigint").alias("p"), F.lit(None).cast("bigint").alias("mid2"))
         probes = segs.select("media_id", F.col(seg_at).alias("at"), F.lit(1 if not reverse else 0).alias("what"), F.col("p").alias("n"),
                              F.lit(None).cast(marks.schema["mark"].dataType).alias("mark"), "p", (F.col("start_ms") + F.col("end_ms")).alias("mid2"))
-        line = arrange(marks.unionByName(probes), ("media_id",), ("at", "what", "n"), limit=like.limit)
+        line = arrange(marks.unionByName(probes), ("media_id",), ("at", "what", "n"), like=measured, limit=like.limit)
         line = line.running({"seen": (kind, F.col("mark"))}, reverse=reverse)
         return line.df.filter(F.col("p").isNotNull()).select("media_id", "p", "mid2", F.col("seen").alias(name))
 
+    # The rows are known to be few per media where ``like`` is not chunked, so only the turns are counted, once for both sides.
+    measured = None
+    if not like.chunked:
+        most = turns.groupBy("media_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        measured = like if most <= like.limit else None
     # Doubled times keep midpoints whole.
     before = side("turn_end_ms", "start_ms", F.struct(F.col("turn_end_ms").alias("t"), (-F.col("turn_no")).alias("k"), "source"), "max", False, "b")
     after = side("turn_start_ms", "end_ms", F.struct(F.col("turn_start_ms").alias("t"), F.col("turn_no").alias("k"), "source"), "min", True, "a")
