@@ -24,6 +24,7 @@ HOOKS = [
 ENDINGS = ["so", "therefore", "because", "that's why", "in short", "总结", "所以", "因此", "这就是", "结论", "最后"]
 _REACH = max(len(p) for p in HOOKS) - 1
 UNTITLED = "Untitled clip"
+NO_VALID_PICK = "no pick names a candidate"
 
 
 def pattern_hits(text: Column, patterns: list[str]) -> Column:
@@ -339,6 +340,23 @@ def apply_ranking(candidates: DataFrame, picks: DataFrame, limit: int = LIMIT) -
     )
 
 
+def ranking_outcomes(candidates: DataFrame, picks: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """What a ranking by outside picks gave, per media with candidates: (media_id, candidates, picks, valid, error).
+
+    ``valid`` counts the picks that ``apply_ranking`` keeps; ``error`` is set where none names a candidate, so that a caller can tell
+    a failed selection from a media without highlights.  Both sides are counted before they meet.
+    """
+    known = candidates.groupBy("media_id").agg(F.count(F.lit(1)).alias("candidates"))
+    given = picks.groupBy("media_id", "id").agg(F.count(F.lit(1)).alias("n"))
+    ids = candidates.select("media_id", "id").distinct().withColumn("_known", F.lit(True))
+    counts = given.join(ids, ["media_id", "id"], "left").groupBy("media_id").agg(
+        F.sum("n").alias("picks"), F.least(F.sum(F.when(F.col("_known"), F.col("n")).otherwise(0)), F.lit(max(1, limit))).alias("valid")
+    )
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    out = known.join(counts, "media_id", "left").select("media_id", "candidates", zero("picks"), zero("valid"))
+    return out.withColumn("error", F.when(F.col("valid") == 0, NO_VALID_PICK))
+
+
 def normal_clip_request(start_ms: Column, end_ms: Column) -> tuple[Column, Column]:
     """A render request: start at or after 0, at least 0.25 s long."""
     start = F.greatest(F.lit(0), start_ms).cast("bigint")

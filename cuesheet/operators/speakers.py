@@ -392,3 +392,13 @@ def distinct_speakers(o: Ordered) -> DataFrame:
         F.count_distinct("speaker").alias("speakers"), F.count(F.lit(1)).alias("segments"), F.max("end_ms").alias("duration_ms")
     )
 
+
+
+def timeline_durations(o: Ordered, media: DataFrame) -> DataFrame:
+    """(media_id, duration_ms): the later of the last segment's end and the media's own length.
+
+    ``media``: media_id, duration_ms.  Media without segments, and segments of media that ``media`` does not list, count too; a missing or
+    negative length counts as 0, and of several lengths the greatest.
+    """
+    ends = o.df.select("media_id", F.col("end_ms").alias("at")).unionByName(media.select("media_id", F.col("duration_ms").alias("at")))
+    return ends.groupBy("media_id").agg(F.greatest(F.lit(0), F.max("at")).cast("bigint").alias("duration_ms"))

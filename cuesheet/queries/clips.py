@@ -112,6 +112,19 @@ def clip_ranking(spark, sf_dir):
     return cl.apply_ranking(cands.drop("rank"), picks.unionByName(unknown), limit=24)
 
 
+@query("clip_ranking_outcomes", SEG + WINDOWS + CLIPS + """,
+ picks AS (SELECT media_id, CASE WHEN media_id % 4 = 1 THEN 'clip_9' || right(id, 2) ELSE id END AS id FROM clip WHERE media_id % 4 <> 0 AND rank % 2 = 1
+           UNION ALL SELECT media_id, id FROM clip WHERE media_id % 4 = 2),
+ given AS (SELECT p.media_id, count(*) AS picks, count(c.id) AS valid FROM picks p LEFT JOIN clip c USING (media_id, id) GROUP BY p.media_id),
+ known AS (SELECT media_id, count(*) AS candidates FROM clip GROUP BY media_id)
+SELECT media_id, candidates, coalesce(picks, 0) AS picks, least(coalesce(valid, 0), 24) AS valid, CASE WHEN coalesce(valid, 0) = 0 THEN 'no pick names a candidate' END AS error FROM known LEFT JOIN given USING (media_id)""")
+def clip_ranking_outcomes(spark, sf_dir):
+    """Media whose picks name other clips, some twice, or that have no picks."""
+    cands = cl.clip_candidates(derived.conversation_segments(spark, sf_dir)).select("media_id", "id", "rank")
+    some = cands.filter("media_id % 4 <> 0 and rank % 2 = 1").selectExpr("media_id", "if(media_id % 4 = 1, concat('clip_9', right(id, 2)), id) id")
+    return cl.ranking_outcomes(cands, some.unionByName(cands.filter("media_id % 4 = 2").select("media_id", "id")), limit=24)
+
+
 @query("clip_title_reason", SEG + f"""
 SELECT media_id, idx, {_TITLE} AS title, {_hits('text', cl.HOOKS)} AS hooks, {_hits('text', cl.ENDINGS)} AS endings FROM (SELECT *, {_SQUEEZE('text')} AS z FROM seg)""")
 def clip_title_reason(spark, sf_dir):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cuesheet.functions import times as tm
-from cuesheet.operators import audio, speakers as sp
+from cuesheet.operators import audio, labelling, speakers as sp
 from cuesheet.ordering import POS, arrange
 from cuesheet.plans import derived
 from cuesheet.queries.registry import Registry
@@ -116,6 +116,74 @@ def speaker_counts(spark, sf_dir):
     return sp.distinct_speakers(derived.conversation_segments(spark, sf_dir))
 
 
+@query("timeline_durations", SEG + """,
+ m AS (SELECT media_id, max(end_ms) AS e FROM seg GROUP BY media_id)
+SELECT media_id, CASE WHEN media_id % 3 = 0 THEN e + 1500 ELSE e END AS duration_ms FROM m UNION ALL SELECT -1 - media_id, e // 2 FROM m WHERE media_id % 5 = 0""")
+def timeline_durations(spark, sf_dir):
+    """Media longer than their segments, shorter, of unknown length, and without segments."""
+    o = derived.conversation_segments(spark, sf_dir)
+    ends = o.df.groupBy("media_id").agg(F.max("end_ms").alias("e"))
+    media = ends.filter("media_id % 4 <> 1 or media_id % 3 = 0").selectExpr("media_id", "if(media_id % 3 = 0, e + 1500, if(media_id % 2 = 0, e - 1500, null)) duration_ms")
+    return sp.timeline_durations(o, media.unionByName(ends.filter("media_id % 5 = 0").selectExpr("-1 - media_id media_id", "e div 2 duration_ms")))
+
+
+# Where turns failed, where there are none, which media have clusters of which kind; one speaker is given to most media.
+_WAYS = _SOURCE + """,
+ part AS (SELECT * FROM seg WHERE media_id % 11 <> 0 OR idx <= 3),
+ prep AS (SELECT media_id, idx, start_ms, end_ms, CASE WHEN media_id % 7 <> 0 THEN 'S00' ELSE speaker END AS speaker, row_number() OVER (PARTITION BY media_id ORDER BY idx) AS p FROM part WHERE end_ms > start_ms),
+ st AS (SELECT m.media_id, count(p.idx) AS segments, count(DISTINCT p.speaker) AS existing FROM (SELECT DISTINCT media_id FROM part) m LEFT JOIN prep p USING (media_id) GROUP BY m.media_id),
+ lab AS (SELECT media_id, idx, CASE WHEN media_id % 8 = 6 THEN 5 ELSE (idx * 7 + media_id) % 3 END AS label FROM seg
+         WHERE end_ms > start_ms AND idx % 4 <> 1 AND media_id % 8 IN (1, 2, 6) AND (media_id % 16 <> 9 OR idx <= 4)),
+ grp AS (SELECT media_id, count(*) AS n, count(DISTINCT label) AS k FROM lab GROUP BY media_id),
+ tn AS (SELECT DISTINCT media_id, true AS given FROM turns WHERE media_id % 4 IN (0, 1)),
+ ways AS (SELECT media_id, segments, existing, segments < 4 OR existing > 1 AS early, media_id % 4 IN (1, 2) AS failed, coalesce(n, 0) AS n, k, coalesce(given, false) AS given,
+            CASE WHEN segments < 4 OR existing > 1 THEN 'keep'
+                 WHEN media_id % 4 IN (1, 2) THEN CASE WHEN media_id % 8 = 5 OR coalesce(n, 0) < 4 THEN 'keep' WHEN k <= 1 THEN 'single' ELSE 'cluster' END
+                 WHEN given THEN 'turns' ELSE 'keep' END AS way
+          FROM st LEFT JOIN grp USING (media_id) LEFT JOIN tn USING (media_id)),
+ fl AS (SELECT p.media_id, p.p, p.idx, p.end_ms - p.start_ms AS dur,
+          coalesce(last_value(label IGNORE NULLS) OVER (PARTITION BY p.media_id ORDER BY p.p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+                   first_value(label IGNORE NULLS) OVER (PARTITION BY p.media_id ORDER BY p.p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS label
+        FROM prep p JOIN ways w ON w.media_id = p.media_id AND w.way = 'cluster' LEFT JOIN lab l ON l.media_id = p.media_id AND l.idx = p.idx),
+ nx AS (SELECT *, lead(label) OVER (PARTITION BY media_id ORDER BY p) AS nxt FROM fl),
+ sm AS (SELECT media_id, p, idx, label FROM nx WHERE p = 1
+        UNION ALL SELECT n.media_id, n.p, n.idx, CASE WHEN s.label = n.nxt AND s.label <> n.label AND n.dur < 1300 THEN s.label ELSE n.label END FROM sm s JOIN nx n ON n.media_id = s.media_id AND n.p = s.p + 1),
+ rk AS (SELECT media_id, label, 'S' || lpad((row_number() OVER (PARTITION BY media_id ORDER BY min(p)))::VARCHAR, 2, '0') AS speaker FROM sm GROUP BY media_id, label),
+ done AS (SELECT p.media_id, p.idx, CASE WHEN way = 'single' THEN 'S01' ELSE speaker END AS speaker FROM prep p JOIN ways USING (media_id) WHERE way IN ('keep', 'single')
+          UNION ALL SELECT s.media_id, s.idx, nm.speaker FROM src s JOIN nm USING (media_id, source) JOIN ways w ON w.media_id = s.media_id AND w.way = 'turns'
+          UNION ALL SELECT sm.media_id, sm.idx, rk.speaker FROM sm JOIN rk USING (media_id, label))"""
+
+
+def _labelled_media(spark, sf_dir):
+    whole = derived.conversation_segments(spark, sf_dir)
+    live = whole.df.filter("end_ms > start_ms")
+    turns = _turns(spark, whole).filter("media_id % 4 in (0, 1)")
+    labels = live.filter("idx % 4 <> 1 and media_id % 8 in (1, 2, 6) and (media_id % 16 <> 9 or idx <= 4)")
+    labels = labels.selectExpr("media_id", "idx", "int(if(media_id % 8 = 6, 5, (idx * 7 + media_id) % 3)) label")
+    media = whole.df.select("media_id").distinct()
+    failures = media.filter("media_id % 4 in (1, 2)").selectExpr("media_id", "'turns' backend", "'no token' error")
+    failures = failures.unionByName(media.filter("media_id % 8 = 5").selectExpr("media_id", "'cluster' backend", "'decode failed' error"))
+    some = whole.of(whole.df.filter("media_id % 11 <> 0 or idx <= 3").withColumn("speaker", F.expr("if(media_id % 7 <> 0, 'S00', speaker)")))
+    return labelling.label_speakers(some, turns, labels, failures)
+
+
+@query("label_speakers", SEG + _WAYS + "SELECT media_id, idx, speaker FROM done")
+def label_speakers(spark, sf_dir):
+    return _labelled_media(spark, sf_dir).segments.df.select("media_id", "idx", "speaker")
+
+
+@query("label_outcomes", SEG + _WAYS + """
+SELECT media_id, true AS enabled, way <> 'keep' AS applied, CASE WHEN early THEN 'auto' WHEN failed THEN 'cluster' ELSE 'turns' END AS backend, segments,
+  CASE WHEN segments < 4 THEN 1 WHEN existing > 1 THEN existing WHEN way IN ('turns', 'cluster') THEN named ELSE 1 END AS speakers,
+  CASE WHEN segments < 4 THEN 'too few segments' WHEN existing > 1 THEN 'speaker labels already exist'
+       WHEN failed THEN CASE WHEN media_id % 8 = 5 THEN 'decode failed' WHEN n < 4 THEN 'not enough voiced audio' WHEN k <= 1 THEN 'single speaker estimated' END
+       WHEN NOT given THEN 'no speaker turns returned' END AS reason,
+  CASE WHEN failed AND NOT early THEN 'turns failed: no token' END AS fallback
+FROM ways LEFT JOIN (SELECT media_id, count(DISTINCT speaker) AS named FROM done GROUP BY media_id) USING (media_id)""")
+def label_outcomes(spark, sf_dir):
+    return _labelled_media(spark, sf_dir).outcomes
+
+
 def _features(spark, sf_dir):
     e = derived.table(spark, sf_dir, "embeddings")
     return e.select((F.col("label") % 5).cast("bigint").alias("media_id"), F.col("vec_id").alias("idx"), F.col("embedding").cast("array<double>").alias("vec"))
