@@ -13,7 +13,7 @@ from cuesheet.session import materialise
 
 MAX_K, MAX_ROUNDS, MIN_SILHOUETTE, MIN_ROWS = 8, 60, 0.12, 4
 SHORT_ISLAND_MS = 1300
-BLOCK = 512
+BLOCK, STRIP, REACH, WIDE = 512, 16, 32, 2048  # rows of a block, blocks of a strip, blocks one task takes to a strip, columns of a product
 
 
 # ---- labels from turns -------------------------------------------------------
@@ -295,26 +295,10 @@ def label_rows(rows: DataFrame, centres: DataFrame, dims: int) -> DataFrame:
 def silhouettes(rows: DataFrame, labels: DataFrame, dims: int, max_k: int = MAX_K) -> DataFrame:
     """Mean silhouette per (media, k).
 
-    The measure needs every distance inside a media.  Rows are cut into blocks; each pair
-    of blocks is one small matrix product that leaves only sums per row and cluster, so
-    pairs of rows are never emitted and a large media spreads over its block pairs.
+    The measure needs every distance inside a media.  They are products of blocks and strips of rows, which leave only sums
+    (``_distance_sums``), so pairs of rows are never emitted and a large media spreads over its strips.
     """
-    packed_labels = labels.groupBy("media_id", "idx").agg(F.map_from_entries(F.collect_list(F.struct("k", "label"))).alias("_m"))
-    ks = [r[0] for r in labels.select("k").distinct().orderBy("k").collect()]  # a handful of numbers
-    by_k = F.array(*[F.coalesce(F.try_element_at("_m", F.lit(k)), F.lit(-1)) for k in ks]).cast("array<int>")
-    o = arrange(rows.join(packed_labels, ["media_id", "idx"]).select("media_id", "idx", "vec", by_k.alias("l")), ("media_id",), ("idx",))
-    blocks = o.df.groupBy("media_id", F.expr(f"{POS} div {BLOCK}").alias("b")).agg(
-        F.collect_list("idx").alias("ids"), F.flatten(F.collect_list("vec")).alias("v"), F.flatten(F.collect_list("l")).alias("l")
-    )
-    counts = blocks.groupBy("media_id").agg(F.count(F.lit(1)).alias("nb"))
-    left = blocks.join(counts, "media_id").select(
-        "media_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nb") - 1)).alias("r"), F.col("ids").alias("ids1"), F.col("v").alias("v1")
-    )
-    right = blocks.select("media_id", F.col("b").alias("r"), F.col("v").alias("v2"), F.col("l").alias("l2"))
-    key = rows.schema["media_id"].dataType.simpleString()
-    sums = left.join(right, ["media_id", "r"]).mapInArrow(
-        _block_sums(ks, dims, max_k), f"media_id {key}, idx bigint, k int, " + ", ".join(f"s{c} double" for c in range(max_k))
-    )
+    sums = _distance_sums(rows, labels, dims, max_k)
     sums = sums.groupBy("media_id", "k", "idx").agg(*[F.sum(f"s{c}").alias(f"s{c}") for c in range(max_k)])
     sizes = labels.groupBy("media_id", "k").agg(*[F.count_if(F.col("label") == c).alias(f"n{c}") for c in range(max_k)])
     rows_k = sums.join(labels, ["media_id", "k", "idx"]).join(sizes, ["media_id", "k"])
@@ -326,33 +310,87 @@ def silhouettes(rows: DataFrame, labels: DataFrame, dims: int, max_k: int = MAX_
     return scored.groupBy("media_id", "k").agg(F.coalesce(F.avg(F.when(F.col("b").isNotNull(), score)), F.lit(-1.0)).alias("silhouette"))
 
 
-def _block_sums(ks, dims, width):
+def _distance_sums(rows: DataFrame, labels: DataFrame, dims: int, max_k: int) -> DataFrame:
+    """(media_id, idx, k, s0, s1, ...): parts of each row's summed distances to the rows of every cluster.
+
+    A block has ``BLOCK`` rows, a strip ``STRIP`` blocks.  A strip meets the blocks up to its own last one, ``REACH`` of them in one task, and
+    each distance counts for both of its rows.  A block leaves its sums once per strip, a strip once per ``REACH`` blocks.
+    """
+    packed_labels = labels.groupBy("media_id", "idx").agg(F.map_from_entries(F.collect_list(F.struct("k", "label"))).alias("_m"))
+    ks = [r[0] for r in labels.select("k").distinct().orderBy("k").collect()]  # a handful of numbers
+    by_k = F.array(*[F.coalesce(F.try_element_at("_m", F.lit(k)), F.lit(-1)) for k in ks]).cast("array<int>")
+    o = arrange(rows.join(packed_labels, ["media_id", "idx"]).select("media_id", "idx", "vec", by_k.alias("l")), ("media_id",), ("idx",))
+    placed = o.df.withColumn("b", F.expr(f"{POS} div {BLOCK}")).withColumn("strip", F.expr(f"b div {STRIP}"))
+    lists = lambda n: [F.collect_list("idx").alias(f"ids{n}"), F.flatten(F.collect_list("vec")).alias(f"v{n}"), F.flatten(F.collect_list("l")).alias(f"l{n}")]
+    blocks = placed.groupBy("media_id", "strip", "b").agg(*lists(1))
+    ends = placed.groupBy("media_id").agg((F.max("strip")).alias("last"))
+    left = blocks.join(ends, "media_id").withColumn("strip", F.explode(F.sequence("strip", "last"))).drop("last")
+    left = left.withColumn("reach", F.expr(f"b div {REACH}"))
+    strips = placed.groupBy("media_id", "strip").agg(F.collect_list("b").alias("b2"), *lists(2))
+    right = strips.withColumn("reach", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"((strip + 1) * {STRIP} - 1) div {REACH}"))))
+    key = rows.schema["media_id"].dataType.simpleString()
+    # Merged by key, so that a strip's blocks come one after the other.
+    return left.join(right.hint("merge"), ["media_id", "strip", "reach"]).mapInArrow(
+        _strip_sums(ks, dims, max_k), f"media_id {key}, idx bigint, k int, " + ", ".join(f"s{c} double" for c in range(max_k))
+    )
+
+
+def _distance(a, b):
+    import numpy as np
+
+    size = (a**2).sum(1)[:, None] + (b**2).sum(1)[None, :]
+    squares = size - 2 * a @ b.T
+    # The expansion loses digits near zero; equal rows must be exactly 0 apart.
+    r, c = np.nonzero(squares < 1e-6 * (size + 1))
+    squares[r, c] = ((a[r] - b[c]) ** 2).sum(1)
+    return np.sqrt(np.maximum(squares, 0))
+
+
+def _strip_sums(ks, dims, width):
+    """mapInArrow body: the sums of each block on the way, those of a strip when the next one begins."""
+
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
-            for m, ids, v1, v2, l2 in zip(*(batch.column(c) for c in ("media_id", "ids1", "v1", "v2", "l2"))):
-                a = v1.values.to_numpy(zero_copy_only=False).reshape(-1, dims)
-                b = v2.values.to_numpy(zero_copy_only=False).reshape(-1, dims)
-                labels = l2.values.to_numpy(zero_copy_only=False).reshape(-1, len(ks))
-                squares = (a**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * a @ b.T
-                # The expansion loses digits near zero; equal rows must be exactly 0 apart.
-                close = squares < 1e-6 * ((a**2).sum(1)[:, None] + (b**2).sum(1)[None, :] + 1)
-                if close.any():
-                    r, c = np.nonzero(close)
-                    squares[r, c] = ((a[r] - b[c]) ** 2).sum(1)
-                dist = np.sqrt(np.maximum(squares, 0))
-                for at, k in enumerate(ks):
-                    chosen = labels[:, at][:, None] == np.arange(width)[None, :]
-                    if not chosen.any():
-                        continue
-                    s = dist @ chosen.astype(float)
+        def members(labels):
+            """A column of zeros and ones for each k and cluster."""
+            return (labels.reshape(-1, len(ks), 1) == np.arange(width)).reshape(len(labels), -1).astype(float)
+
+        def out(media, ids, sums):
+            for at, k in enumerate(ks):
+                s = sums[:, at * width : (at + 1) * width]
+                if own[:, at * width : (at + 1) * width].any():  # the strip has labels of this k
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([m.as_py()] * len(a)), ids.values, pa.array([k] * len(a), pa.int32()), *[pa.array(s[:, c]) for c in range(width)]],
+                        [pa.array([media] * len(s), key), pa.array(ids, pa.int64()), pa.array([k] * len(s), pa.int32()), *[pa.array(s[:, c]) for c in range(width)]],
                         names=["media_id", "idx", "k", *[f"s{c}" for c in range(width)]],
                     )
 
+        matrix = lambda v, n: v.values.to_numpy(zero_copy_only=False).reshape(-1, n)
+        held = None
+        for batch in batches:
+            key = batch.column("media_id").type
+            for place in range(batch.num_rows):
+                row = {name: batch.column(name)[place] for name in batch.schema.names}
+                now = tuple(row[c].as_py() for c in ("media_id", "strip", "reach"))
+                if held != now:
+                    if held:
+                        yield from out(held[0], ids, total)
+                    held, ids = now, row["ids2"].values.to_numpy()
+                    v2, own, block = matrix(row["v2"], dims), members(matrix(row["l2"], len(ks))), row["b2"].values.to_numpy()
+                    total = np.zeros_like(own)
+                b, v1, mine = row["b"].as_py(), matrix(row["v1"], dims), members(matrix(row["l1"], len(ks)))
+                sums, later = np.zeros_like(mine), np.flatnonzero(block >= b)
+                for cut in range(0, len(later), WIDE):
+                    cols = later[cut : cut + WIDE]
+                    dist = _distance(v1, v2[cols])
+                    sums += dist @ own[cols]
+                    both = block[cols] > b  # the block itself has its sums already
+                    total[cols[both]] += dist[:, both].T @ mine
+                yield from out(now[0], row["ids1"].values.to_numpy(), sums)
+        if held:
+            yield from out(held[0], ids, total)
+
     return run
 
 

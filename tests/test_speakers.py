@@ -110,3 +110,38 @@ def test_frame_statistics_equal_the_arrow_form(spark, rate):
     for key, r in plain.items():
         v = fast[key]
         assert np.allclose([r.level_mean, r.level_deviation, r.crossings_mean, r.crossings_deviation], [v[0], v[1], v[6], v[7]], atol=2e-4)
+
+
+def plain_silhouette(x, labels):
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    scores = []
+    for i, own in enumerate(labels):
+        mean = {c: d[i][[j for j, l in enumerate(labels) if l == c and j != i]] for c in set(labels)}
+        a = mean[own].mean() if len(mean[own]) else 0.0
+        b = min((v.mean() for c, v in mean.items() if c != own), default=None)
+        if b is not None:
+            scores.append((b - a) / max(a, b, 1e-6))
+    return sum(scores) / len(scores) if scores else -1.0
+
+
+@pytest.mark.parametrize(("block", "strip", "reach"), [(512, 16, 32), (4, 3, 5), (1, 1, 1), (5, 2, 100)])
+def test_silhouettes_equal_brute_force_and_leave_sums_only(spark, monkeypatch, block, strip, reach):
+    """Media of several strips, equal rows, a cluster of one row, one cluster only, a k that one media lacks."""
+    for name, value in (("BLOCK", block), ("STRIP", strip), ("REACH", reach), ("WIDE", 7)):
+        monkeypatch.setattr(sp, name, value)
+    rng, rows, labels, plain = np.random.default_rng(5), [], [], {}
+    for m, n in ((1, 40), (2, 7), (3, 12), (4, 3)):
+        x = rng.normal(size=(n, 4)) + np.arange(n)[:, None] % 3
+        x[n // 2 :] = x[0] if m == 3 else x[n // 2 :]
+        x = np.zeros((n, 4)) if m == 4 else x
+        rows += [(m, 10 * i, [float(v) for v in r]) for i, r in enumerate(x)]
+        for k in (2, 3, 5) if m != 2 else (2, 3):
+            label = [min(i % k, n - 1) if i else k - 1 for i in range(n)] if (m, k) != (2, 3) else [0] * n
+            labels += [(m, k, 10 * i, c) for i, c in enumerate(label)]
+            plain[m, k] = plain_silhouette(x, label)
+    rows, labels = spark.createDataFrame(rows, "media_id bigint, idx bigint, vec array<double>"), spark.createDataFrame(labels, "media_id bigint, k int, idx bigint, label int")
+    got = {(r.media_id, r.k): r.silhouette for r in sp.silhouettes(rows, labels, 4).collect()}
+    assert set(got) == set(plain) and all(abs(got[k] - plain[k]) < 1e-9 for k in plain)
+    blocks = -(-40 // block)
+    strips, turns = -(-blocks // strip), -(-blocks // reach)
+    assert sp._distance_sums(rows, labels, 4, 8).filter("media_id = 1").count() <= 40 * 3 * (strips + turns)
