@@ -166,3 +166,30 @@ def test_grid_rows_in_the_plan(spark):
     assert found.count() == 401
     i = a.withColumn("_l", iv.grid_level(F.col("ls"), F.col("le"))).select(F.explode(iv.cells(F.col("ls"), F.col("le"), F.col("_l"))))
     assert i.count() <= 2 * 201
+
+
+def test_slices_are_planned_without_samples(spark, monkeypatch):
+    """Samples are neither broadcast nor gathered, whatever Spark takes their size to be, and features hold a bounded number at once."""
+    import re
+
+    import numpy as np
+
+    from cuesheet.operators import audio
+
+    waves = {(m, f): np.sin(np.arange(4000) * (0.1 + 0.05 * m) + f).astype("float32") for m in (1, 2) for f in (0, 4000, 8000)}
+    pcm = spark.createDataFrame([(m, f, w.tolist()) for (m, f), w in waves.items()], "media_id bigint, first_sample bigint, samples array<float>")
+    want = spark.createDataFrame([(m, i, i * 500, i * 500 + 1500) for m in (1, 2) for i in range(9)], "media_id bigint, idx bigint, start_ms bigint, end_ms bigint")
+    whole = audio.slice_segments(want, pcm, 2000)
+    assert re.search(r"SortMergeJoin \[media_id#\d+L?, first_sample#", whole._jdf.queryExecution().executedPlan().toString())
+    cuts = audio.plan_slices(want, pcm.select("media_id", "first_sample", F.size("samples").alias("n")), 2000)
+    read = audio.read_slices(cuts.withColumn("cuts", F.transform("cuts", lambda c: c.withField("m", F.col("media_id")))), lambda c: waves[c["m"], c["first_sample"]][c["skip"] : c["skip"] + c["length"]])
+    rows = lambda df: sorted((r.media_id, r.idx, r[2]) for r in df.collect())
+    assert rows(read) == rows(whole) and len(rows(whole)) == 18
+    for m, i, samples in rows(whole):
+        lo, hi = max(0, (i * 500 + 40) * 2), min(12_000, (i * 500 + 1460) * 2)
+        assert samples == np.concatenate([waves[m, f] for f in (0, 4000, 8000)])[lo:hi].tolist()
+    every = rows(audio.audio_features(whole, 2000))
+    assert every
+    monkeypatch.setattr(audio, "SAMPLES_AT_ONCE", 3000)
+    few = rows(audio.audio_features(whole, 2000))
+    assert [r[:2] for r in few] == [r[:2] for r in every] and np.allclose([r[2] for r in few], [r[2] for r in every], atol=1e-5)
