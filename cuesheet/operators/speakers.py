@@ -242,17 +242,17 @@ def _measure(df: DataFrame, columns: dict[str, str], dims: int, how: str) -> Dat
 
 
 def initial_centres(rows: DataFrame, k: int, dims: int) -> DataFrame:
-    """Farthest-first starts per media: (media_id, c = flat array of k centres).
+    """Farthest-first starts per media: (media_id, c = flat array of k centres, n, ids = the rows that they are).
 
-    Each round adds, for all media at once, the row farthest from its nearest centre.  Only
+    Each round adds, for all media at once, the row farthest from its nearest centre, of equally far ones that of the smallest idx.  Only
     centres are carried between rounds, as written tables.
     """
-    first = rows.groupBy("media_id").agg(F.min_by("vec", "idx").alias("c"), F.count(F.lit(1)).alias("n"))
+    first = rows.groupBy("media_id").agg(F.min_by("vec", "idx").alias("c"), F.count(F.lit(1)).alias("n"), F.array(F.min("idx")).alias("ids"))
     centres = materialise(first)
     for _ in range(k - 1):
         far = _measure(rows.join(centres.select("media_id", "c"), "media_id"), {"c": "d"}, dims, "min")
-        new = far.groupBy("media_id").agg(F.max_by("vec", F.struct("d", -F.col("idx"))).alias("v"))
-        centres = materialise(centres.join(new, "media_id").select("media_id", F.concat("c", "v").alias("c"), "n"))
+        new = far.groupBy("media_id").agg(F.max_by(F.struct("vec", "idx"), F.struct("d", -F.col("idx"))).alias("v"))
+        centres = materialise(centres.join(new, "media_id").select("media_id", F.concat("c", "v.vec").alias("c"), "n", F.concat("ids", F.array("v.idx")).alias("ids")))
     return centres
 
 

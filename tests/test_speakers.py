@@ -145,3 +145,17 @@ def test_silhouettes_equal_brute_force_and_leave_sums_only(spark, monkeypatch, b
     blocks = -(-40 // block)
     strips, turns = -(-blocks // strip), -(-blocks // reach)
     assert sp._distance_sums(rows, labels, 4, 8).filter("media_id = 1").count() <= 40 * 3 * (strips + turns)
+
+
+def test_starts_name_one_row_of_equal_ones(spark, tmp_path):
+    """Every vector three times: a start is the copy with the smallest idx, as in SQL."""
+    import duckdb
+
+    from cuesheet.queries.speakers import query
+
+    con, source = duckdb.connect(), "/root/testdata/sf0.001/embeddings.parquet"
+    con.execute(f"COPY (SELECT vec_id + 100000 * k AS vec_id, embedding, label FROM '{source}', range(3) r(k)) TO '{tmp_path}/embeddings.parquet'")
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    want = con.execute(f"SELECT media_id, place, idx FROM ({query.oracles['farthest_first']})").fetchall()
+    got = query.queries["farthest_first"](spark, str(tmp_path)).select("media_id", "place", "idx").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
