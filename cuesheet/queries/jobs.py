@@ -220,12 +220,13 @@ def put_segments(spark, sf_dir):
 # ---- streams -----------------------------------------------------------------
 
 
-def _stream(df, parts: int = 4):
-    """Write ``df`` as a small table and open it as a stream, one file per batch."""
+def _stream(df, parts: int | None = None):
+    """Write ``df`` as a table of as many files as a shuffle has partitions and open it as a stream of two batches."""
     spark = df.sparkSession
+    parts = parts or max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
     path = f"{shared_dir(spark)}/cuesheet/in_{uuid.uuid4().hex}"
     df.repartition(parts).write.parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", (parts + 1) // 2).parquet(path)
 
 
 def _drain(spark, df, mode="append"):

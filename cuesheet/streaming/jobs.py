@@ -16,6 +16,7 @@ from cuesheet.streaming.scanner import SCANNER_SCHEMA, Scanner
 
 
 IN_MEMORY = 10_000  # early rows of one key held in memory before they move to the state store
+PAGE = 256  # numbers whose early rows share an entry of the state store
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -27,6 +28,8 @@ def use_rocksdb(spark: SparkSession) -> None:
 class InOrder(StatefulProcessor):
     """Hands rows of a key on in ``seq`` order 1, 2, ...; later rows wait in a map for the gap to fill.
 
+    Every access to state goes through a socket, so rows wait by the page (``PAGE`` numbers): a page has as many parts as times rows of
+    it were put away, and is taken back as a whole when its turn comes.  State is read only for keys that have some.
     Rows that were already handed on (a replay from the source) are ignored.  A key ends when ``take`` sets ``ended``, or, with
     ``idle_ms``, when a timer finds that no row has come for that long; then ``last_rows`` gives what is
     confirmed by then, rows still waiting behind a gap are given up, and all state of the key is cleared but for an end mark.  The mark
@@ -44,8 +47,9 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "seq bigint", self.fields)
-        self.place = handle.getValueState("place", "next bigint, held bigint")
+        self.names = [f.split()[0] for f in self.fields.split(",")]
+        self.waiting = handle.getMapState("waiting", "page bigint, part bigint", "rows string")
+        self.place = handle.getValueState("place", "next bigint, parts string")
         self.mark = handle.getValueState("mark", "next bigint", self.mark_ms)
         self.open_state(handle)
 
@@ -56,7 +60,7 @@ class InOrder(StatefulProcessor):
         raise NotImplementedError
 
     def begin(self) -> None:
-        """Load state once per batch."""
+        """Load state once per batch; ``known`` says that an earlier batch left some."""
 
     def finish(self) -> None:
         """Store state once per batch."""
@@ -71,48 +75,50 @@ class InOrder(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         if self.mark.exists():
             return
-        turn, held = self.place.get() if self.place.exists() else (1, 0)
-        names = [f.split()[0] for f in self.fields.split(",")]
-        fresh: dict[int, tuple] = {}
+        turn, parts = self._open()
+        fresh: dict[int, Row] = {}
         self.ended = False
-        self.begin()
         for row in rows:
-            if row.seq < turn or self.ended:
+            if self.ended or row.seq < turn:
                 continue
-            fresh[row.seq] = tuple(row[c] for c in names)
+            fresh[row.seq] = row
             while not self.ended:
                 if turn in fresh:
-                    ready = fresh.pop(turn)
-                elif held and self.waiting.containsKey((turn,)):
-                    ready = self.waiting.getValue((turn,))
-                    self.waiting.removeKey((turn,))
-                    held -= 1
+                    yield from self.take(key, fresh.pop(turn))
+                    turn += 1
+                elif turn // PAGE in parts:
+                    self._fetch(turn, parts, fresh)
                 else:
                     break
-                yield from self.take(key, Row(*names)(*ready))
-                turn += 1
-            if len(fresh) > IN_MEMORY:
-                held += self._hold(fresh)
+            if len(fresh) > IN_MEMORY + PAGE:
+                self._hold(fresh, parts)
         if self.ended:
             self._end(turn)
             return
-        held += self._hold(fresh)
-        self.place.update((turn, held))
+        self._hold(fresh, parts)
+        self.place.update((turn, json.dumps(list(parts.items()))))
         self.finish()
         if self.idle_ms is not None:
             self._stop_timers()
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        turn, _ = self.place.get() if self.place.exists() else (1, 0)
-        self.begin()
+        turn, _ = self._open()
         yield from self.last_rows(key)
         self._end(turn)
 
+    def _open(self) -> tuple[int, dict[int, int]]:
+        """The next number, and how many parts of which pages wait."""
+        place = self.place.get()
+        self.known = self.stored = place is not None
+        self.begin()
+        return (place[0], dict(json.loads(place[1]))) if place else (1, {})
+
     def _end(self, turn: int) -> None:
-        self.waiting.clear()
-        self.place.clear()
-        self.forget()
+        if self.stored:
+            self.waiting.clear()
+            self.place.clear()
+            self.forget()
         self.mark.update((turn,))
         if self.idle_ms is not None:
             self._stop_timers()
@@ -121,14 +127,26 @@ class InOrder(StatefulProcessor):
         for at in list(self.handle.listTimers()):
             self.handle.deleteTimer(at)
 
-    def _hold(self, fresh: dict) -> int:
-        """Move rows that came too early to the state store; how many were new there."""
-        new = 0
+    def _hold(self, fresh: dict[int, Row], parts: dict[int, int]) -> None:
+        """Move rows that came too early to the state store."""
+        pages: dict[int, list] = {}
         for seq, row in fresh.items():
-            new += not self.waiting.containsKey((seq,))
-            self.waiting.updateValue((seq,), row)
+            pages.setdefault(seq // PAGE, []).append([seq, *[row[c] for c in self.names]])
+        for page, rows in pages.items():
+            part = parts.get(page, 0)
+            self.waiting.updateValue((page, part), (json.dumps(rows),))
+            parts[page] = part + 1
+        self.stored |= bool(pages)
         fresh.clear()
-        return new
+
+    def _fetch(self, turn: int, parts: dict[int, int], fresh: dict[int, Row]) -> None:
+        """Take the page of ``turn`` back; of rows with one number the latest counts."""
+        page, make = turn // PAGE, Row(*self.names)
+        for part in reversed(range(parts.pop(page))):
+            for seq, *values in json.loads(self.waiting.getValue((page, part))[0]):
+                if seq >= turn:
+                    fresh.setdefault(seq, make(*values))
+            self.waiting.removeKey((page, part))
 
     def close(self) -> None:
         pass
@@ -144,8 +162,8 @@ class TranscriptProcessor(InOrder):
         self.count = handle.getValueState("count", "n bigint")
 
     def begin(self):
-        self.scanner = Scanner(*self.scan.get()) if self.scan.exists() else Scanner()
-        self.done = self.count.get()[0] if self.count.exists() else 0
+        self.scanner = Scanner(*self.scan.get()) if self.known else Scanner()
+        self.done = self.count.get()[0] if self.known else 0
 
     def take(self, key, row):
         found = self.scanner.feed(row.chunk or "")
@@ -182,7 +200,8 @@ class PhraseProcessor(InOrder):
         self.totals = handle.getMapState("totals", "phrase string", "n bigint")
 
     def begin(self):
-        self.phrase, self.run = self.last.get() if self.last.exists() else ("", 0)
+        self.phrase, self.run = self.last.get() if self.known else ("", 0)
+        self.seen, self.changed = {}, set()
 
     def take(self, key, row):
         keep = True
@@ -193,13 +212,29 @@ class PhraseProcessor(InOrder):
         else:
             self.run = self.run + 1 if row.phrase == self.phrase else 1
             self.phrase = row.phrase
-            total = (self.totals.getValue((row.phrase,))[0] if self.totals.containsKey((row.phrase,)) else 0) + 1
-            self.totals.updateValue((row.phrase,), (total,))
+            total = self._total(row.phrase) + 1
+            self.seen[row.phrase] = total
+            self.changed.add(row.phrase)
             keep = self.run <= self.max_run and total <= self.max_total
+            if len(self.seen) > IN_MEMORY:
+                self._put_totals()
         if keep:
             yield Row(media_id=key[0], idx=row.idx, text=row.text)
 
+    def _total(self, phrase):
+        if phrase in self.seen:
+            return self.seen[phrase]
+        return self.totals.getValue((phrase,))[0] if self.stored and self.totals.containsKey((phrase,)) else 0
+
+    def _put_totals(self):
+        for phrase in self.changed:
+            self.totals.updateValue((phrase,), (self.seen[phrase],))
+        self.stored |= bool(self.changed)
+        self.seen.clear()
+        self.changed.clear()
+
     def finish(self):
+        self._put_totals()
         self.last.update((self.phrase, self.run))
 
     def forget(self):
@@ -210,7 +245,7 @@ class PhraseProcessor(InOrder):
 class DeltaProcessor(InOrder):
     """Server-sent lines -> one row per stream at its end: text and the last usage figures.
 
-    Pieces go to a list state, so a growing text is never rewritten.
+    The pieces of a batch go to a list state together, so a growing text is never rewritten.
     """
 
     fields = "line string"
@@ -220,7 +255,8 @@ class DeltaProcessor(InOrder):
         self.usage = handle.getValueState("usage", "prompt bigint, completion bigint")
 
     def begin(self):
-        self.prompt, self.completion = self.usage.get() if self.usage.exists() else (None, None)
+        self.prompt, self.completion = self.usage.get() if self.known else (None, None)
+        self.new: list[str] = []
 
     def take(self, key, row):
         line = (row.line or "").strip()
@@ -244,10 +280,17 @@ class DeltaProcessor(InOrder):
         for choice in choices if isinstance(choices, list) else []:
             piece = _fields(_fields(choice).get("delta")).get("content")
             if piece and isinstance(piece, str):
-                self.pieces.appendValue((piece,))
+                self.new.append(piece)
+                if len(self.new) > IN_MEMORY:
+                    self._put_pieces()
+
+    def _put_pieces(self):
+        if self.new:
+            self.pieces.appendValue(("".join(self.new),))
+            self.stored, self.new = True, []
 
     def _whole_row(self, key):
-        text = "".join(p[0] for p in self.pieces.get())
+        text = "".join([*(p[0] for p in self.pieces.get()), *self.new] if self.stored else self.new)
         return Row(stream_id=key[0], text=text, prompt_tokens=self.prompt, completion_tokens=self.completion)
 
     def last_rows(self, key):
@@ -255,6 +298,7 @@ class DeltaProcessor(InOrder):
         yield self._whole_row(key)
 
     def finish(self):
+        self._put_pieces()
         self.usage.update((self.prompt, self.completion))
 
     def forget(self):
@@ -280,7 +324,7 @@ class TokenProcessor(InOrder):
         self.sum = handle.getValueState("sum", "n bigint, prompt boolean")
 
     def begin(self):
-        self.n, self.prompt = self.sum.get() if self.sum.exists() else (0, False)
+        self.n, self.prompt = self.sum.get() if self.known else (0, False)
 
     def take(self, key, row):
         if not self.prompt:
@@ -306,7 +350,8 @@ class ThrottleProcessor(InOrder):
         self.saved = handle.getValueState("saved", "at bigint")
 
     def begin(self):
-        self.at = self.saved.get()[0] if self.saved.exists() else None
+        saved = self.saved.get() if self.known else None
+        self.at = saved[0] if saved else None
 
     def take(self, key, row):
         keep = not row.live or self.at is None or row.at_ms - self.at >= self.every_ms
@@ -339,7 +384,8 @@ class CancelProcessor(StatefulProcessor):
         self.early = handle.getListState("early", "at bigint, event string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        known = self.cancelled.get()[0] if self.cancelled.exists() else None
+        found = self.cancelled.get()
+        known = found[0] if found else None
         at, events, stored = known, [], False
         for row in rows:
             if row.event is None:

@@ -141,3 +141,20 @@ def test_many_events_of_one_job_wait_in_the_store(spark, tmp_path, monkeypatch):
     df = st.until_cancelled(spark.readStream.schema("job_id string, at_ms bigint").parquet(f"{folder}/events"), spark.readStream.schema("job_id string, cancel_ms bigint").parquet(f"{folder}/cancels"))
     assert sorted(r.at_ms for r in st.run_once(df, f"{folder}/out", f"{folder}/check").collect()) == list(range(120))
     assert held(spark, f"{folder}/check", "early", "list") == 0
+
+
+def test_early_rows_wait_by_the_page(spark, tmp_path, monkeypatch):
+    """A key whose first rows come last: few entries in the store, which come back once each, also where rows are put away several times a batch."""
+    monkeypatch.setattr(st, "IN_MEMORY", 50)
+    puts = [("a", k, k) for k in range(900, 2, -1)]
+    schema = "stream_id string, seq bigint, tokens bigint"
+    folder = f"file://{tmp_path}"
+    assert fed(spark, folder, [puts], schema, st.count_tokens_stream) == [[]]
+    assert 4 <= held(spark, f"{folder}/check", "waiting", "map") <= 12
+    out = fed(spark, folder, [[("a", 2, 7), ("a", 700, -1)], [("a", 1, 0)], [("a", 901, 5), ("a", 3, 9)]], schema, st.count_tokens_stream)
+    want, total = [], 0
+    for k in range(2, 901):
+        total += 7 if k == 2 else -1 if k == 700 else k  # of rows with one number, the latest that waits
+        want.append(("a", total))
+    assert out[0] == [] and out[1] == sorted(want) and out[2] == sorted([*want, ("a", total + 5)])
+    assert held(spark, f"{folder}/check", "waiting", "map") == 0
