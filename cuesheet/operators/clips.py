@@ -146,45 +146,96 @@ def candidate_windows(
 ) -> tuple[DataFrame, Ordered]:
     """All scored windows i..j: (media_id, block, i, j, start_ms, end_ms, score, ...), and the segments.
 
-    Rows pair up only inside one gap island and one time bucket of ``max_ms`` (the later
-    row goes to its own bucket and the one before), never across a whole media.
+    Rows pair up only inside one gap island and one time bucket of ``max_ms`` (each row also lies, as a later
+    row only, in the bucket before its own), never across a whole media.  A bucket streams through its task in order; only its rows
+    are sorted and held, never its windows.
     """
     o = _features(df, gap_ms)
-    s = o.df
-    left = s.select(
-        "media_id", "island", "block", F.floor(F.col("start_ms") / max_ms).alias("b"), F.col(POS).alias("i"), F.col("start_ms").alias("s"),
-        (F.col("chars") - F.col("n_text")).alias("c0"), (F.col("low_chars") - F.col("n_low") + 1).alias("l0"), F.col("pauses").alias("p0"),
-        (F.col("questions") - F.col("own_q")).alias("q0"), (F.col("puncts") - F.col("own_p")).alias("u0"),
-    )
     b = F.floor(F.col("start_ms") / max_ms)
-    right = s.select(
-        F.col("media_id").alias("_m"), F.col("island").alias("_i"), F.explode(F.array(b, b - 1)).alias("_b"), F.col(POS).alias("j"),
-        F.col("start_ms").alias("sj"), F.col("end_ms").alias("e"), F.col("chars").alias("c1"), F.col("pauses").alias("p1"),
-        F.col("questions").alias("q1"), F.col("puncts").alias("u1"), "hook_bits", "crossing", "endings", "complete",
-    )
-    pairs = left.join(
-        right,
-        (F.col("media_id") == F.col("_m")) & (F.col("island") == F.col("_i")) & (F.col("b") == F.col("_b"))
-        & (F.col("j") >= F.col("i")) & (F.col("sj") <= F.col("s") + max_ms),
-    )
-    # The walk stops at the first row that ends too late, so every row up to j must end in time.
-    upto = Window.partitionBy("media_id", "island", "b", "i").orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
-    crossed = F.aggregate(
-        F.filter("crossing", lambda h: h["at"] >= F.col("l0")), F.lit(0).cast("bigint"), lambda acc, h: acc.bitwiseOR(h["bit"])
-    )
-    bits = F.col("hook_bits").bitwiseOR(F.when(F.size("crossing") > 0, crossed).otherwise(F.lit(0).cast("bigint")))
-    pairs = pairs.withColumn("_latest", F.max("e").over(upto)).withColumn("_bits", F.bit_or(bits).over(upto))
-    pairs = pairs.filter((F.col("_latest") <= F.col("s") + max_ms) & (F.col("e") - F.col("s") >= min_ms))
-    pairs = pairs.select(
-        "media_id", "block", "i", "j", F.col("s").alias("from_ms"), F.col("e").alias("to_ms"),
-        (F.col("c1") - F.col("c0")).alias("chars"), (F.col("q1") - F.col("q0")).alias("questions"), (F.col("u1") - F.col("u0")).alias("puncts"),
-        (F.col("p1") - F.col("p0")).alias("pauses"), F.bit_count("_bits").alias("hooks"), "endings", "complete",
+    rows = o.df.filter(F.col("media_id").isNotNull()).select(
+        "media_id", "island", "block", F.explode(F.array(F.struct(b.alias("b"), F.lit(True).alias("own")), F.struct((b - 1).alias("b"), F.lit(False).alias("own")))).alias("_t"),
+        F.col(POS).alias("pos"), "start_ms", "end_ms", (F.col("chars") - F.col("n_text")).alias("c0"), (F.col("low_chars") - F.col("n_low") + 1).alias("l0"),
+        (F.col("questions") - F.col("own_q")).alias("q0"), (F.col("puncts") - F.col("own_p")).alias("u0"), "chars", "pauses", "questions", "puncts",
+        "hook_bits", F.col("crossing.bit").alias("cross_bits"), F.col("crossing.at").alias("cross_at"), F.col("endings").cast("int").alias("endings"), "complete",
     )
+    rows = rows.select("*", "_t.b", "_t.own").drop("_t")
+    rows = rows.repartition("media_id", "island", "b").sortWithinPartitions("media_id", "island", "b", "pos")
+    whole = "block bigint, i bigint, j bigint, from_ms bigint, to_ms bigint, chars bigint, questions bigint, puncts bigint, pauses bigint, bits bigint, endings int, complete boolean"
+    key = o.df.schema["media_id"].dataType.simpleString()
+    pairs = rows.mapInArrow(_windows(min_ms, max_ms), f"media_id {key}, {whole}").withColumn("bits", F.bit_count("bits")).withColumnRenamed("bits", "hooks")
     return pairs.withColumn("score", window_score(target_ms)).withColumn("start_ms", tm.centiseconds(F.col("from_ms")) * 10).withColumn(
         "end_ms", tm.centiseconds(F.col("to_ms")) * 10
     ), o
 
 
+def _windows(min_ms, max_ms):
+    """mapInArrow body: the windows of rows sorted by media, island, bucket and position."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def changes(t):
+            """Where a bucket begins, but for the first."""
+            differs = [pc.not_equal(t.column(c)[1:], t.column(c)[:-1]).to_numpy(zero_copy_only=False) for c in ("media_id", "island", "b")]
+            return np.flatnonzero(np.logical_or.reduce(differs)) + 1
+
+        def windows(t):
+            """Window by window length, all starts at once: a start goes on until a row ends too late or begins too late."""
+            n = t.num_rows
+            v = {c: t.column(c).to_numpy(zero_copy_only=False) for c in t.schema.names if c not in ("media_id", "cross_bits", "cross_at")}
+            ends = np.append(changes(t), n)
+            end = ends[np.searchsorted(ends, np.arange(n), "right")]
+            crossings = t.column("cross_bits").value_lengths().to_numpy(zero_copy_only=False)
+            first = np.cumsum(crossings) - crossings
+            bit, at = (t.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("cross_bits", "cross_at"))
+            i = np.flatnonzero(v["own"])
+            latest, bits, j = v["end_ms"][i], np.zeros(len(i), np.int64), i
+            while len(i):
+                latest, bits = np.maximum(latest, v["end_ms"][j]), bits | v["hook_bits"][j]
+                for k in range(crossings[j].max()):
+                    some = np.flatnonzero(crossings[j] > k)
+                    spot = first[j[some]] + k
+                    bits[some] |= np.where(at[spot] >= v["l0"][i[some]], bit[spot], 0)
+                go = latest <= v["start_ms"][i] + max_ms
+                i, j, latest, bits = i[go], j[go], latest[go], bits[go]
+                hit = v["end_ms"][j] - v["start_ms"][i] >= min_ms
+                a, z = i[hit], j[hit]
+                if len(a):
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            t.column("media_id").take(pa.array(a)),
+                            *map(pa.array, (
+                                v["block"][a], v["pos"][a], v["pos"][z], v["start_ms"][a], v["end_ms"][z], v["chars"][z] - v["c0"][a], v["questions"][z] - v["q0"][a],
+                                v["puncts"][z] - v["u0"][a], v["pauses"][z] - v["pauses"][a], bits[hit], v["endings"][z], v["complete"][z],
+                            )),
+                        ],
+                        names=["media_id", "block", "i", "j", "from_ms", "to_ms", "chars", "questions", "puncts", "pauses", "bits", "endings", "complete"],
+                    )
+                j = j + 1
+                go = j < end[i]
+                go[go] = v["start_ms"][j[go]] <= v["start_ms"][i[go]] + max_ms
+                i, j, latest, bits = i[go], j[go], latest[go], bits[go]
+
+        held = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # The last bucket of what has come may go on.
+            held.append(batch)
+            t = pa.concat_batches(held) if len(held) > 1 else batch
+            starts = changes(t)
+            cut = int(starts[-1]) if len(starts) else 0
+            if cut:
+                yield from windows(t.slice(0, cut))
+            held = [t.slice(cut)]
+        if held:
+            yield from windows(pa.concat_batches(held))
+
+    return run
+
+
 def window_score(target_ms: int) -> Column:
     """Score of a window from its counts; one formula, rounded to two decimals."""
     num = lambda c: F.col(c).cast("double")

@@ -193,3 +193,20 @@ def test_slices_are_planned_without_samples(spark, monkeypatch):
     monkeypatch.setattr(audio, "SAMPLES_AT_ONCE", 3000)
     few = rows(audio.audio_features(whole, 2000))
     assert [r[:2] for r in few] == [r[:2] for r in every] and np.allclose([r[2] for r in few], [r[2] for r in every], atol=1e-5)
+
+
+def test_windows_stream_by_bucket(spark):
+    """Rows are sorted, windows never; buckets that span several Arrow batches give the same windows."""
+    rows = [(m, i, 900 * i + 70 * m, 900 * i + 70 * m + 1500, "S01", f"why {i}. but wait" if i % 3 else "no") for m in (1, 2) for i in range(150)]
+    rows += [(3, i, 400_000 * i, 400_000 * i + 60_000, "S01", "alone") for i in range(40)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    cands, _ = cl.candidate_windows(df, min_ms=20_000)
+    plan = cands._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
+    want = sorted(map(tuple, cands.collect()))
+    assert {r[0] for r in want} == {1, 2, 3} and len([r for r in want if r[0] == 3]) == 40
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        assert sorted(map(tuple, cl.candidate_windows(df, min_ms=20_000)[0].collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
