@@ -9,6 +9,7 @@ from cuesheet.operators import clips as cl
 from cuesheet.plans import derived
 from cuesheet.queries.registry import Registry
 from cuesheet.queries.sql import SEG, WS, ascii_gap, half_even_cs, pad, strip
+from cuesheet.session import materialise
 
 query = Registry()
 
@@ -104,7 +105,7 @@ SELECT media_id, id, start_ms, end_ms, place, greatest(0.0::DOUBLE, least(100.0:
 FROM hit WHERE place <= 24""")
 def clip_ranking(spark, sf_dir):
     clips = cl.clip_candidates(derived.conversation_segments(spark, sf_dir))
-    cands = clips.select("media_id", "id", "rank", "start_ms", "end_ms", "score", "title", "reason", "selection_method")
+    cands = materialise(clips.select("media_id", "id", "rank", "start_ms", "end_ms", "score", "title", "reason", "selection_method"))
     picks = cands.filter("rank % 3 = 1").selectExpr(
         "media_id", "1000 - rank pick_no", "id", "double((rank * 37) % 130) score", "if(rank % 2 = 0, concat('picked ', id), '') title", "'' reason"
     )
@@ -120,7 +121,7 @@ def clip_ranking(spark, sf_dir):
 SELECT media_id, candidates, coalesce(picks, 0) AS picks, least(coalesce(valid, 0), 24) AS valid, CASE WHEN coalesce(valid, 0) = 0 THEN 'no pick names a candidate' END AS error FROM known LEFT JOIN given USING (media_id)""")
 def clip_ranking_outcomes(spark, sf_dir):
     """Media whose picks name other clips, some twice, or that have no picks."""
-    cands = cl.clip_candidates(derived.conversation_segments(spark, sf_dir)).select("media_id", "id", "rank")
+    cands = materialise(cl.clip_candidates(derived.conversation_segments(spark, sf_dir)).select("media_id", "id", "rank"))
     some = cands.filter("media_id % 4 <> 0 and rank % 2 = 1").selectExpr("media_id", "if(media_id % 4 = 1, concat('clip_9', right(id, 2)), id) id")
     return cl.ranking_outcomes(cands, some.unionByName(cands.filter("media_id % 4 = 2").select("media_id", "id")), limit=24)
 

@@ -210,3 +210,11 @@ def test_windows_stream_by_bucket(spark):
         assert sorted(map(tuple, cl.candidate_windows(df, min_ms=20_000)[0].collect())) == want
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_rankings_read_candidates_written_once(spark):
+    """The picks and the counts read a table; neither computes the candidates again."""
+    from cuesheet.queries.clips import query
+
+    plan = query.queries["clip_ranking_outcomes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "InArrow" not in plan and "MapIn" not in plan
