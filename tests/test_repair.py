@@ -135,3 +135,28 @@ def test_report_lists_rows_and_files(spark):
     assert [(s["index"], s["reason"], s["start"]) for s in out["pretranslation_skips"]] == [(0, "bracketed_effect", 1.0), (2, "bracketed_effect", 3.0), (4, "bracketed_effect", 5.0)]
     assert [i["type"] for i in out["validation_issues"]] == ["count_mismatch", "model_artifact", "empty_translation"]
     assert out["validation_issues"][0]["expected"] == 7 and out["files"] == {"ass": "a/b.ass", "srt": "a/b.srt"}
+
+
+def test_later_generations_read_neither_segments_nor_units(spark):
+    """What a request sends and how its halves are cut stands in its own row."""
+    _, parts, units = planned(spark, {1: 14, 2: 5})
+    first = rq.first_requests(units)
+    children = rq.next_requests(rq.judge(first, table(spark, {(2, "0"): "no"})))
+    plan = children.select("request", rq.payload())._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1  # the replies
+    assert {r.request for r in children.filter("media_id = 2").collect()} >= {"0/0", "0/1"}
+
+
+@pytest.mark.parametrize("limit", [None, 4])
+def test_context_over_several_batches(spark, limit):
+    """Batches smaller than the context, in one group and in chunks of a hot one."""
+    rows = [(m, i, i * 1000, i * 1000 + 900, "S01", f"m{m} t{i}.") for m, n in {1: 9, 2: 3}.items() for i in range(1, n + 1)]
+    o = arrange(spark.createDataFrame(rows, SCHEMA).withColumn("id", F.format_string("seg_%04d", "idx")), limit=limit)
+    parts, units = tn.plan(o, batch_size=1)
+    assert units.chunked == (limit is not None)
+    log, _ = rq.repair_rounds(parts, units, table(spark, {(1, "0"): '["a"]'}), context=3)
+    for r in log.filter("generation = 0").collect():
+        n, body = {1: 9, 2: 3}[r.media_id], json.loads(r.payload)
+        assert (r.context_lo, r.context_hi) == (max(0, r.lo - 3), min(n, r.hi + 3))
+        said = [x["text"] for part in ("context_before", "items", "context_after") for x in body[part]]
+        assert said == [f"m{r.media_id} t{i + 1}." for i in range(r.context_lo, r.context_hi)]
