@@ -17,9 +17,21 @@ BATCH = 18
 CONTEXT = 2
 
 
+REASON = "_reason"
+
+
+def with_skip_reasons(o: Ordered) -> Ordered:
+    """The reasons as a column, for flows that ask for them several times and write the rows before."""
+    return o.with_columns({REASON: tl.skip_reason(F.col("text"))})
+
+
+def _reason(o: Ordered) -> Column:
+    return F.col(REASON) if REASON in o.df.columns else tl.skip_reason(F.col("text"))
+
+
 def collect_skips(o: Ordered) -> DataFrame:
     """Rows left out before translation, with the reason."""
-    df = o.df.withColumn("reason", tl.skip_reason(F.col("text"))).filter(F.col("reason").isNotNull())
+    df = o.df.withColumn("reason", _reason(o)).filter(F.col("reason").isNotNull())
     return df.select(
         "media_id", (F.col(POS) + 1).alias("idx"), "id", "start_ms", "end_ms", F.lit("pretranslation_skip").alias("type"), "reason",
         F.substring("text", 1, 240).alias("text"),
@@ -28,7 +40,7 @@ def collect_skips(o: Ordered) -> DataFrame:
 
 def without_skips(o: Ordered) -> Ordered:
     """The rows to translate, renumbered; ``idx`` still names the source row."""
-    return arrange(o.df.withColumn("idx", F.col(POS) + 1).filter(tl.skip_reason(F.col("text")).isNull()), o.keys, ("idx",), like=o)
+    return arrange(o.df.withColumn("idx", F.col(POS) + 1).filter(_reason(o).isNull()).drop(REASON), o.keys, ("idx",), like=o)
 
 
 def _unit_step(max_parts: int, max_chars: int):
@@ -209,7 +221,11 @@ def split_failed(batches: DataFrame, failed: DataFrame, units: Ordered) -> tuple
 
 def apply_translations(o: Ordered, translations: DataFrame, mode: str = "replace") -> DataFrame:
     """translations (media_id, idx, translation) onto segments; missing or unusable ones keep the source."""
-    df = o.df.withColumn("idx", F.col(POS) + 1).join(translations.select("media_id", "idx", "translation"), ["media_id", "idx"], "left")
+    return translated(o.df.withColumn("idx", F.col(POS) + 1).join(translations.select("media_id", "idx", "translation"), ["media_id", "idx"], "left"), mode)
+
+
+def translated(df: DataFrame, mode: str = "replace") -> DataFrame:
+    """Segments beside their ``translation`` -> segments with it."""
     cleaned = tl.clean_translation(F.coalesce("translation", "text"), F.col("text"))
     cleaned = F.when(F.length(cleaned) == 0, F.col("text")).otherwise(cleaned)
     if mode == "bilingual":
@@ -229,6 +245,17 @@ def validate_translations(o: Ordered, translations: DataFrame) -> DataFrame:
         "media_id", F.lit("count_mismatch").alias("type"), nothing("bigint").alias("idx"), nothing("string").alias("id"), nothing("bigint").alias("start_ms"),
         nothing("bigint").alias("end_ms"), nothing("string").alias("source_text"), nothing("string").alias("text"), "expected", "actual",
     )
+    return _issues(both).unionByName(mismatch)
+
+
+def issues_of(every: DataFrame) -> DataFrame:
+    """The issues of segments (numbered by ``idx``) that stand beside their ``translation``: as ``validate_translations`` where none lacks it."""
+    source = every.select("media_id", "idx", "id", "start_ms", "end_ms", F.coalesce("text", F.lit("")).alias("source"), F.lit(True).alias("has"),
+                          tx.strip(F.coalesce("translation", F.lit(""))).alias("value"))
+    return _issues(source)
+
+
+def _issues(both: DataFrame) -> DataFrame:
     long = F.coalesce(F.col("has"), F.lit(False)) & tl.is_suspicious(F.col("source"), F.col("value"))
     filled = F.length("value") > 0
     kind = (
@@ -244,7 +271,7 @@ def validate_translations(o: Ordered, translations: DataFrame) -> DataFrame:
         F.when(F.col("type") != "empty_translation", F.substring("value", 1, 240)).alias("text"),
         F.when(F.col("type") == "suspicious_expansion", F.length(tx.strip(F.col("source")))).cast("bigint").alias("expected"),
         F.when(F.col("type") == "suspicious_expansion", F.length("value")).cast("bigint").alias("actual"),
-    ).unionByName(mismatch)
+    )
 
 
 # Labels shown for review items.

@@ -39,17 +39,17 @@ def translate_run(o: Ordered, model: rq.Model | DataFrame, *, mode: str = "bilin
     ``model`` as for ``repair_rounds``.  Gives ``segments``, ``requests``, ``skips``, ``issues``, ``report`` and ``report_rows``.  As in a run with
     a live model, every segment ends with a text: skipped and unanswered ones count as translated by their source.
     """
+    o = tn.with_skip_reasons(o)
     o = o.of(materialise(o.df))
-    parts, units = tn.plan(o, batch_size=batch_size)
-    parts, units = parts.of(materialise(parts.df)), units.of(materialise(units.df))
-    requests, said = rq.repair_rounds(parts, units, model, context)
-    back = parts.df.select("media_id", "idx", F.col(POS).alias("pos")).join(said, ["media_id", "pos"])
-    source = o.df.select("media_id", (F.col(POS) + 1).alias("idx"), F.coalesce("text", F.lit("")).alias("text"))
-    every = source.join(back, ["media_id", "idx"], "left").select("media_id", "idx", F.coalesce("translation", "text").alias("translation"))
-    every = materialise(every)
-    skips, issues = materialise(tn.collect_skips(o)), materialise(tn.validate_translations(o, every))
+    parts = tn.assign_units(tn.without_skips(o))
+    parts = parts.of(materialise(parts.df))
+    requests, said = rq.repair_rounds(parts, tn.assign_batches(tn.units_of(parts), batch_size), model, context)
+    back = parts.df.select("media_id", "idx", F.col(POS).alias("pos")).join(said, ["media_id", "pos"]).select("media_id", "idx", "translation")
+    every = o.with_columns({"idx": F.col(POS) + 1}).df.join(back, ["media_id", "idx"], "left")
+    every = materialise(every.withColumn("translation", F.coalesce("translation", "text", F.lit(""))))
+    skips, issues = materialise(tn.collect_skips(o)), materialise(tn.issues_of(every))
     return {
-        "segments": tn.apply_translations(o, every, mode), "requests": requests, "skips": skips, "issues": issues,
+        "segments": tn.translated(every, mode), "requests": requests, "skips": skips, "issues": issues,
         "report": tn.translation_report(o, skips, issues), "report_rows": tn.report_rows(skips, issues),
     }
 

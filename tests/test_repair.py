@@ -160,3 +160,17 @@ def test_context_over_several_batches(spark, limit):
         assert (r.context_lo, r.context_hi) == (max(0, r.lo - 3), min(n, r.hi + 3))
         said = [x["text"] for part in ("context_before", "items", "context_after") for x in body[part]]
         assert said == [f"m{r.media_id} t{i + 1}." for i in range(r.context_lo, r.context_hi)]
+
+
+def test_a_run_joins_its_texts_once(spark):
+    """Segments and issues are read from the rows that stand beside their translations."""
+    rows = [(1, i, i * 1000, i * 1000 + 900, "S01", t) for i, t in enumerate(["some words here.", "um", "other words there.", "more words to say."], 1)]
+    o = arrange(spark.createDataFrame(rows, SCHEMA).withColumn("id", F.format_string("seg_%04d", "idx")))
+    run = flows.translate_run(o, table(spark, {(1, "0"): json.dumps(["x" * 200, "```", ""])}), mode="replace")
+    for name in ("segments", "issues", "skips"):
+        assert "Join" not in run[name]._jdf.queryExecution().optimizedPlan().toString()
+    every = o.df.select("media_id", "idx").join(spark.createDataFrame([(1, "x" * 200), (2, "um"), (3, "```"), (4, "")], "idx bigint, translation string"), "idx")
+    want = tn.validate_translations(o, every)
+    assert sorted(map(repr, run["issues"].collect())) == sorted(map(repr, want.collect())) and want.count() == 3
+    assert sorted(map(repr, run["skips"].collect())) == sorted(map(repr, tn.collect_skips(o).collect()))
+    assert sorted(map(repr, run["segments"].collect())) == sorted(map(repr, tn.apply_translations(o, every).collect()))
