@@ -262,5 +262,5 @@ def transcripts_from_files(spark, sf_dir):
     """Transcripts written as one file per media and read back."""
     path = f"{shared_dir(spark)}/cuesheet/texts_{uuid.uuid4().hex}"
     fl.export_files(sb.render_transcript(derived.conversation_segments(spark, sf_dir)), path)
-    back = tr.read_transcripts(spark, f"{path}/*/*.txt")
+    back = tr.read_transcripts(spark, path)
     return back.select(F.regexp_extract("media_id", "media_id=([0-9]+)/", 1).cast("bigint").alias("media_id"), F.regexp_replace("text", r"\n\z", "").alias("text"))

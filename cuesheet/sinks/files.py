@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
+import os
+import re
 import time
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -77,9 +81,58 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def export_files(df: DataFrame, path: str, column: str = "text", *, bom: bool = False) -> None:
-    """Plain text files, one folder per media, for players: folders of other media stay.  Not for millions of media."""
-    body = F.regexp_replace(column, r"\n\z", "")  # the writer ends each row with one newline itself
-    df.select("media_id", _with_bom(body, bom).alias("value")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("media_id").text(path)
+    """Plain text files, one folder per media, for players: folders of other media stay, those of these media are replaced.
+
+    On a mounted file system the tasks write and replace the files themselves.  Elsewhere Spark's writer does, whose driver then moves folder
+    by folder; not for millions of media.
+    """
+    body = F.regexp_replace(column, r"\n\z", "")  # each row ends with one newline
+    rows = df.select("media_id", _with_bom(body, bom).alias("value"))
+    mounted = _mounted(df.sparkSession, path)
+    if mounted is None:
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("media_id").text(path)
+        return
+    apart = rows.withColumn("media_id", F.col("media_id").cast("string")).repartition("media_id").sortWithinPartitions("media_id")
+    apart.mapInArrow(_write_files(mounted), "media_id string").write.format("noop").mode("overwrite").save()
+
+
+def _mounted(spark: SparkSession, path: str) -> str | None:
+    """The folder in the file system that tasks see, of a path that names one."""
+    scheme = re.match(r"([A-Za-z][A-Za-z0-9+.-]*):", path)
+    if scheme:
+        return re.sub("^file:(//)?", "", path).rstrip("/") if scheme[1] == "file" else None
+    local = (spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:").startswith("file:")
+    return path.rstrip("/") if local and path.startswith("/") else None
+
+
+def _write_files(path: str):
+    """mapInArrow body over rows in order of media_id: ``<path>/media_id=<id>/text.txt``, named as Spark's writer names folders.
+
+    Spark's own writer starts two processes per file there (chmod of the file and of its checksum).
+    """
+
+    def folder(media):
+        named = re.sub(r"""[\x01-\x1f\x7f"#%'*/:=?\\{\[\]^]""", lambda c: f"%{ord(c[0]):02X}", media or "")
+        return f"{path}/media_id={named or '__HIVE_DEFAULT_PARTITION__'}"
+
+    def rows(batches):
+        for batch in batches:
+            yield from zip(batch.column("media_id").to_pylist(), batch.column("value").to_pylist())
+
+    def run(batches):
+        for where, own in itertools.groupby(rows(batches), lambda row: folder(row[0])):
+            os.makedirs(where, exist_ok=True)
+            part = f"{where}/.{uuid.uuid4().hex}.tmp"
+            with open(part, "wb") as f:
+                for _, value in own:
+                    f.write((value or "").encode() + b"\n")
+            os.replace(part, f"{where}/text.txt")  # a second attempt replaces the first
+            for name in os.listdir(where):
+                if name != "text.txt" and not name.endswith(".tmp"):
+                    os.unlink(f"{where}/{name}")
+        yield from ()
+
+    return run
 
 
 def write_media_set(rows: DataFrame | Ordered, path: str, style: dict | None = None, *, show_speaker: bool = False, version: int | None = None) -> None:

@@ -16,8 +16,11 @@ _WORDS, _BLANK, _OPEN, _TIME, _BAD_TIME, _SPEAKER = range(6)
 
 
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """One document per media: (media_id = file path, text)."""
-    files = spark.read.text(path, wholetext=True)
+    """One document per media: (media_id = file path, text).
+
+    Of many folders give the one above them all: tasks then list them, where a pattern is matched by the driver, folder by folder.
+    """
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("media_id"), F.col("value").alias("text"))
 
 

@@ -139,6 +139,23 @@ def test_files_round_trip(spark, tmp_path):
     assert sorted((r.media_id, r.text) for r in good.collect()) == [(1, "west"), (2, "east")] and bad.count() == 0
 
 
+def test_plain_files_are_written_and_replaced_by_tasks(spark, tmp_path):
+    """One file per media under folders as Spark names them, also over files that its writer left; no checksums, no leftovers."""
+    where = f"{tmp_path}/plain"
+    ids = ["a", "b/c=%d", "", None, "é"]
+    rows = lambda text: spark.createDataFrame([(m, f"{text} {m}") for m in ids] + [("two", "x"), ("two", None)], "media_id string, text string")
+    rows("old").selectExpr("media_id", "text value").filter("media_id <> ''").write.partitionBy("media_id").text(where)
+    spark_named = {p.name for p in (tmp_path / "plain").iterdir() if p.is_dir()}
+    fl.export_files(rows("new"), where)
+    folders = {p.name: p for p in (tmp_path / "plain").iterdir() if p.is_dir()}
+    assert spark_named < set(folders) and set(folders) - spark_named == {"media_id=__HIVE_DEFAULT_PARTITION__"}
+    assert {f.name for p in folders.values() for f in p.iterdir()} == {"text.txt"}
+    assert (folders["media_id=a"] / "text.txt").read_text() == "new a\n" and sorted((folders["media_id=two"] / "text.txt").read_text()) == ["\n", "\n", "x"]
+    got = {r.text for r in tr.read_transcripts(spark, where).collect()}
+    assert {"new a\n", "new b/c=%d\n", "new é\n"} < got and len(got) == 5
+    assert fl._mounted(spark, "hdfs://h/x") is None and fl._mounted(spark, "file:///x/") == "/x"
+
+
 def test_plain_files_of_other_media_stay(spark, tmp_path):
     where = f"file://{tmp_path}/plain"
     for rows in ([(1, 1, 0, 900, "S01", "north"), (1, 2, 1000, 1900, "S02", "south")], [(2, 1, 0, 500, "S01", "east")]):
