@@ -13,6 +13,7 @@ from cuesheet.session import materialise
 
 MAX_K, MAX_ROUNDS, MIN_SILHOUETTE, MIN_ROWS = 8, 60, 0.12, 4
 SHORT_ISLAND_MS = 1300
+PACK = 256  # range of idx whose rows are measured together in a round
 BLOCK, STRIP, REACH, WIDE = 512, 16, 32, 2048  # rows of a block, blocks of a strip, blocks one task takes to a strip, columns of a product
 
 
@@ -205,31 +206,34 @@ def _distances(columns: dict[str, str], dims: int, pick):
 
 
 def _round_sums(dims: int):
-    """mapInArrow body of one Lloyd round: per batch only sums per (media, k, label) leave the task."""
+    """mapInArrow body of one Lloyd round over packs of rows: per batch only sums per (media, k, label) leave the task."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        nearest = lambda d: d.argmin(axis=1)
+        matrix = lambda v: v.values.to_numpy(zero_copy_only=False).reshape(-1, dims)
+        nearest = lambda vec, cs: np.sqrt(((vec[:, None, :] - cs) ** 2).sum(axis=2)).argmin(axis=1)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            vec = _vectors(batch, dims)
-            label = _to_centres(vec, batch.column("c"), dims, nearest).astype(np.int32)
-            old = _to_centres(vec, batch.column("before"), dims, nearest).astype(np.int32)
-            runs = pa.table({"m": batch.column("media_id"), "k": batch.column("k"), "l": pa.array(label)})
-            keys = runs.append_column("i", pa.array(np.arange(len(label)))).group_by(["m", "k", "l"]).aggregate([("i", "list")])
-            groups = [np.asarray(g) for g in keys.column("i_list").to_pylist()]
-            sums = [vec[g].sum(axis=0) for g in groups]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    keys.column("m").combine_chunks(), keys.column("k").combine_chunks(), keys.column("l").combine_chunks(),
-                    pa.array([len(g) for g in groups], pa.int64()), pa.array([int((label[g] != old[g]).sum()) for g in groups], pa.int64()),
-                    pa.array(sums, pa.list_(pa.float64())),
-                ],
-                names=["media_id", "k", "label", "n", "moved", "s"],
-            )
+            found = {}
+            for m, k, *own in zip(*[batch.column(c) for c in ("media_id", "k", "vecs", "c", "before")]):
+                vec, c, before = map(matrix, own)
+                label, old = nearest(vec, c), nearest(vec, before)
+                for at in np.unique(label):
+                    here = label == at
+                    add = (int(here.sum()), int((old[here] != at).sum()), vec[here].sum(axis=0))
+                    key = (m.as_py(), k.as_py(), int(at))
+                    found[key] = tuple(x + y for x, y in zip(found[key], add)) if key in found else add
+            if found:
+                media, ks, labels = zip(*found)
+                n, moved, sums = zip(*found.values())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(media, batch.column("media_id").type), pa.array(ks, pa.int32()), pa.array(labels, pa.int32()), pa.array(n, pa.int64()),
+                        pa.array(moved, pa.int64()), pa.array(sums, pa.list_(pa.float64())),
+                    ],
+                    names=["media_id", "k", "label", "n", "moved", "s"],
+                )
 
     return run
 
@@ -264,13 +268,17 @@ def kmeans(rows: DataFrame, starts: DataFrame, dims: int, rounds: int = MAX_ROUN
     (media, k) whose labels did not change leaves the loop; an empty cluster keeps its centre.
     """
     key = rows.schema["media_id"].dataType.simpleString()
+    # Packs of rows, so that centres are not copied beside every row in every round.
+    packed = F.array_sort(F.collect_list(F.struct("idx", "vec")))
+    packs = rows.groupBy("media_id", F.expr(f"idx div {PACK}").alias("_p")).agg(F.flatten(F.transform(packed, lambda r: r["vec"])).alias("vecs"))
+    packs = materialise(packs.drop("_p"))
     mean = F.expr("array(" + ", ".join(f"sum(s[{i}]) / sum(n)" for i in range(dims)) + ")")
     active = materialise(starts.select("media_id", "k", "c", F.lit(None).cast("array<double>").alias("before")))
     done = None
     for _ in range(rounds):
-        joined = rows.join(active, "media_id")
+        joined = packs.join(active, "media_id")
         joined = joined.withColumn("before", F.coalesce("before", F.slice("c", 1, dims)))  # the first labels are all 0
-        sums = joined.select("media_id", "k", "vec", "c", "before").mapInArrow(
+        sums = joined.select("media_id", "k", "vecs", "c", "before").mapInArrow(
             _round_sums(dims), f"media_id {key}, k int, label int, n bigint, moved bigint, s array<double>"
         )
         stats = sums.groupBy("media_id", "k", "label").agg(mean.alias("mean"), F.sum("moved").alias("moved"))

@@ -159,3 +159,21 @@ def test_starts_name_one_row_of_equal_ones(spark, tmp_path):
     want = con.execute(f"SELECT media_id, place, idx FROM ({query.oracles['farthest_first']})").fetchall()
     got = query.queries["farthest_first"](spark, str(tmp_path)).select("media_id", "place", "idx").collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_a_round_measures_packs_of_rows():
+    """Centres stand once beside a pack; sums, counts and moves are those of its rows."""
+    import pyarrow as pa
+
+    draw = np.random.default_rng(5)
+    packs, c, before = [draw.normal(size=(n, 3)) for n in (7, 1, 40)], draw.normal(size=(2, 3)), draw.normal(size=(1, 3))
+    flat = lambda rows: pa.array([x.ravel() for x in rows], pa.list_(pa.float64()))
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([1, 1, 1]), pa.array([2, 2, 2], pa.int32()), flat(packs), flat([c] * 3), flat([before] * 3)], names=["media_id", "k", "vecs", "c", "before"]
+    )
+    got = {r["label"]: r for out in sp._round_sums(3)([batch]) for r in out.to_pylist()}
+    rows = np.concatenate(packs)
+    label = ((rows[:, None] - c) ** 2).sum(2).argmin(1)
+    assert len(got) == 2
+    for at, r in got.items():
+        assert r["n"] == (label == at).sum() and r["moved"] == (r["n"] if at else 0) and np.allclose(r["s"], rows[label == at].sum(0))
