@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from cuesheet.functions import text as tx
 from cuesheet.functions import times as tm
+from cuesheet.functions import windows as wn
 from cuesheet.operators.segments import number_id, prepare_for_clips
 from cuesheet.ordering import POS, Ordered
 from cuesheet.session import materialise
@@ -23,6 +24,8 @@ HOOKS = [
 # Words that close a thought.
 ENDINGS = ["so", "therefore", "because", "that's why", "in short", "总结", "所以", "因此", "这就是", "结论", "最后"]
 _REACH = max(len(p) for p in HOOKS) - 1
+PART = 64  # cells of time of a media too large for one task
+AT_ONCE = 1 << 18  # windows made at once, but for those of one start
 UNTITLED = "Untitled clip"
 NO_VALID_PICK = "no pick names a candidate"
 
@@ -97,7 +100,7 @@ def _features(df: DataFrame | Ordered, gap_ms: int) -> Ordered:
     """Per segment the running figures from which any window is scored by subtraction.
 
     Separators depend only on the touching characters, so the joined text of a media has
-    fixed offsets.  Written once: both sides of the pairing and the descriptions read it.
+    fixed offsets.
     """
     o = prepare_for_clips(df)
     lag = lambda c: lambda w: F.lag(c).over(w)
@@ -113,8 +116,12 @@ def _features(df: DataFrame | Ordered, gap_ms: int) -> Ordered:
             "own_p": F.regexp_count("text", F.lit("[!！?？。]")).cast("bigint"),
         }
     )
-    near = F.struct("sep", F.right("_low", F.lit(_REACH)).alias("t"))
-    o = o.local({"_near": lambda w: F.collect_list(near).over(w.rowsBetween(-_REACH, -1))}, before=_REACH)
+    # No row is empty: so many rows hold all characters that a hook may begin in.
+    tail = F.right(F.concat("sep", "_low"), F.lit(_REACH))
+    back = range(_REACH, 0, -1)
+    o = o.with_columns({"_tail": tail}).local({f"_tail{k}": lambda w, k=k: F.lag("_tail", k).over(w) for k in back}, before=_REACH)
+    o = o.with_columns({"_before": F.right(F.concat_ws("", *[f"_tail{k}" for k in back]), F.lit(_REACH))})
+    o = o.of(o.df.drop("_tail", *[f"_tail{k}" for k in back]))
     o = o.running(
         {
             "chars": ("sum", (F.length("sep") + F.length("text")).cast("bigint")),
@@ -130,15 +137,33 @@ def _features(df: DataFrame | Ordered, gap_ms: int) -> Ordered:
     # Windows of different blocks never share time: no candidate can conflict across blocks.
     apart = F.coalesce((F.col("_opens") == 1) & (F.col("start_ms") >= F.col("_over")), F.lit(True))
     o = o.with_columns({"_apart": apart.cast("bigint")}).running({"block": ("sum", F.col("_apart"))})
-    before = F.array_join(F.transform("_near", lambda x: F.concat(x["sep"], x["t"])), "")
-    offset = F.col("low_chars") - F.length("_low")
-    crossing = tx.let(before, lambda b: _crossing_hooks(b, F.col("sep"), F.col("_low"), offset))
+    crossing = _crossing_hooks(F.col("_before"), F.col("sep"), F.col("_low"), F.col("low_chars") - F.length("_low"))
     o = o.select(
         "id", "start_ms", "end_ms", "text", "sep", "island", "block", "chars", "low_chars", "pauses", "questions", "puncts", "own_q", "own_p",
         _own_hooks(F.col("_low")).alias("hook_bits"), crossing.alias("crossing"), F.length("text").alias("n_text"), F.length("_low").alias("n_low"),
         pattern_hits(F.col("_low"), ENDINGS).alias("endings"), tx.looks_complete(F.col("text")).alias("complete"),
     )
-    return o.of(materialise(o.df))
+    return o
+
+
+def _figures(o: Ordered, *more: Column) -> DataFrame:
+    """What windows are made from: the rows of ``_features`` without their texts."""
+    return o.df.filter(F.col("media_id").isNotNull()).select(
+        "media_id", "island", "block", *more, F.col(POS).alias("pos"), "start_ms", "end_ms",
+        (F.col("chars") - F.col("n_text")).alias("c0"), (F.col("low_chars") - F.col("n_low") + 1).alias("l0"),
+        (F.col("questions") - F.col("own_q")).alias("q0"), (F.col("puncts") - F.col("own_p")).alias("u0"), "chars", "pauses", "questions", "puncts",
+        "hook_bits", F.col("crossing.bit").alias("cross_bits"), F.col("crossing.at").alias("cross_at"), F.col("endings").cast("int").alias("endings"), "complete",
+    )
+
+
+_WINDOW = (
+    "block bigint, i bigint, j bigint, from_ms bigint, to_ms bigint, chars bigint, questions bigint, puncts bigint, pauses bigint, hooks int, endings int, "
+    "complete boolean, score double, start_ms bigint, end_ms bigint"
+)
+
+
+def _window_schema(o: Ordered) -> str:
+    return f"media_id {o.df.schema['media_id'].dataType.simpleString()}, {_WINDOW}"
 
 
 def candidate_windows(
@@ -152,71 +177,49 @@ def candidate_windows(
     """
     o = _features(df, gap_ms)
     b = F.floor(F.col("start_ms") / max_ms)
-    rows = o.df.filter(F.col("media_id").isNotNull()).select(
-        "media_id", "island", "block", F.explode(F.array(F.struct(b.alias("b"), F.lit(True).alias("own")), F.struct((b - 1).alias("b"), F.lit(False).alias("own")))).alias("_t"),
-        F.col(POS).alias("pos"), "start_ms", "end_ms", (F.col("chars") - F.col("n_text")).alias("c0"), (F.col("low_chars") - F.col("n_low") + 1).alias("l0"),
-        (F.col("questions") - F.col("own_q")).alias("q0"), (F.col("puncts") - F.col("own_p")).alias("u0"), "chars", "pauses", "questions", "puncts",
-        "hook_bits", F.col("crossing.bit").alias("cross_bits"), F.col("crossing.at").alias("cross_at"), F.col("endings").cast("int").alias("endings"), "complete",
-    )
+    rows = materialise(_figures(o)).withColumn("_t", F.explode(F.array(F.struct(b.alias("b"), F.lit(True).alias("own")), F.struct((b - 1).alias("b"), F.lit(False).alias("own")))))
     rows = rows.select("*", "_t.b", "_t.own").drop("_t")
     rows = rows.repartition("media_id", "island", "b").sortWithinPartitions("media_id", "island", "b", "pos")
-    whole = "block bigint, i bigint, j bigint, from_ms bigint, to_ms bigint, chars bigint, questions bigint, puncts bigint, pauses bigint, bits bigint, endings int, complete boolean"
-    key = o.df.schema["media_id"].dataType.simpleString()
-    pairs = rows.mapInArrow(_windows(min_ms, max_ms), f"media_id {key}, {whole}").withColumn("bits", F.bit_count("bits")).withColumnRenamed("bits", "hooks")
-    return pairs.withColumn("score", window_score(target_ms)).withColumn("start_ms", tm.centiseconds(F.col("from_ms")) * 10).withColumn(
-        "end_ms", tm.centiseconds(F.col("to_ms")) * 10
-    ), o
+    return rows.mapInArrow(_windows(min_ms, target_ms, max_ms), _window_schema(o)), o
+
+
+def _changes(t, columns):
+    """Where one of the columns changes, but for the first row."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    differs = [pc.not_equal(t.column(c)[1:], t.column(c)[:-1]).to_numpy(zero_copy_only=False) for c in columns]
+    return np.flatnonzero(np.logical_or.reduce(differs)) + 1
+
+
+def _arrays(t):
+    """The columns of rows as arrays, the hooks that cross into them apart."""
+    v = {c: t.column(c).to_numpy(zero_copy_only=False) for c in t.schema.names if c not in ("media_id", "cross_bits", "cross_at")}
+    crossings = t.column("cross_bits").value_lengths().to_numpy(zero_copy_only=False)
+    return v, (crossings, *(t.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("cross_bits", "cross_at")))
+
+
+def _batch(media, columns):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([media, *map(pa.array, columns.values())], names=["media_id", *columns])
 
 
-def _windows(min_ms, max_ms):
+def _windows(min_ms, target_ms, max_ms):
     """mapInArrow body: the windows of rows sorted by media, island, bucket and position."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
-        import pyarrow.compute as pc
 
-        def changes(t):
-            """Where a bucket begins, but for the first."""
-            differs = [pc.not_equal(t.column(c)[1:], t.column(c)[:-1]).to_numpy(zero_copy_only=False) for c in ("media_id", "island", "b")]
-            return np.flatnonzero(np.logical_or.reduce(differs)) + 1
+        bucket = ("media_id", "island", "b")
 
         def windows(t):
-            """Window by window length, all starts at once: a start goes on until a row ends too late or begins too late."""
-            n = t.num_rows
-            v = {c: t.column(c).to_numpy(zero_copy_only=False) for c in t.schema.names if c not in ("media_id", "cross_bits", "cross_at")}
-            ends = np.append(changes(t), n)
-            end = ends[np.searchsorted(ends, np.arange(n), "right")]
-            crossings = t.column("cross_bits").value_lengths().to_numpy(zero_copy_only=False)
-            first = np.cumsum(crossings) - crossings
-            bit, at = (t.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("cross_bits", "cross_at"))
-            i = np.flatnonzero(v["own"])
-            latest, bits, j = v["end_ms"][i], np.zeros(len(i), np.int64), i
-            while len(i):
-                latest, bits = np.maximum(latest, v["end_ms"][j]), bits | v["hook_bits"][j]
-                for k in range(crossings[j].max()):
-                    some = np.flatnonzero(crossings[j] > k)
-                    spot = first[j[some]] + k
-                    bits[some] |= np.where(at[spot] >= v["l0"][i[some]], bit[spot], 0)
-                go = latest <= v["start_ms"][i] + max_ms
-                i, j, latest, bits = i[go], j[go], latest[go], bits[go]
-                hit = v["end_ms"][j] - v["start_ms"][i] >= min_ms
-                a, z = i[hit], j[hit]
-                if len(a):
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            t.column("media_id").take(pa.array(a)),
-                            *map(pa.array, (
-                                v["block"][a], v["pos"][a], v["pos"][z], v["start_ms"][a], v["end_ms"][z], v["chars"][z] - v["c0"][a], v["questions"][z] - v["q0"][a],
-                                v["puncts"][z] - v["u0"][a], v["pauses"][z] - v["pauses"][a], bits[hit], v["endings"][z], v["complete"][z],
-                            )),
-                        ],
-                        names=["media_id", "block", "i", "j", "from_ms", "to_ms", "chars", "questions", "puncts", "pauses", "bits", "endings", "complete"],
-                    )
-                j = j + 1
-                go = j < end[i]
-                go[go] = v["start_ms"][j[go]] <= v["start_ms"][i[go]] + max_ms
-                i, j, latest, bits = i[go], j[go], latest[go], bits[go]
+            v, crossing = _arrays(t)
+            ends = np.append(_changes(t, bucket), t.num_rows)
+            ends = ends[np.searchsorted(ends, np.arange(t.num_rows), "right")]
+            for i, j, bits in wn.spans(v, np.flatnonzero(v["own"]), ends, *crossing, min_ms, max_ms):
+                yield _batch(t.column("media_id").take(pa.array(i)), wn.figures(v, i, j, np.bitwise_count(bits), target_ms))
 
         held = []
         for batch in batches:
@@ -225,7 +228,7 @@ def _windows(min_ms, max_ms):
             # The last bucket of what has come may go on.
             held.append(batch)
             t = pa.concat_batches(held) if len(held) > 1 else batch
-            starts = changes(t)
+            starts = _changes(t, bucket)
             cut = int(starts[-1]) if len(starts) else 0
             if cut:
                 yield from windows(t.slice(0, cut))
@@ -236,26 +239,112 @@ def _windows(min_ms, max_ms):
     return run
 
 
-def window_score(target_ms: int) -> Column:
-    """Score of a window from its counts; one formula, rounded to two decimals."""
-    num = lambda c: F.col(c).cast("double")
-    lit = lambda x: F.lit(float(x))
-    duration = F.greatest(lit(0.1), (F.col("to_ms") - F.col("from_ms")).cast("double") / 1000.0)
-    target = target_ms / 1000.0
-    density = F.least(lit(26), num("chars") / F.greatest(duration, lit(1)) * 7.0)
-    closeness = F.greatest(lit(0), lit(22) - F.abs(duration - target) / lit(max(target, 1.0)) * 22.0)
-    score = (
-        lit(20)
-        + num("hooks") * 4.0
-        + num("endings") * 3.0
-        + F.when(F.col("questions") > 0, 8.0).otherwise(0.0)
-        + F.least(lit(8), num("puncts") * 1.4)
-        + F.least(lit(6), num("pauses") * 1.5)
-        + density
-        + closeness
-        + F.when(F.col("complete"), 10.0).otherwise(3.0)
-    )
-    return tm.round2(score)
+def kept_windows(
+    df: DataFrame | Ordered, *, min_ms: int = MIN_MS, target_ms: int = TARGET_MS, max_ms: int = MAX_MS, gap_ms: int = GAP_MS
+) -> tuple[DataFrame, Ordered]:
+    """``drop_overlapping`` of ``candidate_windows``, and the segments; windows that go never leave the task that makes them.
+
+    Blocks share no time, so the rows of a block meet in a task and stream through it.  Of media too large for that, parts of
+    ``PART`` cells of time do; the few windows that hang on what is in the next part are then settled in rounds.
+    """
+    o = _features(df, gap_ms)
+    if o.chunked:
+        cell = F.floor(tm.centiseconds(F.col("start_ms")) * 10 / _cell(max_ms))
+        part = F.floor(cell / PART)
+        # Windows end within the next cell; a part also gets the rows of the cell behind it, as later rows only.
+        parts = F.array_compact(F.array(F.struct(part.alias("part"), F.lit(True).alias("own")), F.when(F.pmod(cell, F.lit(PART)) == 0, F.struct((part - 1).alias("part"), F.lit(False).alias("own")))))
+        rows = _figures(o, F.explode(parts).alias("_t"))
+        rows = rows.select("*", "_t.part", "_t.own").drop("_t")
+    else:
+        rows = _figures(o, F.lit(0).cast("bigint").alias("part"), F.lit(True).alias("own"))
+    rows = rows.repartition("media_id", "block", "part").sortWithinPartitions("media_id", "block", "part", "pos")
+    found = rows.mapInArrow(_keep(min_ms, target_ms, max_ms, o.chunked), f"{_window_schema(o)}, open boolean")
+    if not o.chunked:
+        return found.drop("open"), o
+    found = materialise(found)
+    return found.filter(~F.col("open")).drop("open").unionByName(_drop_in_rounds(found.filter("open").drop("open"), max_ms)), o
+
+
+def _cell(max_ms):
+    """Width of a cell of time: windows whose starts lie two cells apart share no time, though rounding may lengthen them."""
+    return max_ms + 20
+
+
+def _keep(min_ms, target_ms, max_ms, parts):
+    """mapInArrow body: the windows that overlap removal keeps, of rows sorted by media, block, part and position.
+
+    Starts are taken in stretches of a bounded number of windows.  Where a block goes on behind a stretch, windows near its end wait
+    for the next one, with the kept ones that those may clash with.  What hangs on other ``parts`` leaves as open.
+    """
+
+    def run(batches):
+        from itertools import chain
+
+        import numpy as np
+        import pyarrow as pa
+
+        width, whole = _cell(max_ms), ("media_id", "block", "part")
+        held, waiting, near = None, None, None
+
+        for batch in chain((b for b in batches if b.num_rows), [None]):
+            if batch is None and held is None:
+                return
+            t = held if batch is None else batch if held is None else pa.concat_batches([held, batch])
+            n = t.num_rows
+            v, crossing = _arrays(t)
+            begins = np.append(0, _changes(t, whole))
+            group = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, n)))
+            ends = np.append(_changes(t, (*whole, "island")), n)
+            ends = ends[np.searchsorted(ends, np.arange(n), "right")]
+            reach = [a + np.searchsorted(v["start_ms"][a:z], v["start_ms"][a:z] + max_ms, "right") for a, z in zip(begins, [*begins[1:], n])]
+            made = np.cumsum(np.minimum(np.concatenate(reach), ends) - np.arange(n))
+            # Starts of the last group may still get later rows.
+            ready = n if batch is None else int(begins[-1] + np.searchsorted(v["start_ms"][begins[-1] :], v["start_ms"][-1] - max_ms))
+            a = 0
+            while a < ready:
+                z = min(ready, max(a + 1, int(np.searchsorted(made, (made[a - 1] if a else 0) + AT_ONCE, "right"))))
+                spans = list(wn.spans(v, a + np.flatnonzero(v["own"][a:z]), ends, *crossing, min_ms, max_ms))
+                i, j, bits = (np.concatenate(x) for x in zip(*spans)) if spans else (np.zeros(0, np.int64),) * 3
+                order = np.argsort(i, kind="stable")
+                i, j, bits = i[order], j[order], bits[order]
+                f = wn.figures(v, i, j, np.bitwise_count(bits), target_ms)
+                media, owner = t.column("media_id").take(pa.array(i)), group[i]
+                if near is not None:  # kept before, in the block that went on
+                    stay = np.ones(len(i), bool)
+                    for s, e in zip(*near):
+                        stop = int(np.searchsorted(f["start_ms"][: np.searchsorted(owner, group[a], "right")], e))
+                        stay[:stop] &= ~wn.clash(f["start_ms"][:stop], f["end_ms"][:stop], s, e)
+                    f, media, owner = {c: x[stay] for c, x in f.items()}, media.filter(pa.array(stay)), owner[stay]
+                if waiting is not None:
+                    f = {c: np.concatenate((waiting[c], x)) for c, x in f.items()}
+                    more = len(f["i"]) - len(owner)
+                    media = pa.concat_arrays([t.column("media_id").slice(a, 1).take(pa.array(np.zeros(more, np.int64))), media])
+                    owner = np.append(np.full(more, group[a]), owner)
+                goes_on = z < n and group[z] == group[z - 1]
+                cell = f["start_ms"] // width
+                edge = int(wn.centiseconds(v["start_ms"][z : z + 1])[0]) * 10 // width if goes_on else None
+                may = (owner != group[z - 1]) | (cell < edge - 1) if goes_on else np.ones(len(cell), bool)
+                if parts:
+                    may &= (cell % PART > 0) & (cell % PART < PART - 1)
+                step = np.where(owner[1:] == owner[:-1], np.minimum(np.diff(cell), 2), 2)
+                kept, left = wn.settle(f["start_ms"], f["end_ms"], f["score"], np.cumsum(np.append(1, step)) if len(cell) else cell, may)
+                later = left[owner[left] == group[z - 1]] if goes_on else left[:0]
+                out = np.append(kept, left[: len(left) - len(later)])
+                if len(out):
+                    told = {c: x[out] for c, x in f.items()} | {"open": np.arange(len(out)) >= len(kept)}
+                    yield _batch(media.take(pa.array(out)), told)
+                old, near, waiting = near, None, None
+                if goes_on:
+                    last = kept[(owner[kept] == group[z - 1]) & (cell[kept] >= edge - 1)]
+                    near = f["start_ms"][last], f["end_ms"][last]
+                    if old is not None and group[a] == group[z - 1]:
+                        still = old[0] // width >= edge - 1
+                        near = np.append(old[0][still], near[0]), np.append(old[1][still], near[1])
+                    waiting = {c: x[later] for c, x in f.items()}
+                a = z
+            held = t.slice(ready) if ready < n else None
+
+    return run
 
 
 def _conflict(s1, e1, s2, e2):
@@ -343,10 +432,16 @@ def top_clips(kept: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 
 def describe_clips(clips: DataFrame, segments: Ordered) -> DataFrame:
-    """Add title, reason, text (700 characters) and segment ids; only now is text touched."""
-    spans = clips.withColumn("_at", F.explode(F.sequence("i", "j")))
+    """Add title, reason, text (700 characters) and segment ids; only now is text touched.
+
+    Clips of a media are few and meet its rows where these are; of media too large for one task, by position.
+    """
     rows = segments.df.select(F.col("media_id").alias("_m"), F.col(POS).alias("_p"), F.col("id").alias("seg_id"), "sep", F.col("text").alias("t"))
-    hit = spans.join(rows, (F.col("media_id") == F.col("_m")) & (F.col("_at") == F.col("_p")))
+    if segments.chunked:
+        spans = clips.withColumn("_at", F.explode(F.sequence("i", "j")))
+        hit = spans.join(rows, (F.col("media_id") == F.col("_m")) & (F.col("_at") == F.col("_p")))
+    else:
+        hit = rows.join(clips, (F.col("media_id") == F.col("_m")) & F.col("_p").between(F.col("i"), F.col("j"))).withColumn("_at", F.col("_p"))
     piece = F.struct("_at", F.when(F.col("_at") == F.col("i"), F.col("t")).otherwise(F.concat("sep", "t")).alias("t"), "seg_id")
     keep = [c for c in clips.columns if c not in ("media_id", "id")]
     full = hit.groupBy("media_id", "id").agg(*[F.first(c).alias(c) for c in keep], F.array_sort(F.collect_list(piece)).alias("_p"))
@@ -364,8 +459,7 @@ def describe_clips(clips: DataFrame, segments: Ordered) -> DataFrame:
 
 def clip_candidates(df: DataFrame | Ordered, *, min_ms=MIN_MS, target_ms=TARGET_MS, max_ms=MAX_MS, limit=LIMIT) -> DataFrame:
     """Windows -> scores -> overlap removal -> top-k -> descriptions."""
-    cands, segments = candidate_windows(df, min_ms=min_ms, target_ms=target_ms, max_ms=max_ms)
-    kept = drop_overlapping(cands, max_ms=max_ms, hot=segments.chunked)
+    kept, segments = kept_windows(df, min_ms=min_ms, target_ms=target_ms, max_ms=max_ms)
     return describe_clips(top_clips(kept, limit), segments)
 
 

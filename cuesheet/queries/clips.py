@@ -77,8 +77,8 @@ def clip_windows(spark, sf_dir):
 
 @query("clip_overlap_removal", SEG + WINDOWS + KEPT + "SELECT media_id, i, j, start_ms, end_ms, score FROM kept")
 def clip_overlap_removal(spark, sf_dir):
-    cands, o = cl.candidate_windows(derived.conversation_segments(spark, sf_dir))
-    return cl.drop_overlapping(cands, hot=o.chunked).select(*_SCORED)
+    kept, _ = cl.kept_windows(derived.conversation_segments(spark, sf_dir))
+    return kept.select(*_SCORED)
 
 
 @query("clip_candidates", SEG + WINDOWS + CLIPS + """

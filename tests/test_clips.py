@@ -1,6 +1,7 @@
 """Clip windows against their definition, overlap removal in both plans, rebasing."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -218,3 +219,39 @@ def test_rankings_read_candidates_written_once(spark):
 
     plan = query.queries["clip_ranking_outcomes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "InArrow" not in plan and "MapIn" not in plan
+
+
+@pytest.mark.parametrize(("limit", "at_once", "part", "rows_a_batch"), [(1_000_000, 1 << 18, 64, 10_000), (1_000_000, 40, 64, 16), (25, 40, 3, 16)])
+def test_windows_are_dropped_where_they_are_made(spark, monkeypatch, limit, at_once, part, rows_a_batch):
+    """Stretches, batches and parts of any size keep what the walk over all windows keeps; equal scores and long blocks included."""
+    monkeypatch.setattr(cl, "AT_ONCE", at_once)
+    monkeypatch.setattr(cl, "PART", part)
+    rows = rows_of(4) + [(m + 3, *r) for m, *r in rows_of(11, n=150, nested=False)]
+    rows += [(7, i, 3_000 * i, 3_000 * i + 2_500, "S01", "the same again") for i in range(700 if limit > 25 else 90)]
+    rows += [(8, i, 90_000 * i, 90_000 * i + 80_000, "S01", "far apart") for i in range(20)] + [(9, 1, 0, 50_000, "S01", "alone"), (10, 1, 0, 900, "S01", "short")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    cands, _ = cl.candidate_windows(df)
+    want = sorted(map(tuple, cl.drop_overlapping(cands).collect()))
+    spark.conf.set("spark.cuesheet.maxGroupRows", str(limit))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows_a_batch))
+    try:
+        kept, o = cl.kept_windows(df)
+        assert o.chunked == (limit == 25)
+        assert sorted(map(tuple, kept.select(*cands.columns).collect())) == want and {r[0] for r in want} == {0, 1, 2, 3, 4, 5, 7, 8, 9}
+    finally:
+        spark.conf.unset("spark.cuesheet.maxGroupRows")
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_clips_shuffle_no_windows(spark):
+    """Of a task's windows only the best of a media leave it, and the texts meet the clips where they are: no exchange follows the join."""
+    from cuesheet.plans import derived
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = cl.clip_candidates(derived.document_segments(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    steps = re.findall(r"^[\s:+-]*(Exchange|MapInArrow|WindowGroupLimit|SortMergeJoin|ObjectHashAggregate)\b", plan, re.M)
+    texts, figures = ["Exchange"], ["Exchange", "WindowGroupLimit", "MapInArrow", "Exchange", "Exchange"]
+    assert steps == ["ObjectHashAggregate"] * 2 + ["SortMergeJoin"] + texts + ["WindowGroupLimit"] + figures
