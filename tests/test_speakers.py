@@ -82,6 +82,35 @@ def test_features_tell_pitch_apart():
     assert abs(np.exp(low[8]) - 120) < 8 and abs(np.exp(high[8]) - 240) < 12 and low[10] > 0.9
 
 
+def test_pitch_is_read_to_the_end_of_a_segment():
+    """Half a segment at one pitch and half at another; what comes after many frames counts as what comes before."""
+    rate, t = 16_000, np.arange(48_000) / 16_000
+    low, high = (0.3 * np.sin(2 * np.pi * hz * t) for hz in (120, 240))
+    noise = np.random.default_rng(1).normal(0, 0.21, 48_000)
+    parts = [low, high, np.append(low, high), np.append(high, low), np.append(low, noise)]
+    kept, vecs = batch_features(np.concatenate(parts).astype(np.float32), np.cumsum([0, *map(len, parts)]), rate)
+    assert kept.tolist() == [0, 1, 2, 3, 4]
+    middle = (vecs[0, 8] + vecs[1, 8]) / 2
+    assert np.allclose(vecs[2:4, 8], middle, atol=0.1) and (vecs[2:4, 9] > 0.25).all() and (vecs[:2, 9] < 0.05).all()
+    assert vecs[0, 10] > 0.9 and 0.2 < vecs[4, 10] < 0.85  # noise has no pitch in most frames
+
+
+def test_frames_of_high_rates_are_transformed_whole():
+    """At 48 kHz a frame has 1200 samples: the spectrum knows a tone that fades in behind the first 512 of them."""
+    rate, size, hop = 48_000, 1200, 480
+    window, n = np.hanning(size).astype(np.float32), size + 40 * hop
+    t = np.arange(n) / rate
+    wave = (0.3 * np.sin(2 * np.pi * 180 * t) + 0.1 * np.sin(2 * np.pi * 2500 * t)).astype(np.float32)
+    _, vecs = batch_features(wave, np.array([0, n]), rate)
+    centred = wave - wave.mean()
+    frames = np.stack([centred[k * hop : k * hop + size] * window for k in range(41)])
+    power = (frames**2).mean(axis=1)
+    frames = frames[power >= np.quantile(power, 0.45)]
+    p = np.abs(np.fft.rfft(frames, n=2048, axis=1)) ** 2
+    hz = np.fft.rfftfreq(2048, 1 / rate)
+    assert abs(vecs[0, 2] - (p @ hz / p.sum(axis=1)).mean()) < 1
+
+
 def test_features_do_not_depend_on_the_batch():
     rng, rate = np.random.default_rng(3), 16_000
     parts = [rng.normal(size=n) * a for n, a in ((9000, 0.1), (16_000, 0.02), (500, 0.1), (4800, 0.3), (0, 1), (30_000, 0.05))]
