@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -160,4 +161,9 @@ def ends_sentence(c: Column) -> Column:
 
 
 def looks_complete(c: Column) -> Column:
-    return strip(c).rlike(r"[.!?。！？]\z")
+    return F.right(strip(c), F.lit(1)).isin(*".!?。！？")
+
+
+def count_of(c: Column, characters: str) -> Column:
+    """How many of the characters occur; a fraction of the cost of a regular expression."""
+    return (F.length(c) - F.length(reduce(lambda x, one: F.replace(x, F.lit(one)), characters, c))).cast("bigint")

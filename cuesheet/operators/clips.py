@@ -112,8 +112,8 @@ def _features(df: DataFrame | Ordered, gap_ms: int) -> Ordered:
             "sep": F.coalesce(tx.separator(F.col("_pt"), F.col("text")), F.lit("")),
             "_opens": F.coalesce((gap > gap_ms).cast("bigint"), F.lit(1).cast("bigint")),
             "_pause": F.coalesce(gap.between(450, 4000).cast("bigint"), F.lit(0).cast("bigint")),
-            "own_q": F.regexp_count("text", F.lit("[?？]")).cast("bigint"),
-            "own_p": F.regexp_count("text", F.lit("[!！?？。]")).cast("bigint"),
+            "own_q": tx.count_of(F.col("text"), "?？"),
+            "own_p": tx.count_of(F.col("text"), "!！?？。"),
         }
     )
     # No row is empty: so many rows hold all characters that a hook may begin in.
